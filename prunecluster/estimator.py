@@ -184,7 +184,6 @@ class PrunedKMeans(
         model = PrunedKMeansModel(result.centers.matrix, cost, result.iterations)
         self._copyValues(model)
         model._setDefault(featuresCol="features", predictionCol="prediction", distanceMeasure="euclidean")
-        model.setParent(self)
         model._summary = PrunedKMeansSummary(model, model.transform(dataset), result.candidate_count)
         return model
 

@@ -43,13 +43,16 @@ def nearest(x: Column, centers: Centers, measure: str = "euclidean") -> Column:
     table = np.ascontiguousarray(centers.matrix)
     dims = table.shape[1]
     ids = pa.array(centers.ids, pa.string() if centers.id_type == "string" else pa.int32())
-    rows_per_step = max(1, 262144 // len(table))
+    rows_per_step = max(1, 65536 // len(table))
     cosine = measure == "cosine"
 
     def all_distances(block):
-        found = np.zeros((len(block), len(table)))
-        for j in range(dims):
-            gap = block[:, j : j + 1] - table[:, j]
+        # two buffers of a size that stays in the cache, reused for every coordinate
+        found, gap = np.empty((2, len(block), len(table)))
+        np.subtract(block[:, 0:1], table[:, 0], out=found)
+        found *= found
+        for j in range(1, dims):
+            np.subtract(block[:, j : j + 1], table[:, j], out=gap)
             gap *= gap
             found += gap
         best = found.argmin(axis=1)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+from itertools import accumulate
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.centers import Centers
+from ..functions.formulas import NUMBERS, Primitives
 from ..functions.hashing import md5_uniform
 
 # Usual settings of the mixture.
@@ -28,10 +30,18 @@ def mixture_k(name: str) -> int:
     return int(count)
 
 
+def cluster_size(n, i, total, gamma: float = GAMMA, on: Primitives = NUMBERS):
+    """Rows of cluster i of 1..k, with total the sum of all i^gamma."""
+    return on.truncate(n * (on.power(i, gamma) / total))
+
+
+def size_total(k: int, gamma: float = GAMMA) -> float:
+    return sum(math.pow(i, gamma) for i in range(1, k + 1))
+
+
 def cluster_sizes(n: int, k: int, gamma: float = GAMMA) -> list[int]:
-    """Cluster i of 1..k gets floor(n * i^gamma / sum of all i^gamma) rows."""
-    total = sum(math.pow(i, gamma) for i in range(1, k + 1))
-    return [math.floor(n * (math.pow(i, gamma) / total)) for i in range(1, k + 1)]
+    total = size_total(k, gamma)
+    return [cluster_size(n, i, total, gamma) for i in range(1, k + 1)]
 
 
 def noise(key: Column, dims: int, seed: int) -> list[Column]:
@@ -49,8 +59,11 @@ def noise(key: Column, dims: int, seed: int) -> list[Column]:
 
 
 def mixture_centers(k: int, dims: int = DIMENSIONS, seed: int = SEED) -> Centers:
-    """k centres uniform in the unit cube."""
-    return Centers(np.random.default_rng(seed).uniform(size=(k, dims)))
+    """k centres uniform in the unit cube, hashed like the uniform numbers of rows."""
+    def coordinate(i, j):
+        return (int(hashlib.md5(f"{seed}:center:{i}:{j}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+
+    return Centers([[coordinate(i, j) for j in range(dims)] for i in range(k)])
 
 
 def place(rows: DataFrame, index: Column, sizes: list[int], centers: Centers, std: float, seed: int) -> DataFrame:
@@ -58,7 +71,7 @@ def place(rows: DataFrame, index: Column, sizes: list[int], centers: Centers, st
 
     Rows beyond the last range are left out.
     """
-    upper = [int(u) for u in np.cumsum(sizes)]
+    upper = list(accumulate(sizes))
     starts = F.array(*[F.lit(u) for u in upper])
     cluster = F.size(F.filter(starts, lambda u: u <= F.col("point_id")))
     table = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centers.matrix])
