@@ -38,7 +38,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def lattice(spark: SparkSession, folder: str, weight: str | None = None) -> DataFrame:
     """Every line item as a point with integer coordinates, so that sums are exact."""
-    items = table(spark, folder, "lineitem")
+    needed = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+    items = prep.spread(table(spark, folder, "lineitem").select(needed))
     key = [
         F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint"),

@@ -109,4 +109,5 @@ def nearest(x: Column, centers: Centers, measure: str = "euclidean") -> Column:
             d2[part], where[part] = measured(values[part])
         return pa.StructArray.from_arrays([pa.array(d2), ids.take(pa.array(where))], names=["d2", "center_id"])
 
-    return nearest_center(x)
+    # Marked so that no filter on the result is pushed below it, which would measure twice.
+    return nearest_center.asNondeterministic()(x)

@@ -94,6 +94,12 @@ def point_table(df: DataFrame, id_columns: list[Column], x: Column, weight: Colu
     return df.select(columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out a table that has fewer splits than there are cores; any other is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checked_weight(weight: Column) -> Column:
     """Weight as double, 1.0 where missing; a negative one fails the job."""
     value = F.coalesce(weight.cast("double"), F.lit(1.0))

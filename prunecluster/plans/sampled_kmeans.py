@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import formulas
@@ -96,10 +96,15 @@ def sampled_kmeans(
                 alpha = formulas.sampling_rate(capacity, remaining)
                 drawn = paired_sample(survivors, alpha, seed, round_no, uniform, disjoint)
                 tasks = max(1, math.ceil(2 * capacity / SAMPLE_ROWS_PER_TASK))
+                seen = Observation()
+                # counted behind the exchange, in the writing stage, where a lost task counts once
+                drawn = drawn.repartition(tasks).observe(
+                    seen, F.count_if("p1").alias("p1"), F.count_if("p2").alias("p2")
+                )
                 with watch.scanning():
-                    sample = tables.write(drawn.repartition(tasks), f"sample-{round_no}")
-                sizes = sample.agg(F.count_if("p1").alias("p1"), F.count_if("p2").alias("p2")).first()
-                if sizes.p1 == 0:
+                    sample = tables.write(drawn, f"sample-{round_no}")
+                p1_rows, p2_rows = seen.get["p1"], seen.get["p2"]
+                if p1_rows == 0:
                     break
                 centers = inner(sample.where("p1").select(*columns), k_plus, seed + round_no)
                 step = estimate(
@@ -113,7 +118,7 @@ def sampled_kmeans(
                     pruned = prune(with_nearest(survivors, centers, measure), step.v, tables, name, columns)
                 rounds.append(
                     dict(
-                        round=round_no, remaining=remaining, alpha=alpha, p1_rows=sizes.p1, p2_rows=sizes.p2,
+                        round=round_no, remaining=remaining, alpha=alpha, p1_rows=p1_rows, p2_rows=p2_rows,
                         center_count=len(centers), r=step.r, truncated_risk=float(step.truncated_risk), psi=psi,
                         v=step.v, handled=pruned.handled, handled_risk=float(pruned.handled_risk),
                         survivors=pruned.remaining,
