@@ -415,8 +415,10 @@ UNION ALL SELECT 2::INTEGER, point_id FROM draw_2""",
   (SELECT count(*) FROM scored WHERE d2 > (SELECT v FROM cutoff)) AS survivors,
   CAST((SELECT coalesce(sum(d2), 0) FROM scored WHERE d2 <= (SELECT v FROM cutoff)) AS BIGINT) AS handled_risk""",
     ),
-    "sweep_plan": """WITH data AS (SELECT concat_ws('/', p_brand, p_type) AS dataset, max(p_size) < 45 AS images FROM part GROUP BY 1),
-ks AS (SELECT dataset, unnest(CASE WHEN images THEN [10, 30] ELSE [25, 50, 100, 200] END)::INTEGER AS k FROM data),
+    "sweep_plan": """WITH data AS (
+  SELECT DISTINCT CASE WHEN p_type = 'ECONOMY' THEN 'gaussian_' || p_size ELSE concat_ws('/', p_brand, p_type) END AS dataset,
+         CASE WHEN p_type = 'ECONOMY' THEN [p_size] ELSE [25, 50, 100, 200] END AS ks FROM part),
+ks AS (SELECT dataset, unnest(ks)::INTEGER AS k FROM data),
 grid AS (SELECT algorithm, dataset, k, epsilon FROM ks, (VALUES ('sampled_kmeans'), ('sample_prune')) a(algorithm),
   (VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) e(epsilon))
 SELECT algorithm, dataset, k, epsilon, 0::INTEGER AS steps FROM grid

@@ -600,10 +600,9 @@ def compare_runs(spark, folder):
 
 
 def sweep_plan(spark, folder):
-    parts = table(spark, folder, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("dataset")).agg(
-        F.max("p_size").alias("largest")
-    )
-    plan = evaluate.sweep_plan(parts.select("dataset", (F.col("largest") < 45).alias("images")))
+    mixture = F.concat(F.lit("gaussian_"), F.col("p_size").cast("string"))
+    name = F.when(F.col("p_type") == "ECONOMY", mixture).otherwise(F.concat_ws("/", "p_brand", "p_type"))
+    plan = evaluate.sweep_plan(table(spark, folder, "part").select(name.alias("dataset")).distinct())
     return plan.na.fill(0, ["epsilon", "steps"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def _one_pass(points: DataFrame, centers: Centers, measure: str) -> DataFrame:
 
 
 def _in_blocks(points, centers, measure, tables, max_bytes, blocks) -> DataFrame:
-    name = f"nearest{id(centers)}"
+    name = f"nearest-{uuid4().hex}"
     numbered = centers.select("center_id", "c", F.pmod(F.xxhash64("center_id"), F.lit(blocks)).alias("block"))
     stored = tables.write(numbered.repartition("block"), f"{name}-centers")
     best, previous = points, None

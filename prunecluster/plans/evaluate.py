@@ -6,7 +6,7 @@ import time
 from typing import Callable, Iterable
 
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formulas
@@ -77,26 +77,36 @@ def compare_runs(points: DataFrame, algorithms: Iterable[str], k: int, epsilon:
     return result
 
 
+def _values(items):
+    return F.array(*[F.lit(i) for i in items])
+
+
+def sweep_ks(dataset: Column) -> Column:
+    """The k to try: a mixture's own number of clusters, a short list for images, else the grid."""
+    own = F.nullif(F.regexp_extract(dataset, "^gaussian_([0-9]+)$", 1), F.lit("")).cast("int")
+    return (
+        F.when(own.isNotNull(), F.array(own))
+        .when(dataset == "mnist", _values(SWEEP_K_IMAGES))
+        .otherwise(_values(SWEEP_K))
+    )
+
+
 def sweep_plan(datasets: DataFrame) -> DataFrame:
-    """All settings to run for every dataset (a table with the columns dataset and images).
+    """All settings to run for every name in the column dataset.
 
     The grid is exploded from literals, so each dataset row is expanded where it lies. The
     largest k together with the largest epsilon is left out for sampled_kmeans only.
     """
-    def values(items):
-        return F.array(*[F.lit(i) for i in items])
-
-    ks = F.when(F.col("images"), values(SWEEP_K_IMAGES)).otherwise(values(SWEEP_K))
-    by_k = datasets.select("dataset", F.explode(ks).alias("k"))
+    by_k = datasets.select("dataset", F.explode(sweep_ks(F.col("dataset"))).alias("k"))
     by_epsilon = by_k.select(
-        F.explode(values(["sampled_kmeans", "sample_prune"])).alias("algorithm"), "dataset", "k"
-    ).select("algorithm", "dataset", "k", F.explode(values(SWEEP_EPSILON)).alias("epsilon"), F.lit(None).cast("int").alias("steps"))
+        F.explode(_values(["sampled_kmeans", "sample_prune"])).alias("algorithm"), "dataset", "k"
+    ).select("algorithm", "dataset", "k", F.explode(_values(SWEEP_EPSILON)).alias("epsilon"), F.lit(None).cast("int").alias("steps"))
     skipped = (
         (F.col("algorithm") == "sampled_kmeans") & (F.col("k") == SKIPPED_K) & (F.col("epsilon") == SKIPPED_EPSILON)
     )
     by_steps = by_k.select(
         F.lit("kmeans_parallel").alias("algorithm"), "dataset", "k", F.lit(None).cast("double").alias("epsilon"),
-        F.explode(values(SWEEP_STEPS)).alias("steps"),
+        F.explode(_values(SWEEP_STEPS)).alias("steps"),
     )
     return by_epsilon.where(~skipped).unionByName(by_steps)
 
