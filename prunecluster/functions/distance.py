@@ -45,6 +45,8 @@ def nearest(x: Column, centers: Centers, measure: str = "euclidean") -> Column:
     ids = pa.array(centers.ids, pa.string() if centers.id_type == "string" else pa.int32())
     rows_per_step = max(1, 65536 // len(table))
     cosine = measure == "cosine"
+    table_squares = np.einsum("ij,ij->i", table, table)
+    doubled = np.ascontiguousarray(-2.0 * table.T)
 
     def all_distances(block):
         # two buffers of a size that stays in the cache, reused for every coordinate
@@ -61,10 +63,10 @@ def nearest(x: Column, centers: Centers, measure: str = "euclidean") -> Column:
     def screened_distances(block):
         # A matrix product screens the pairs; those within its rounding error of the minimum
         # are measured again coordinate by coordinate, so the result equals all_distances.
-        squares = np.einsum("ij,ij->i", block, block)
-        table_squares = np.einsum("ij,ij->i", table, table)
-        rough = squares[:, None] + table_squares - 2.0 * (block @ table.T)
-        slack = 1e-12 * dims * (squares + table_squares.max())
+        # (The point's own square is the same for all centres and is left out of the screen.)
+        rough = block @ doubled
+        rough += table_squares
+        slack = 1e-12 * dims * (np.einsum("ij,ij->i", block, block) + table_squares.max())
         row, col = np.nonzero(rough <= (rough.min(axis=1) + slack)[:, None])
         exact = np.zeros(len(row))
         for j in range(dims):
@@ -92,7 +94,7 @@ def nearest(x: Column, centers: Centers, measure: str = "euclidean") -> Column:
     def measured(block):
         if cosine:
             return cosine_distances(block)
-        return screened_distances(block) if dims >= 16 and len(table) >= 8 else all_distances(block)
+        return screened_distances(block) if dims >= 8 and len(table) >= 8 else all_distances(block)
 
     @arrow_udf(f"struct<d2:double,center_id:{centers.id_type}>")
     def nearest_center(x: pa.Array) -> pa.Array:
