@@ -175,11 +175,39 @@ def draw(no: int, centers: str, k: int = 10) -> list[str]:
     """Rows drawn in step ``no`` of k-means||."""
     return [
         scored(f"far_{no}", "pts", centers),
-        f"""draw_{no} AS (SELECT point_id, x0, x1, x2, x3 FROM far_{no} WHERE d2 > 0
-  ORDER BY -ln({u(f'draw{no}')}) / d2, point_id LIMIT {k})""",
+        f"""draw_{no} AS (SELECT point_id, x0, x1, x2, x3, place FROM (
+  SELECT *, row_number() OVER (ORDER BY -ln({u(f'draw{no}')}) / d2, point_id) AS place FROM far_{no} WHERE d2 > 0)
+  WHERE place <= {k})""",
     ]
 
 
+def prune_round(no: int, survivors: str, known: str) -> list[str]:
+    """Round ``no`` of sample and prune with k=1, epsilon 0.2; ``known`` is the distance so far."""
+    end = "" if no == 1 else f"r{no}"
+    power = "pow((SELECT n FROM size), 0.2::DOUBLE) * ln((SELECT n FROM size))"
+    return [
+        f"left{no} AS (SELECT count(*)::DOUBLE AS remaining FROM {survivors})",
+        f"s{no} AS (SELECT * FROM {survivors} WHERE {u('s' + end)} < (SELECT 9 * {power} / remaining FROM left{no}))",
+        f"h{no} AS (SELECT * FROM {survivors} WHERE {u('h' + end)} < (SELECT 4 * {power} / remaining FROM left{no}))",
+        f"""scored{no} AS (SELECT p.point_id, any_value(p.w) AS w, least(min({d2()}), any_value({known})) AS d2,
+  any_value(p.x0) AS x0, any_value(p.x1) AS x1, any_value(p.x2) AS x2, any_value(p.x3) AS x3
+  FROM {survivors} p CROSS JOIN s{no} c GROUP BY p.point_id)""",
+        f"ranked{no} AS (SELECT d2, row_number() OVER (ORDER BY d2 DESC) AS place FROM scored{no} SEMI JOIN h{no} USING (point_id))",
+        f"""cutoff{no} AS (SELECT CASE WHEN count(*) >= floor(8 * ln((SELECT n FROM size)))
+    THEN min(d2) FILTER (place <= floor(8 * ln((SELECT n FROM size)))) ELSE min(d2) END AS v FROM ranked{no})""",
+        f"pruned{no} AS (SELECT * FROM scored{no} WHERE d2 > (SELECT v FROM cutoff{no}))",
+    ]
+
+
+def prune_row(no: int) -> str:
+    return f"""SELECT {no}::INTEGER AS round, CAST((SELECT remaining FROM left{no}) AS BIGINT) AS remaining,
+  (SELECT count(*) FROM s{no}) AS s_rows, (SELECT count(*) FROM h{no}) AS h_rows,
+  ({' + '.join(f'(SELECT count(*) FROM s{i})' for i in range(1, no + 1))})::INTEGER AS sample_rows,
+  CAST((SELECT v FROM cutoff{no}) AS BIGINT) AS v, (SELECT count(*) FROM pruned{no}) AS survivors,
+  CAST((SELECT coalesce(sum(d2), 0) FROM scored{no} WHERE d2 <= (SELECT v FROM cutoff{no})) AS BIGINT) AS handled_risk,
+  (SELECT count(*) FROM everyone) AS centers_in_all, CAST((SELECT sum(d2) FROM ended) AS BIGINT) AS risk"""
+
+
 FIRST = f"first AS (SELECT point_id, x0, x1, x2, x3 FROM pts ORDER BY {u('first')}, point_id LIMIT 1)"
 
 CENTER = "((('0x' || substr(md5('7:center:' || c.i || ':' || {j}), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
@@ -408,6 +436,22 @@ UNION ALL SELECT (center_id + 5)::INTEGER, x0, x1, x2, x3 FROM more""",
         select="""SELECT 0::INTEGER AS step, point_id FROM first UNION ALL SELECT 1::INTEGER, point_id FROM draw_1
 UNION ALL SELECT 2::INTEGER, point_id FROM draw_2""",
     ),
+    "ene_two_rounds": query(
+        POINTS, COUNTED, *prune_round(1, "pts", "NULL::DOUBLE"), *prune_round(2, "pruned1", "p.d2"),
+        """everyone AS (SELECT x0, x1, x2, x3 FROM s1 UNION ALL SELECT x0, x1, x2, x3 FROM s2
+  UNION ALL SELECT x0, x1, x2, x3 FROM pruned2)""",
+        scored("ended", "pts", "everyone"),
+        select=f"{prune_row(1)}\nUNION ALL\n{prune_row(2)}",
+    ),
+    "kmeans_parallel_weights": query(
+        POINTS, FIRST, *draw(1, "first"),
+        "after AS (SELECT x0, x1, x2, x3 FROM first UNION ALL SELECT x0, x1, x2, x3 FROM draw_1)", *draw(2, "after"),
+        """candidates AS (SELECT 0 AS center_id, x0, x1, x2, x3 FROM first
+  UNION ALL SELECT place, x0, x1, x2, x3 FROM draw_1
+  UNION ALL SELECT place + (SELECT count(*) FROM draw_1), x0, x1, x2, x3 FROM draw_2)""",
+        *CANDIDATES[1:],
+        select=f"SELECT center_id::INTEGER AS center_id, weight, {columns()} FROM weighted",
+    ),
     "ene_round": query(
         *PRUNE,
         select="""SELECT (SELECT count(*) FROM s) AS s_rows, (SELECT count(*) FROM h) AS h_rows,

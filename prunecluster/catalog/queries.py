@@ -555,6 +555,14 @@ def kmeans_parallel_step(spark, folder):
     return spark.createDataFrame(drawn, "step int, point_id string")
 
 
+def kmeans_parallel_weights(spark, folder):
+    """All candidates after two steps, with their weights."""
+    run = kmeans_parallel(
+        lattice(spark, folder), K, iterations=2, seed=SEED, uniform="md5", reducer=fixed_box, final_risk=False
+    )
+    return run.candidates.to_df(spark).select("center_id", whole(F.col("weight"), "weight"), *coordinates("c", "c"))
+
+
 def kmeans_parallel_run(spark, folder):
     return _centers(spark, kmeans_parallel(lattice(spark, folder), K, seed=SEED))
 
@@ -585,6 +593,18 @@ def ene_survivors(spark, folder):
     return rounds.beyond(nearer_sample(start, sample, tables), v).select("point_id", whole(F.col("d2"), "d2"))
 
 
+def ene_two_rounds(spark, folder):
+    run = sample_prune(
+        lattice(spark, folder), 1, 0.2, max_iter=2, seed=SEED, uniform="md5", reducer=fixed_box, final_risk=False
+    )
+    return run.rounds_df(spark).select(
+        "round", "remaining", F.col("p1_rows").alias("s_rows"), F.col("p2_rows").alias("h_rows"),
+        F.col("center_count").alias("sample_rows"), whole(F.col("v"), "v"), "survivors",
+        whole(F.col("handled_risk"), "handled_risk"), F.lit(run.candidate_count).cast("bigint").alias("centers_in_all"),
+        F.lit(round(run.risk)).cast("bigint").alias("risk"),
+    )
+
+
 def ene_clustering(spark, folder):
     return _centers(spark, sample_prune(lattice(spark, folder), K, PRUNE_EPSILON, seed=SEED))
 
@@ -668,8 +688,10 @@ QUERIES = {
     "weighted_reduce": weighted_reduce,
     "plain_kmeans": plain_kmeans,
     "kmeans_parallel_step": kmeans_parallel_step,
+    "kmeans_parallel_weights": kmeans_parallel_weights,
     "kmeans_parallel": kmeans_parallel_run,
     "ene_round": ene_round,
+    "ene_two_rounds": ene_two_rounds,
     "ene_clustering": ene_clustering,
     "compare_runs": compare_runs,
     "sweep_plan": sweep_plan,

@@ -26,18 +26,26 @@ def with_nearest(
     of about that size: every pass carries the best so far and is written out, so no task
     ever holds more than one block.
     """
+    centers, size = fetched(centers, max_bytes)
     if isinstance(centers, Centers):
-        if centers.matrix.nbytes <= max_bytes:
+        if size <= max_bytes:
             return _one_pass(points, centers, measure)
         centers = centers.to_df(points.sparkSession)
-    rows, size = center_table_size(centers)
-    if size <= max_bytes:
-        return _one_pass(points, Centers.from_rows(centers.select("center_id", "c").collect()), measure)
     if tables is None:
-        raise ValueError(f"{rows} centres ({size} bytes) need run tables to be handled in blocks")
+        raise ValueError(f"{size} bytes of centres need run tables to be handled in blocks")
     return _in_blocks(points, centers, measure, tables, max_bytes, math.ceil(2 * size / max_bytes))
 
 
+def fetched(centers: Centers | DataFrame, max_bytes: int = CENTER_BYTES) -> tuple[Centers | DataFrame, int]:
+    """A centre table brought to the driver if it has no more than ``max_bytes``, and its size."""
+    if isinstance(centers, Centers):
+        return centers, centers.matrix.nbytes
+    _, size = center_table_size(centers)
+    if size > max_bytes:
+        return centers, size
+    return Centers.from_rows(centers.select("center_id", "c").collect()), size
+
+
 def _one_pass(points: DataFrame, centers: Centers, measure: str) -> DataFrame:
     found = points.select("*", distance.nearest(F.col("x"), centers, measure).alias("nearest"))
     return found.select("*", "nearest.d2", "nearest.center_id").drop("nearest")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas
 from ..functions.centers import CENTER_BYTES
 from ..operators.cost import risk, row_layout, tail_distance, weight_table
-from ..operators.nearest import closer_of, with_nearest
+from ..operators.nearest import closer_of, fetched, with_nearest
 from ..operators.rounds import prune
 from ..operators.sampling import two_samples
 from ..storage import RunTables
@@ -66,6 +66,7 @@ def sample_prune(
             if sizes["s"] == 0 or sizes["h"] == 0:
                 break
             parts.append(sample)
+            sample, _ = fetched(sample, center_bytes)  # once, for both uses below
             in_sample += sizes["s"]
             v, long_enough = pivot_distance(pivots, sample, rank, tables, center_bytes)
             comps += remaining * sizes["s"]
