@@ -43,34 +43,33 @@ def nearest(x: Column, centers: Centers, measure: str = "euclidean") -> Column:
     table = np.ascontiguousarray(centers.matrix)
     dims = table.shape[1]
     ids = pa.array(centers.ids, pa.string() if centers.id_type == "string" else pa.int32())
-    rows_per_step = max(1, 65536 // len(table))
-    cosine = measure == "cosine"
-    table_squares = np.einsum("ij,ij->i", table, table)
-    doubled = np.ascontiguousarray(-2.0 * table.T)
+    axis = int(table.std(axis=0).argmax())
+    order = np.argsort(table[:, axis], kind="stable")
 
-    def all_distances(block):
+    def all_distances(block, some):
         # two buffers of a size that stays in the cache, reused for every coordinate
-        found, gap = np.empty((2, len(block), len(table)))
-        np.subtract(block[:, 0:1], table[:, 0], out=found)
+        found, gap = np.empty((2, len(block), len(some)))
+        np.subtract(block[:, 0:1], some[:, 0], out=found)
         found *= found
         for j in range(1, dims):
-            np.subtract(block[:, j : j + 1], table[:, j], out=gap)
+            np.subtract(block[:, j : j + 1], some[:, j], out=gap)
             gap *= gap
             found += gap
         best = found.argmin(axis=1)
         return found[np.arange(len(block)), best], best
 
-    def screened_distances(block):
+    def screened_distances(block, some):
         # A matrix product screens the pairs; those within its rounding error of the minimum
         # are measured again coordinate by coordinate, so the result equals all_distances.
         # (The point's own square is the same for all centres and is left out of the screen.)
-        rough = block @ doubled
-        rough += table_squares
-        slack = 1e-12 * dims * (np.einsum("ij,ij->i", block, block) + table_squares.max())
+        squares = np.einsum("ij,ij->i", some, some)
+        rough = block @ (-2.0 * some.T)
+        rough += squares
+        slack = 1e-12 * dims * (np.einsum("ij,ij->i", block, block) + squares.max())
         row, col = np.nonzero(rough <= (rough.min(axis=1) + slack)[:, None])
         exact = np.zeros(len(row))
         for j in range(dims):
-            gap = block[row, j] - table[col, j]
+            gap = block[row, j] - some[col, j]
             exact += gap * gap
         starts = np.searchsorted(row, np.arange(len(block)))
         least = np.minimum.reduceat(exact, starts)
@@ -78,23 +77,46 @@ def nearest(x: Column, centers: Centers, measure: str = "euclidean") -> Column:
         first = hits[np.searchsorted(row[hits], np.arange(len(block)))]
         return exact[first], col[first]
 
-    def cosine_distances(block):
-        dots = np.zeros((len(block), len(table)))
-        sizes, table_sizes = np.zeros(len(block)), np.zeros(len(table))
+    def cosine_distances(block, some):
+        dots = np.zeros((len(block), len(some)))
+        sizes, other_sizes = np.zeros(len(block)), np.zeros(len(some))
         for j in range(dims):
-            dots += block[:, j : j + 1] * table[:, j]
+            dots += block[:, j : j + 1] * some[:, j]
             sizes += block[:, j] * block[:, j]
-            table_sizes += table[:, j] * table[:, j]
-        if not (sizes.all() and table_sizes.all()):
+            other_sizes += some[:, j] * some[:, j]
+        if not (sizes.all() and other_sizes.all()):
             raise ValueError("cosine distance is not defined for a vector of length zero")
-        found = 1.0 - dots / (np.sqrt(sizes)[:, None] * np.sqrt(table_sizes))
+        found = 1.0 - dots / (np.sqrt(sizes)[:, None] * np.sqrt(other_sizes))
         best = found.argmin(axis=1)
         return found[np.arange(len(block)), best], best
 
-    def measured(block):
-        if cosine:
-            return cosine_distances(block)
-        return screened_distances(block) if dims >= 8 and len(table) >= 8 else all_distances(block)
+    def measured(values, some):
+        if measure == "cosine":
+            way = cosine_distances
+        else:
+            way = screened_distances if dims >= 8 and len(some) >= 8 else all_distances
+        step = max(1, 65536 // len(some))
+        parts = [way(values[i : i + step], some) for i in range(0, len(values), step)]
+        return np.concatenate([d for d, _ in parts]), np.concatenate([w for _, w in parts])
+
+    def banded(values):
+        # Many centres: points and centres are ordered along the widest axis. Some centres close
+        # by bound the distance of a group of points; a centre farther away than that along the
+        # axis alone cannot be nearest to any of them, nor tie.
+        d2, where = np.empty(len(values)), np.empty(len(values), dtype=np.int64)
+        key, rank = table[order, axis], np.argsort(values[:, axis], kind="stable")
+        for start in range(0, len(values), 256):
+            rows = rank[start : start + 256]
+            group = values[rows]
+            low, high = group[0, axis], group[-1, axis]
+            middle = np.searchsorted(key, group[len(group) // 2, axis])
+            bound = np.sqrt(measured(group, table[order[max(0, middle - 64) : middle + 64]])[0].max())
+            bound += 1e-9 * (bound + abs(low) + abs(high))
+            band = order[np.searchsorted(key, low - bound) : np.searchsorted(key, high + bound, side="right")]
+            band = np.sort(band)  # ascending ids, so that a tie goes to the lowest
+            d2[rows], found = measured(group, table[band])
+            where[rows] = band[found]
+        return d2, where
 
     @arrow_udf(f"struct<d2:double,center_id:{centers.id_type}>")
     def nearest_center(x: pa.Array) -> pa.Array:
@@ -104,11 +126,12 @@ def nearest(x: Column, centers: Centers, measure: str = "euclidean") -> Column:
         if not np.isfinite(values).all():
             raise ValueError("coordinates must be finite numbers")
         values = values.reshape(-1, dims)
-        d2 = np.empty(len(values))
-        where = np.empty(len(values), dtype=np.int64)
-        for start in range(0, len(values), rows_per_step):
-            part = slice(start, start + rows_per_step)
-            d2[part], where[part] = measured(values[part])
+        if not len(values):
+            d2, where = np.empty(0), np.empty(0, dtype=np.int64)
+        elif measure == "euclidean" and len(table) >= 512:
+            d2, where = banded(values)
+        else:
+            d2, where = measured(values, table)
         return pa.StructArray.from_arrays([pa.array(d2), ids.take(pa.array(where))], names=["d2", "center_id"])
 
     # Marked so that no filter on the result is pushed below it, which would measure twice.

@@ -35,6 +35,20 @@ def test_many_dimensions_are_screened_exactly(make_points):
         assert found[f"p{i:05d}"] == (exact.min(), int(exact.argmin()))
 
 
+@pytest.mark.parametrize("dims,lattice", [(3, True), (2, False), (12, False)])
+def test_many_centres_are_banded_exactly(make_points, dims, lattice):
+    rng = np.random.default_rng(dims)
+    matrix = rng.integers(0, 12, size=(900, dims)).astype(float) if lattice else rng.normal(size=(900, dims)) * 50
+    matrix[:5] += 4000  # some far from everything
+    centers = np.vstack([matrix[200:], matrix[200:300]])
+    found = collected(nearest.with_nearest(make_points(matrix, partitions=2), Centers(centers)))
+    exact = np.zeros((len(matrix), len(centers)))
+    for j in range(dims):
+        gap = matrix[:, j : j + 1] - centers[:, j]
+        exact += gap * gap
+    assert found == {f"p{i:05d}": (d.min(), int(d.argmin())) for i, d in enumerate(exact)}
+
+
 def test_ties_go_to_the_lowest_id(make_points):
     points = make_points([[1.0, 0.0]])
     assert collected(nearest.with_nearest(points, Centers([[0.0, 0.0], [2.0, 0.0]])))["p00000"] == (1.0, 0)
