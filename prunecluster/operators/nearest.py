@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ def with_nearest(
         centers = centers.to_df(points.sparkSession)
     if tables is None:
         raise ValueError(f"{size} bytes of centres need run tables to be handled in blocks")
-    return _in_blocks(points, centers, measure, tables, max_bytes, math.ceil(2 * size / max_bytes))
+    return _in_blocks(points, centers, measure, tables, max_bytes)
 
 
 def fetched(centers: Centers | DataFrame, max_bytes: int = CENTER_BYTES) -> tuple[Centers | DataFrame, int]:
@@ -51,19 +52,26 @@ def _one_pass(points: DataFrame, centers: Centers, measure: str) -> DataFrame:
     return found.select("*", "nearest.d2", "nearest.center_id").drop("nearest")
 
 
-def _in_blocks(points, centers, measure, tables, max_bytes, blocks) -> DataFrame:
+def center_blocks(centers: DataFrame, max_bytes: int, depth: int = 0) -> Iterator[Centers]:
+    """The centres in sets of at most ``max_bytes`` (or one row), one at a time.
+
+    A table that is too large is split by a hash of the id, and a part that still is once more.
+    """
+    rows, size = center_table_size(centers)
+    if rows > 1 and size > max_bytes:
+        parts = math.ceil(2 * size / max_bytes)
+        part_of = F.pmod(F.xxhash64("center_id", F.lit(depth)), F.lit(parts))
+        for part in range(parts):
+            yield from center_blocks(centers.where(part_of == part), max_bytes, depth + 1)
+    elif rows:
+        yield Centers.from_rows(centers.select("center_id", "c").collect())
+
+
+def _in_blocks(points, centers, measure, tables, max_bytes) -> DataFrame:
     name = f"nearest-{uuid4().hex}"
-    numbered = centers.select("center_id", "c", F.pmod(F.xxhash64("center_id"), F.lit(blocks)).alias("block"))
-    stored = tables.write(numbered.repartition("block"), f"{name}-centers")
+    stored = tables.write(centers.select("center_id", "c"), f"{name}-centers")
     best, previous = points, None
-    for block in range(blocks):
-        part = stored.where(F.col("block") == block).select("center_id", "c")
-        rows, size = center_table_size(part)
-        if not rows:
-            continue
-        if size > max_bytes:
-            raise ValueError(f"block {block} holds {rows} centres ({size} bytes), more than {max_bytes}")
-        local = Centers.from_rows(part.collect())
+    for block, local in enumerate(center_blocks(stored, max_bytes)):
         pair = distance.nearest(F.col("x"), local, measure)
         if previous is not None:
             # structs compare field by field: smaller distance first, then lower id

@@ -28,7 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class RunTables:
-    """The tables of one run, in a folder of their own that goes when the run ends."""
+    """The tables of one run, in a folder of their own.
+
+    As a context it removes the folder at the end; without, the folder stays for frames that
+    still read from it.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark

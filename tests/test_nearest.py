@@ -66,6 +66,15 @@ def test_blocks_give_the_same_result(spark, make_points, lattice_matrix):
     assert blocks == whole and from_table == whole
 
 
+def test_blocks_are_split_until_they_fit(spark, lattice_matrix):
+    table = Centers(lattice_matrix[:14]).to_df(spark)
+    blocks = list(nearest.center_blocks(table, 50))  # two rows of 24 bytes each
+    assert all(len(b) <= 2 for b in blocks)
+    assert sorted(i for b in blocks for i in b.ids) == list(range(14))
+    assert all(np.array_equal(b.matrix[j], lattice_matrix[i]) for b in blocks for j, i in enumerate(b.ids))
+    assert [len(b) for b in nearest.center_blocks(table.where("center_id < 2"), 10)] == [1, 1]
+
+
 def test_large_centre_tables_need_run_tables(make_points, lattice_matrix):
     with pytest.raises(ValueError, match="blocks"):
         nearest.with_nearest(make_points(lattice_matrix), Centers(lattice_matrix), max_bytes=100)
