@@ -6,12 +6,14 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prunecluster.llm import exact_dedup, packing
+from prunecluster.llm import exact_dedup, langid, packing, simhash
 from prunecluster.llm.batches import public_tokenizer
 from prunecluster.storage import shared_folder
 
 STAGES = [
+    ("language ID", lambda spark, docs, sf_dir: langid.keep_languages(docs)),
     ("exact dedup", lambda spark, docs, sf_dir: exact_dedup.drop_copies(docs)),
+    ("SimHash near-dedup", lambda spark, docs, sf_dir: simhash.drop_near_copies(docs)),
     ("best-fit packing", lambda spark, docs, sf_dir: packing.pack_documents(docs, public_tokenizer())),
 ]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prunecluster.llm import exact_dedup, packing, token_file
+from prunecluster.llm import exact_dedup, langid, packing, simhash, token_file
 from prunecluster.llm.batches import public_tokenizer
 
 
@@ -16,15 +16,25 @@ def op2_best_fit_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizer())
 
 
+def op3_simhash_dedup(spark, folder):
+    return simhash.simhash_dedup(table(spark, folder, "documents"))
+
+
 def op7_exact_dedup(spark, folder):
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+def op8_language_id(spark, folder):
+    return langid.language_id(table(spark, folder, "documents"))
+
+
 def op9_token_file(spark, folder):
     return token_file.token_output(table(spark, folder, "documents"), public_tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op7_exact_dedup, op9_token_file)}
+QUERIES = {f.__name__: f for f in (
+    op2_best_fit_packing, op3_simhash_dedup, op7_exact_dedup, op8_language_id, op9_token_file,
+)}
 
 ORACLES = {
     "op7_exact_dedup": """
