@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prunecluster.llm import exact_dedup, langid, packing, simhash, token_file
+from prunecluster.llm import exact_dedup, langid, packing, simhash, token_file, warc
 from prunecluster.llm.batches import public_tokenizer
 
 
@@ -32,8 +32,13 @@ def op9_token_file(spark, folder):
     return token_file.token_output(table(spark, folder, "documents"), public_tokenizer())
 
 
+def op10_warc(spark, folder):
+    return warc.warc_round_trip(table(spark, folder, "pages")).drop("problem")
+
+
 QUERIES = {f.__name__: f for f in (
     op2_best_fit_packing, op3_simhash_dedup, op7_exact_dedup, op8_language_id, op9_token_file,
+    op10_warc,
 )}
 
 ORACLES = {
@@ -44,4 +49,11 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
         FROM t""",
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS model FROM p)
+        SELECT page_id, payload_bytes, sha1(body) AS payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> model THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> model THEN model END AS refers_to
+        FROM m""",
 }
