@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prunecluster.llm import exact_dedup, langid, packing, simhash, token_file, warc
+from prunecluster.llm import embed_dedup, exact_dedup, langid, packing, simhash, token_file, warc
 from prunecluster.llm.batches import public_tokenizer
 
 
@@ -12,6 +12,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark, folder):
+    return embed_dedup.embedding_dedup(table(spark, folder, "embeddings"))
+
+
 def op2_best_fit_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizer())
 
@@ -37,11 +41,27 @@ def op10_warc(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op3_simhash_dedup, op7_exact_dedup, op8_language_id, op9_token_file,
+    op1_embedding_dedup, op2_best_fit_packing, op3_simhash_dedup, op7_exact_dedup, op8_language_id, op9_token_file,
     op10_warc,
 )}
 
 ORACLES = {
+    "op1_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+              AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            WHERE len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+        r AS (
+            SELECT a AS vec_id, a AS other FROM (SELECT DISTINCT a FROM l)
+            UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.other = l.a)
+        SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.least, e.vec_id) AS component_id,
+               coalesce(c.least, e.vec_id) = e.vec_id AS kept
+        FROM embeddings e
+        LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) n ON n.a = e.vec_id
+        LEFT JOIN (SELECT vec_id, min(other) AS least FROM r GROUP BY vec_id) c ON c.vec_id = e.vec_id""",
     "op7_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
