@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 #: Rows and bytes of a batch that goes back to Spark.
 OUT_ROWS, OUT_BYTES = 4096, 8 << 20
 #: Pieces of text kept with their ids; the dictionary starts again when it is full.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 64
+KEPT_WORDS, KEPT_LENGTH = 800_000, 64
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -71,7 +71,7 @@ def task_number() -> int:
     return TaskContext.get().partitionId()
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of a text, each as four little-endian bytes, from the ids of its white-space-free runs.
 
     Holds for a tokenizer to which ASCII white space only separates words, as that of the default file;
@@ -79,10 +79,10 @@ class WordIds(dict):
     """
 
     def __init__(self, tokenizer_file: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.known: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         probe = "a 1\t' b\n\nc\r.\x0b,\x0c d"
         if self.tokenizer.encode(probe, add_special_tokens=False).ids != [
@@ -90,27 +90,20 @@ class WordIds(dict):
         ]:
             raise ValueError(f"{tokenizer_file}: its tokens depend on white space")
 
-    def _learn(self, words: set[bytes]) -> None:
-        words = list(words)
-        if len(self) + len(words) > KEPT_WORDS:
-            self.clear()
-        codes = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        for word, code in zip(words, codes):
-            self[word] = array("I", code.ids).tobytes()
-
     def encode(self, text: bytes) -> bytes:
         words = text.split()  # bytes split at ASCII white space alone
-        known = set(words)
-        long = [w for w in known if len(w) > KEPT_LENGTH]
-        unknown = known.difference(self)
+        unknown = set(words).difference(self.known)
+        if unknown and len(self.known) + len(unknown) > KEPT_WORDS:
+            self.known.clear()
+            unknown = set(words)
         if unknown:
-            if len(self) + len(unknown) > KEPT_WORDS:
-                self.clear()
-                unknown = known
-            self._learn(unknown)
-        ids = b"".join(map(self.__getitem__, words))
-        for word in long:
-            del self[word]
+            new = list(unknown)
+            codes = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+            self.known.update((word, array("I", code.ids).tobytes()) for word, code in zip(new, codes))
+        ids = b"".join(map(self.known.__getitem__, words))
+        for word in unknown:
+            if len(word) > KEPT_LENGTH:
+                del self.known[word]
         return ids
 
 
