@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prunecluster.llm import embed_dedup, exact_dedup, langid, packing, simhash, token_file, warc
+from prunecluster.llm import chat, embed_dedup, exact_dedup, langid, line_dedup, packing, simhash, token_file, warc
 from prunecluster.llm.batches import public_tokenizer
 
 
@@ -24,6 +24,14 @@ def op3_simhash_dedup(spark, folder):
     return simhash.simhash_dedup(table(spark, folder, "documents"))
 
 
+def op4_line_dedup(spark, folder):
+    return line_dedup.line_dedup(table(spark, folder, "documents"))
+
+
+def op5_chat_format(spark, folder):
+    return chat.repair_chats(table(spark, folder, "conversations"))
+
+
 def op7_exact_dedup(spark, folder):
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
@@ -41,7 +49,8 @@ def op10_warc(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_embedding_dedup, op2_best_fit_packing, op3_simhash_dedup, op7_exact_dedup, op8_language_id, op9_token_file,
+    op1_embedding_dedup, op2_best_fit_packing, op3_simhash_dedup, op4_line_dedup, op5_chat_format,
+    op7_exact_dedup, op8_language_id, op9_token_file,
     op10_warc,
 )}
 
@@ -62,6 +71,23 @@ ORACLES = {
         FROM embeddings e
         LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) n ON n.a = e.vec_id
         LEFT JOIN (SELECT vec_id, min(other) AS least FROM r GROUP BY vec_id) c ON c.vec_id = e.vec_id""",
+    "op4_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+            FROM documents),
+        w AS (
+            SELECT doc_id, i, line, lead(line) OVER d AS second, lead(line, 2) OVER d AS third
+            FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+        r AS (
+            SELECT doc_id, i FROM w WHERE third IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, i) > 1),
+        g AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM r)
+        SELECT l.doc_id,
+               CASE WHEN bool_and(l.text IS NULL) THEN NULL
+                    ELSE coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') END AS text,
+               count(*) AS n_lines, count(g.i) AS n_removed
+        FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id""",
     "op7_exact_dedup": """
         WITH t AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
