@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prunecluster.llm import chat, embed_dedup, exact_dedup, langid, line_dedup, packing, simhash, token_file, warc
+from prunecluster.llm import chat, embed_dedup, exact_dedup, langid, line_dedup, packing, pieces, simhash, token_file, warc
 from prunecluster.llm.batches import public_tokenizer
 
 
@@ -32,6 +32,10 @@ def op5_chat_format(spark, folder):
     return chat.repair_chats(table(spark, folder, "conversations"))
 
 
+def op6_sentencepiece(spark, folder):
+    return pieces.round_trip(table(spark, folder, "documents"), pieces.public_model())
+
+
 def op7_exact_dedup(spark, folder):
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
@@ -50,7 +54,7 @@ def op10_warc(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_best_fit_packing, op3_simhash_dedup, op4_line_dedup, op5_chat_format,
-    op7_exact_dedup, op8_language_id, op9_token_file,
+    op6_sentencepiece, op7_exact_dedup, op8_language_id, op9_token_file,
     op10_warc,
 )}
 
