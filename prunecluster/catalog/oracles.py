@@ -148,10 +148,10 @@ def tail(epsilon: str) -> str:
 PAIR_RATE = f"rate AS (SELECT {SUBSET} / n AS alpha FROM size)"
 
 SETTINGS = f"""settings AS (
-  SELECT l_suppkey, count(*) AS n, max(l_linenumber) AS k, sum(l_quantity) AS cost, max(l_quantity) AS known,
-         count(*) FILTER (l_returnflag <> 'R') AS remaining,
+  SELECT l_suppkey, nullif(count(*), 1) AS n, max(l_linenumber) AS k, sum(l_quantity) AS cost, max(l_quantity) AS known,
+         nullif(count(*) FILTER (l_returnflag <> 'R'), 0) AS remaining,
          CASE l_suppkey % 4 WHEN 0 THEN 0.01::DOUBLE WHEN 1 THEN 0.05::DOUBLE WHEN 2 THEN 0.1::DOUBLE ELSE 0.2::DOUBLE END AS e
-  FROM lineitem GROUP BY l_suppkey HAVING count(*) FILTER (l_returnflag <> 'R') > 0 AND count(*) > 1),
+  FROM lineitem GROUP BY l_suppkey),
 rates AS (SELECT *, {max_subset('n', 'k', 'e', D)} AS subset, {max_subset('n', 'k', 'e', D)}::DOUBLE / remaining AS alpha FROM settings),
 phis AS (SELECT *, {phi('alpha', 'k', 'e', D)} AS phi FROM rates)"""
 
@@ -221,36 +221,75 @@ def gaussian_coordinate(j: int) -> str:
     return f"round({CENTER.format(j=j)} + 0.001::DOUBLE * ({radius} * {wave}({angle})), 6) AS x{j}"
 
 
-def summary_sql() -> str:
-    parts = [POINTS]
-    for i in range(5):
-        parts.append(lowest(f"drawn{i}", "pts", f"run{i}", 10))
-    runs = []
-    for i in range(5):
-        for k in (3, 5):
-            for kind, size in (("every", 2 * k), ("final", k)):
-                parts.append(
-                    f"cost_{i}_{k}_{kind} AS (SELECT sum(d2) AS risk FROM (SELECT min({d2()}) AS d2 FROM pts p CROSS JOIN "
-                    f"(SELECT * FROM drawn{i} WHERE center_id < {size}) c GROUP BY p.point_id))"
-                )
-            runs.append(
-                f"SELECT {k}::INTEGER AS k, {i + 1}::DOUBLE AS iterations, {2 * k}::DOUBLE AS num_centers, "
-                f"(SELECT risk FROM cost_{i}_{k}_final) AS risk_final, {N}::DOUBLE * {2 * k} AS comps"
-            )
-    parts.append("runs AS (" + " UNION ALL ".join(runs) + ")")
+def single_run(seed: int) -> str:
+    """Metrics of a run of one round: samples drawn with ``seed``, centres taken by hash."""
+    parts = query(
+        POINTS, COUNTED, SETTING, *ROUND_1,
+        f"""ordered AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN (SELECT count(*) FROM left_1) <= 5 THEN 0 ELSE {u('c')} END, point_id) AS place FROM left_1)""",
+        "last AS (SELECT place, x0, x1, x2, x3 FROM ordered WHERE place <= 5)",
+        """candidates AS (
+  SELECT center_id::BIGINT AS center_id, x0, x1, x2, x3 FROM c_1 UNION ALL
+  SELECT place - 1 + (SELECT count(*) FROM c_1), x0, x1, x2, x3 FROM last)""",
+        *CANDIDATES[1:],
+        """positive AS (SELECT center_id::VARCHAR AS point_id, w, x0, x1, x2, x3 FROM (
+  SELECT row_number() OVER (ORDER BY center_id) - 1 AS center_id, weight AS w, x0, x1, x2, x3 FROM weighted WHERE weight > 0))""",
+        lowest("final", "positive", "c", K),
+        scored("ended", "pts", "final"),
+        select="""SELECT (SELECT subset FROM setting)::DOUBLE AS coord_mem, (SELECT count(*) FROM candidates)::DOUBLE AS num_centers,
+  1::DOUBLE AS iterations, (SELECT sum(d2) FROM ended) AS risk_final,
+  ((SELECT remaining FROM rate1) * (SELECT count(*) FROM c_1))::DOUBLE AS comps""",
+    )
+    return parts.replace(f"md5('{SEED}:p", f"md5('{seed}:p")
 
+
+def summary_sql() -> str:
     def stats(name, column):
         return f"round(avg({column}), 4) AS {name}_avg, round(stddev_samp({column}), 4) AS {name}_stdv"
 
-    return query(*parts, select=f"""SELECT 'random_rows' AS algorithm, k, 0.05::DOUBLE AS epsilon, 0.0::DOUBLE AS coord_mem,
-  {stats('num_centers', 'num_centers')}, {stats('rounds', 'iterations')}, {stats('final_risk', 'risk_final')},
-  {stats('comps_pm', 'comps')}, {stats('comps_tot', 'comps')}, {stats('reducers_time', '0.0::DOUBLE')},
-  {stats('total_time', '0.0::DOUBLE')} FROM runs GROUP BY k""")
+    return f"""SELECT 'lineitem' AS dataset, 0::INTEGER AS steps, 'sampled_kmeans' AS algorithm, 5::INTEGER AS k, 0.05::DOUBLE AS epsilon,
+  round(max(coord_mem), 4) AS coord_mem, {stats('num_centers', 'num_centers')}, {stats('rounds', 'iterations')},
+  {stats('final_risk', 'risk_final')}, {stats('comps_tot', 'comps')}
+FROM (SELECT * FROM ({single_run(SEED)}) UNION ALL SELECT * FROM ({single_run(SEED + 1)}))"""
+
+
+ORDER_POINTS = """pts AS (
+  SELECT o_orderkey::VARCHAR AS point_id, round(o_totalprice / 10000) AS x0, (o_custkey % 7)::DOUBLE AS x1,
+         (o_custkey % 11)::DOUBLE AS x2, (o_custkey % 13)::DOUBLE AS x3, 1::DOUBLE AS w FROM orders)"""
+
+
+def steps_sql(points: str, dataset: str, steps: int) -> str:
+    """The summary of one k-means|| run of so many steps."""
+    parts, before = [points, "size AS (SELECT count(*)::DOUBLE AS n FROM pts)", FIRST], "first"
+    taken = ["SELECT 0::BIGINT AS center_id, x0, x1, x2, x3 FROM first"]
+    for no in range(1, steps + 1):
+        parts += draw(no, before)
+        taken.append(f"SELECT place + {10 * (no - 1)}, x0, x1, x2, x3 FROM draw_{no}")
+        before = f"after_{no}"
+        parts.append(f"{before} AS ({' UNION ALL '.join(t.replace('0::BIGINT AS center_id', '0::BIGINT AS center_id') for t in taken)})")
+    parts += [f"candidates AS (SELECT * FROM {before})", *CANDIDATES[1:]]
+    parts.append("""positive AS (SELECT center_id::VARCHAR AS point_id, w, x0, x1, x2, x3 FROM (
+  SELECT row_number() OVER (ORDER BY center_id) - 1 AS center_id, weight AS w, x0, x1, x2, x3 FROM weighted WHERE weight > 0))""")
+    parts += [lowest("final", "positive", "c", K), scored("ended", "pts", "final")]
+    work = sum(1 + 10 * no for no in range(steps))
+    return query(*parts, select=f"""SELECT '{dataset}' AS dataset, {steps}::INTEGER AS steps, 'kmeans_parallel' AS algorithm, 5::INTEGER AS k,
+  0.0::DOUBLE AS epsilon, (SELECT count(*) FROM candidates)::DOUBLE AS num_centers_avg,
+  round((SELECT sum(d2) FROM ended), 4) AS final_risk_avg, (SELECT n FROM size) * {work} AS comps_tot_avg""")
+
+
+def sweep_sql() -> str:
+    runs = [steps_sql(p, d, n) for p, d in ((POINTS, "lineitem"), (ORDER_POINTS, "orders")) for n in (1, 2)]
+    return "\nUNION ALL\n".join(f"SELECT * FROM ({r})" for r in runs)
+
+
+SEPARATED = """SELECT count(*) AS size, round(avg(substr(o_orderpriority, 1, 1)::INTEGER * 10000), 6) AS x0,
+  round(avg(pow(substr(o_orderpriority, 1, 1)::INTEGER, 2) * 10000), 6) AS x1, round(avg(round(o_totalprice / 10000)), 6) AS x2,
+  round(avg(o_custkey % 11), 6) AS x3, 5::INTEGER AS k
+FROM orders GROUP BY o_orderpriority"""
 
 
 NULLS = """joined AS (
   SELECT o_orderkey, o_orderstatus, l_linenumber, l_quantity
-  FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey)"""
+  FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey)"""
 
 VECTORS = """vec AS (SELECT vec_id AS point_id, embedding::DOUBLE[] AS x FROM embeddings)"""
 
@@ -276,14 +315,23 @@ STATUSES = ["F", "O", "P"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 def dummies(column: str, levels: list[str]) -> str:
     return ", ".join(f"({column} = '{v}')::INTEGER AS \"{column}_{v}\"" for v in levels)
 
 
 ORACLES = {
     "csv_points": "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_partkey IS NOT NULL AND p_size IS NOT NULL AND p_retailprice IS NOT NULL",
-    "preset_points": f"""SELECT o_totalprice, {dummies('o_orderstatus', STATUSES)}, {dummies('o_orderpriority', PRIORITIES)}
-FROM orders WHERE o_totalprice IS NOT NULL""",
+    "preset_points": f"""SELECT o_custkey, o_totalprice, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::INTEGER AS o_orderdate, {dummies('o_orderstatus', STATUSES)}, {dummies('o_orderpriority', PRIORITIES)}
+FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL""",
+    "csv_limit": f"""WITH c AS (SELECT * FROM customer ORDER BY c_custkey LIMIT (SELECT count(*) // 2 FROM customer)),
+kept AS (SELECT * FROM c WHERE c_nationkey IS NOT NULL AND c_acctbal IS NOT NULL),
+r AS (SELECT min(c_nationkey)::DOUBLE AS n0, max(c_nationkey)::DOUBLE AS n1, min(c_acctbal) AS a0, max(c_acctbal) AS a1 FROM kept)
+SELECT c_custkey, round((c_nationkey - n0) / (n1 - n0), 9) AS c_nationkey, round((c_acctbal - a0) / (a1 - a0), 9) AS c_acctbal,
+  {dummies('c_mktsegment', SEGMENTS)} FROM kept, r""",
+    "libsvm_points": "SELECT p_partkey, p_size::DOUBLE AS x0, p_retailprice AS x1 FROM part",
     "gaussian_sizes": """WITH seg AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL),
 ranks AS (SELECT unnest(range(1, 26)) AS i), total AS (SELECT sum(pow(i, 1.5::DOUBLE)) AS t FROM ranks)
 SELECT l_returnflag, l_linestatus, i::INTEGER AS cluster, CAST(floor(n * (pow(i, 1.5::DOUBLE) / t)) AS BIGINT) AS size
@@ -309,13 +357,18 @@ FROM seg, ranks, total""",
   CAST((SELECT sum(d2) FROM served) AS BIGINT) AS risk, CAST((SELECT sum(d2) FROM ended) AS BIGINT) AS risk_final""",
     ),
     "run_summary": summary_sql(),
+    "sweep_summary": sweep_sql(),
     "numeric_projection": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
     "drop_nulls": query(NULLS, select="SELECT * FROM joined WHERE l_linenumber IS NOT NULL AND l_quantity IS NOT NULL AND o_orderstatus IS NOT NULL"),
     "one_hot": f"SELECT event_id, {dummies('event_type', EVENT_TYPES)} FROM events",
+    "one_hot_sparse": "SELECT o_orderkey, row_number() OVER (ORDER BY 'order ' || o_orderkey) - 1 AS name_index FROM orders",
     "drop_index_column": "SELECT p_name, p_brand, p_type, p_size, p_retailprice FROM part",
     "min_max_scale": """WITH r AS (SELECT min(c_nationkey)::DOUBLE AS n0, max(c_nationkey)::DOUBLE AS n1, min(c_acctbal) AS a0, max(c_acctbal) AS a1 FROM customer)
 SELECT c_custkey, round((c_nationkey::DOUBLE - n0) / (n1 - n0), 9) AS c_nationkey, round((c_acctbal - a0) / (a1 - a0), 9) AS c_acctbal,
   0.0::DOUBLE AS same FROM customer, r""",
+    "min_max_scale_nan": """WITH r AS (SELECT min(c_acctbal) AS a0, max(c_acctbal) AS a1 FROM customer WHERE c_acctbal >= 0)
+SELECT c_custkey, (c_acctbal < 0)::INTEGER AS missing,
+  CASE WHEN c_acctbal < 0 THEN -1.0::DOUBLE ELSE round((c_acctbal - a0) / (a1 - a0), 9) END AS balance FROM customer, r""",
     "constant_scale": """SELECT vec_id, (i - 1)::INTEGER AS position, round(embedding[i]::DOUBLE / 255, 9) AS value
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""",
     "assemble_vector": """SELECT p_partkey, 0::INTEGER AS position, p_size::DOUBLE AS value FROM part
@@ -359,6 +412,41 @@ WHERE s = 1 OR h = 1""",
     ),
     "nearest_vectors": vector_twin("(SELECT sum((v.x[i] - c.x[i]) * (v.x[i] - c.x[i])) FROM unnest(range(1, len(v.x) + 1)) AS t(i))", "d2"),
     "predict": query(*BASE, assigned("a", "pts", "cen"), select="SELECT point_id, center_id::INTEGER AS prediction FROM a"),
+    "predict_cosine": vector_twin(
+        "(1 - list_dot_product(v.x, c.x) / (sqrt(list_dot_product(v.x, v.x)) * sqrt(list_dot_product(c.x, c.x))))", "distance"
+    ).replace("center_id::INTEGER AS center_id, round(d, 6) AS distance FROM", "center_id::INTEGER AS prediction FROM"),
+    "model_round_trip": query(
+        *BASE, assigned("a", "pts", "cen"), select="SELECT center_id::INTEGER AS prediction, count(*) AS size FROM a GROUP BY center_id"
+    ),
+    "scored_schema": f"""SELECT 0::INTEGER AS position, 'point_id' AS field, 'string' AS kind, {N} AS filled
+UNION ALL SELECT 1::INTEGER, 'features', 'array<double>', {N} UNION ALL SELECT 2::INTEGER, 'prediction', 'int', {N}""",
+    "parameter_errors": """SELECT k, epsilon, CASE WHEN k < 1 THEN 'k' WHEN epsilon <= 0 OR epsilon >= 1 THEN 'epsilon' ELSE '' END AS refused
+FROM (SELECT DISTINCT (l_linenumber - 2)::INTEGER AS k, round(l_discount * 10, 1) AS epsilon FROM lineitem)""",
+    "weights_in_blocks": query(
+        POINTS, lowest("cen", "pts", "c", 20), assigned("a", "pts", "cen"),
+        select="SELECT c.center_id::INTEGER AS center_id, count(a.point_id) AS weight FROM cen c LEFT JOIN a ON a.center_id = c.center_id GROUP BY c.center_id",
+    ),
+    "costs_in_blocks": query(
+        POINTS, lowest("cen", "pts", "c", 20),
+        "near AS (SELECT " + ", ".join(f"min({d2()}) FILTER (c.center_id < {k}) AS d{k}" for k in (5, 10, 20)) + " FROM pts p CROSS JOIN cen c GROUP BY p.point_id)",
+        select=" UNION ALL ".join(f"SELECT {k}::INTEGER AS k, CAST(sum(d{k}) AS BIGINT) AS cost FROM near" for k in (5, 10, 20)),
+    ),
+    **dict.fromkeys(
+        ["sampled_kmeans", "sampled_kmeans_parallel_inner", "inner_kmeans", "weighted_reduce", "plain_kmeans", "kmeans_parallel", "ene_clustering"],
+        SEPARATED,
+    ),
+    "ene_to_stop_size": "SELECT round((4 / 0.2::DOUBLE) * pow(count(*), 0.2::DOUBLE) * ln(count(*)), 6) AS stop_size, 1::INTEGER AS reached, 0::INTEGER AS capped FROM lineitem",
+    "compare_runs": query(
+        *SCORED, "bound AS (SELECT CAST(sum(d2) AS BIGINT) AS bound FROM scored)",
+        select="""SELECT 'lineitem' AS dataset, algorithm, round::INTEGER AS round, 5::INTEGER AS k, 1::INTEGER AS enough, drawn::BIGINT AS drawn, bound,
+  1::INTEGER AS below, 1::INTEGER AS candidates_cheaper
+FROM bound, (VALUES ('sampled_kmeans', 0), ('kmeans_parallel', 1 + 10 * 5)) a(algorithm, drawn), (VALUES (0), (1)) r(round)""",
+    ),
+    "compare_estimators": query(
+        *SCORED,
+        select="""SELECT estimator, 5::INTEGER AS num_centers, CAST(sum(d2) AS BIGINT) AS bound, 1::INTEGER AS below
+FROM scored, (VALUES ('sampled'), ('plain')) e(estimator) GROUP BY estimator""",
+    ),
     "risk": query(*SCORED, select="SELECT CAST(sum(d2) AS BIGINT) AS risk FROM scored"),
     "truncated_risk": query(
         *SCORED,
@@ -394,7 +482,7 @@ FROM (SELECT d2, w, row_number() OVER (ORDER BY d2 DESC, w DESC) AS place FROM s
         *RUN,
         select=f"""SELECT 'sampled_kmeans' AS algorithm, CAST((SELECT remaining FROM rate1) * (SELECT count(*) FROM c_1)
     + (SELECT remaining FROM rate2) * (SELECT count(*) FROM c_2) AS BIGINT) AS total_comps
-UNION ALL SELECT 'kmeans_parallel', CAST(4 * ({N} // 4 + 2 * ({N} * 10 // 4)) AS BIGINT)""",
+UNION ALL SELECT 'kmeans_parallel', CAST(4 * ({N} // 4 + {N} * 11 // 4 + {N} * 21 // 4) AS BIGINT)""",
     ),
     "union_centers": query(
         *BASE, lowest("more", "pts", "c2", K),

@@ -11,7 +11,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..estimator import PrunedKMeans, PrunedKMeansModel
+from ..estimator import PrunedKMeans, PrunedKMeansModel, PrunedKMeansSummary
 from ..functions import formulas
 from ..functions.centers import Centers
 from ..functions.distance import squared_distance
@@ -92,9 +92,33 @@ def csv_points(spark, folder):
     return read.select(F.col("p_partkey").cast("bigint").alias("p_partkey"), "p_size", "p_retailprice")
 
 
+def csv_limit(spark, folder):
+    """The first half of the rows of a file with a line to skip, in order, one-hot and scaled."""
+    path = f"{RunTables(spark).root}/csv"
+    customers = table(spark, folder, "customer")
+    customers.select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal").write.option("header", True).csv(path)
+    read = sources.read_csv_points(
+        spark, path, schema="c_custkey bigint, c_mktsegment string, c_nationkey int, c_acctbal double",
+        limit=customers.count() // 2, order=["c_custkey"],
+        preparation=sources.Preparation(one_hot=True, numeric_only=True, drop_nulls=True),
+    )
+    scaled = prep.min_max_scale(read, ["c_nationkey", "c_acctbal"])
+    return scaled.select(*[F.round(c, 9).alias(c) if c in ("c_nationkey", "c_acctbal") else c for c in scaled.columns])
+
+
+def libsvm_points(spark, folder):
+    """Parts written as libsvm and read back."""
+    path = f"{RunTables(spark).root}/libsvm"
+    features = array_to_vector(prep.assemble_vector(["p_size", "p_retailprice"]))
+    parts = table(spark, folder, "part").select(F.col("p_partkey").cast("double").alias("label"), features.alias("features"))
+    parts.write.format("libsvm").save(path)
+    read = sources.read_libsvm_points(spark, path, dims=2)
+    return read.select(F.col("label").cast("bigint").alias("p_partkey"), *coordinates(dims=2))
+
+
 def preset_points(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return sources.preset("census1990").apply(orders)
+    orders = table(spark, folder, "orders")
+    return sources.preset("census1990").apply(orders.withColumn("o_orderdate", F.unix_date(F.to_date("o_orderdate"))))
 
 
 def gaussian_sizes(spark, folder):
@@ -119,9 +143,10 @@ def run_results(spark, folder):
     run = fixed_run(spark, folder)
     row = evaluate.metrics_row(run, 0, DELTA, 1, EPSILON)
     metrics = spark.createDataFrame([row], evaluate.METRICS_SCHEMA)
-    path = f"{RunTables(spark).root}/results"
-    sinks.write_csv(sinks.run_rows(metrics), path)
-    read = spark.read.option("header", True).csv(path)
+    with RunTables(spark) as tables:
+        sinks.write_csv(sinks.run_rows(metrics), f"{tables.root}/results")
+        read = spark.read.option("header", True).csv(f"{tables.root}/results")
+        read = spark.createDataFrame(read.collect(), read.schema)  # the row of one run
     return read.select(
         "test_name", F.col("k").cast("int").alias("k"), F.col("dt").cast("double").alias("dt"),
         F.col("m").cast("int").alias("m"), F.col("ep").cast("double").alias("ep"), F.col("l").cast("int").alias("l"),
@@ -130,27 +155,41 @@ def run_results(spark, folder):
     )
 
 
-SUMMARY_ROUNDS, SUMMARY_K = 5, [3, 5]
+def _summary(metrics: DataFrame, digits: int = 4) -> DataFrame:
+    """The summary without times and without what depends on the layout of the table."""
+    found = sinks.summarize(metrics).drop("comps_pm_avg", "comps_pm_stdv", *[c for c in sinks.SUMMARY_COLUMNS if "time" in c])
+    keys = ["dataset", "steps", "algorithm", "k", "epsilon"]
+    return found.select(*keys, *[F.round(c, digits).alias(c) for c in found.columns if c not in keys])
 
 
 def run_summary(spark, folder):
-    """Repeated runs that take 2k random centres and keep k of them, all costs from one scan."""
-    points = lattice(spark, folder)
-    n = points.count()
-    sets = {}
-    for i in range(SUMMARY_ROUNDS):
-        drawn = lowest_by_hash(points, 2 * max(SUMMARY_K), salt=f"run{i}").matrix
-        for k in SUMMARY_K:
-            sets[i, k, "all"], sets[i, k, "final"] = Centers(drawn[: 2 * k]), Centers(drawn[:k])
-    found = cost.costs(points, sets)
-    rows = [
-        ("random_rows", f"random_rows_round_{i}", i, k, DELTA, 1, EPSILON, -1, 2 * k, i + 1, found[i, k, "all"],
-         found[i, k, "final"], 0.0, float(n * 2 * k), float(n * 2 * k), 0.0, 0.0)
-        for i in range(SUMMARY_ROUNDS) for k in SUMMARY_K
-    ]
-    summary = sinks.summarize(spark.createDataFrame(rows, evaluate.METRICS_SCHEMA))
-    keys = ["algorithm", "k", "epsilon"]
-    return summary.select(*keys, *[F.round(c, 4).alias(c) for c in summary.columns if c not in keys])
+    """Two runs of one round each, with seeds that follow each other."""
+    metrics = evaluate.repeat_runs(
+        lattice(spark, folder), "sampled_kmeans", K, EPSILON, rounds=2, seed=SEED, delta=DELTA, dataset="lineitem",
+        blackbox=fixed_box, reducer=fixed_box, uniform="md5", max_iter=1,
+    )
+    return _summary(metrics).na.fill(0, ["steps"])
+
+
+def order_points(spark, folder) -> DataFrame:
+    """Orders as points with integer coordinates."""
+    orders = prep.spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    x = F.array(F.round(F.col("o_totalprice") / 10000), *[F.pmod("o_custkey", F.lit(m)).cast("double") for m in (7, 11, 13)])
+    return prep.point_table(orders, [F.col("o_orderkey").cast("string")], x)
+
+
+def sweep_summary(spark, folder):
+    """A sweep over two tables and two step counts."""
+    names = spark.createDataFrame([("lineitem",), ("orders",)], "dataset string")
+    plan = evaluate.sweep_plan(names).where("algorithm = 'kmeans_parallel' and k = 25 and steps <= 2").withColumn("k", F.lit(K))
+    load = {"lineitem": lattice, "orders": order_points}
+    metrics = evaluate.run_sweep(
+        spark, lambda name: load[name](spark, folder), names, rounds=1, seed=SEED, delta=DELTA, plan=plan,
+        reducer=fixed_box, uniform="md5",
+    )
+    return _summary(metrics).select(
+        "dataset", "steps", "algorithm", "k", "epsilon", "num_centers_avg", "final_risk_avg", "comps_tot_avg"
+    )
 
 
 # --- preparation -------------------------------------------------------------------------------
@@ -161,7 +200,7 @@ def numeric_projection(spark, folder):
 
 
 def _with_nulls(spark, folder):
-    items = table(spark, folder, "lineitem").where(F.col("l_returnflag") == "R")
+    items = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders")
     return orders.join(items, orders.o_orderkey == items.l_orderkey, "left").select(
         "o_orderkey", "o_orderstatus", "l_linenumber", "l_quantity"
@@ -176,6 +215,12 @@ def one_hot(spark, folder):
     return prep.one_hot(table(spark, folder, "events").select("event_id", "event_type"))
 
 
+def one_hot_sparse(spark, folder):
+    """A text key of the orders, as many levels as rows."""
+    keyed = table(spark, folder, "orders").select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"))
+    return prep.one_hot_sparse(keyed, "name")
+
+
 def drop_index_column(spark, folder):
     return prep.drop_first_column(table(spark, folder, "part"))
 
@@ -186,6 +231,13 @@ def min_max_scale(spark, folder):
     return scaled.select("c_custkey", *[F.round(c, 9).alias(c) for c in ("c_nationkey", "c_acctbal", "same")])
 
 
+def min_max_scale_nan(spark, folder):
+    """Negative balances become NaN; they have no part in the range."""
+    balance = F.when(F.col("c_acctbal") < 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    scaled = prep.min_max_scale(table(spark, folder, "customer").select("c_custkey", balance.alias("balance")), ["balance"])
+    return scaled.select("c_custkey", F.isnan("balance").cast("int").alias("missing"), F.round(F.nanvl("balance", F.lit(-1.0)), 9).alias("balance"))
+
+
 def constant_scale(spark, folder):
     vectors = table(spark, folder, "embeddings")
     half = F.floor(F.size("embedding") / 2).cast("int")
@@ -301,6 +353,51 @@ def predict(spark, folder):
     return model.transform(vectors).select("point_id", "prediction")
 
 
+def predict_cosine(spark, folder):
+    points = _vectors(spark, folder)
+    model = PrunedKMeansModel(lowest_by_hash(points, 10).matrix)
+    model._set(distanceMeasure="cosine")
+    vectors = points.select("point_id", array_to_vector("x").alias("features"))
+    return model.transform(vectors).select("point_id", "prediction")
+
+
+def model_round_trip(spark, folder):
+    """A model with fixed centres, saved, loaded and applied, through its summary: rows per cluster."""
+    points = lattice(spark, folder)
+    vectors = points.select("point_id", array_to_vector("x").alias("features"))
+    with RunTables(spark) as tables:
+        PrunedKMeansModel(lowest_by_hash(points, K).matrix).save(f"{tables.root}/model")
+        model = PrunedKMeansModel.load(f"{tables.root}/model")
+    sizes = PrunedKMeansSummary(model, model.transform(vectors), K).clusterSizes
+    return spark.createDataFrame(list(enumerate(sizes)), "prediction int, size bigint")
+
+
+def scored_schema(spark, folder):
+    """Names and types of a scored table, with the rows that have a value."""
+    points = lattice(spark, folder)
+    model = PrunedKMeansModel(lowest_by_hash(points, K).matrix)
+    scored = model.transform(points.select("point_id", F.col("x").alias("features")))
+    assert [f.name for f in model.transformSchema(scored.drop("prediction").schema)] == scored.columns
+    counts = scored.agg(*[F.count(c).alias(c) for c in scored.columns]).first()
+    rows = [(i, f.name, f.dataType.simpleString(), counts[f.name]) for i, f in enumerate(scored.schema.fields)]
+    return spark.createDataFrame(rows, "position int, field string, kind string, filled bigint")
+
+
+def parameter_errors(spark, folder):
+    """Which settings, taken from the line items, the estimator refuses."""
+    items = table(spark, folder, "lineitem")
+    settings = items.select((F.col("l_linenumber") - 2).cast("int").alias("k"), F.round(F.col("l_discount") * 10, 1).alias("epsilon"))
+    rows = []
+    for s in settings.distinct().collect():  # a few numbers of lines and discounts
+        try:
+            PrunedKMeans(k=s.k, epsilon=s.epsilon)
+            wrong = ""
+        except ValueError as error:
+            wrong = str(error).split()[0]
+        rows.append((s.k, s.epsilon, wrong))
+    return spark.createDataFrame(rows, "k int, epsilon double, refused string")
+
+
 # --- costs and order statistics ----------------------------------------------------------------
 
 
@@ -332,6 +429,22 @@ def center_weights(spark, folder):
     return found.select("center_id", whole(F.col("weight"), "weight"), whole(F.col("cost"), "cost"))
 
 
+SMALL_BYTES = 200  # a few centres
+
+
+def weights_in_blocks(spark, folder):
+    points = lattice(spark, folder)
+    weighted, _ = cost.center_weights(points, lowest_by_hash(points, 20), max_bytes=SMALL_BYTES)
+    return weighted.to_df(spark).select("center_id", whole(F.col("weight"), "weight"))
+
+
+def costs_in_blocks(spark, folder):
+    points = lattice(spark, folder)
+    sets = {str(k): lowest_by_hash(points, k) for k in (5, 10, 20)}
+    found = cost.costs(points, sets, max_bytes=SMALL_BYTES)
+    return spark.createDataFrame([(int(k), round(v)) for k, v in found.items()], "k int, cost bigint")
+
+
 def weighted_costs(spark, folder):
     """Instance weights in centre weights, cost and truncated cost."""
     points = lattice(spark, folder, weight="l_quantity")
@@ -418,7 +531,10 @@ def _settings(spark, folder):
         F.max("l_quantity").alias("known"), F.count_if(F.col("l_returnflag") != "R").alias("remaining"),
     )
     epsilon = F.element_at(F.array(*[F.lit(e) for e in evaluate.SWEEP_EPSILON]), (F.col("l_suppkey") % 4 + 1).cast("int"))
-    return items.where("remaining > 0 and n > 1").withColumn("epsilon", epsilon)
+    # where no row is left, or one alone, there is no rate: null
+    return items.withColumn("remaining", F.nullif("remaining", F.lit(0))).withColumn("n", F.nullif("n", F.lit(1))).withColumn(
+        "epsilon", epsilon
+    )
 
 
 def plan_parameters(spark, folder):
@@ -502,45 +618,67 @@ def last_step_small(spark, folder):
     return run.candidates.to_df(spark).where(F.col("center_id") >= before).select(*coordinates("c", "c"))
 
 
-def _centers(spark, run):
-    return run.centers.to_df(spark).select(
-        "center_id", *coordinates("c", "c"), F.lit(run.risk_final).alias("risk_final"),
-        F.lit(run.candidate_count).alias("candidate_count"), F.lit(run.iterations).alias("iterations"),
+APART = 10_000
+
+
+def separated(spark, folder) -> DataFrame:
+    """Orders around five places, one for each priority, far apart: a clustering has one right answer."""
+    orders = prep.spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"))
+    place = F.substring("o_orderpriority", 1, 1).cast("int")
+    x = F.array(
+        place * APART, F.pow(place, F.lit(2)) * APART, F.round(F.col("o_totalprice") / 10000), F.pmod("o_custkey", F.lit(11)),
     )
+    return prep.point_table(orders, [F.col("o_orderkey").cast("string")], x)
+
+
+def partition_found(points: DataFrame, centers: Centers) -> DataFrame:
+    """Rows and mean of each cluster, in the order of the first coordinate."""
+    found = nearest.with_nearest(points, centers)
+    means = [F.round(F.avg(F.col("x")[j]), 6).alias(f"x{j}") for j in range(DIMS)]
+    return found.groupBy("center_id").agg(F.count("*").alias("size"), *means).drop("center_id").withColumn("k", F.lit(len(centers)))
+
+
+SEEDS = (7, 8, 9)
+
+
+def _best(spark, folder, algorithm, epsilon=EPSILON, **options):
+    points = separated(spark, folder)
+    return partition_found(points, evaluate.best_run(points, algorithm, K, epsilon, SEEDS, **options).centers)
 
 
 def sampled_kmeans_run(spark, folder):
-    return _centers(spark, sampled_kmeans(lattice(spark, folder), K, EPSILON, DELTA, seed=SEED))
+    return _best(spark, folder, "sampled_kmeans")
 
 
 def sampled_kmeans_parallel_inner(spark, folder):
-    run = sampled_kmeans(lattice(spark, folder), K, EPSILON, DELTA, seed=SEED, blackbox="kmeans_parallel")
-    return _centers(spark, run)
+    return _best(spark, folder, "sampled_kmeans", blackbox="kmeans_parallel")
 
 
-def _first_sample(spark, folder):
-    points = lattice(spark, folder)
-    n = points.count()
-    alpha = formulas.sampling_rate(formulas.max_subset(n, K, EPSILON, DELTA), n)
-    return sampling.paired_sample(points, alpha, SEED, method="md5").where("p1")
+def _cheapest(spark, points, boxes) -> DataFrame:
+    """The partition by the cheapest of several centre sets, all measured in one scan."""
+    sets = {str(i): c for i, c in enumerate(boxes)}
+    found = cost.costs(points, sets)
+    return partition_found(points, sets[min(found, key=found.get)])
 
 
 def inner_kmeans(spark, folder):
-    k = formulas.oversampled_k(K, DELTA, EPSILON)
-    return spark_kmeans()(_first_sample(spark, folder), k, SEED).to_df(spark).select("center_id", *coordinates("c", "c"))
+    """The box inside the rounds, on the sample of the first."""
+    points = separated(spark, folder)
+    n = points.count()
+    alpha = formulas.sampling_rate(formulas.max_subset(n, K, EPSILON, DELTA), n)
+    sample = sampling.paired_sample(points, alpha, SEED, method="md5").where("p1")
+    return _cheapest(spark, points, [spark_kmeans()(sample, K, s) for s in SEEDS])
 
 
 def weighted_reduce(spark, folder):
-    points = lattice(spark, folder)
+    points = separated(spark, folder)
     weighted, _ = cost.center_weights(points, lowest_by_hash(points, 68))
-    reduced = reduce_centers(spark, weighted, K, SEED, spark_kmeans())
-    return reduced.to_df(spark).select("center_id", *coordinates("c", "c"))
+    return _cheapest(spark, points, [reduce_centers(spark, weighted, K, s, spark_kmeans()) for s in SEEDS])
 
 
 def plain_kmeans(spark, folder):
-    points = lattice(spark, folder)
-    centers = spark_kmeans(max_iter=20)(points, K, SEED)
-    return centers.to_df(spark).select("center_id", *coordinates("c", "c"))
+    points = separated(spark, folder)
+    return _cheapest(spark, points, [spark_kmeans(max_iter=20)(points, K, s) for s in SEEDS])
 
 
 def kmeans_parallel_step(spark, folder):
@@ -564,7 +702,9 @@ def kmeans_parallel_weights(spark, folder):
 
 
 def kmeans_parallel_run(spark, folder):
-    return _centers(spark, kmeans_parallel(lattice(spark, folder), K, seed=SEED))
+    points = separated(spark, folder)
+    runs = [kmeans_parallel(points, K, seed=s) for s in SEEDS]
+    return partition_found(points, min(runs, key=lambda r: r.risk_final).centers)
 
 
 def _prune_round(spark, folder, tables):
@@ -605,18 +745,34 @@ def ene_two_rounds(spark, folder):
     )
 
 
+def ene_to_stop_size(spark, folder):
+    """Rounds without a bound, down to the stop size; the sample and what is left serve every point."""
+    run = sample_prune(lattice(spark, folder), 1, 0.2, seed=SEED, uniform="md5", reducer=fixed_box, final_risk=False)
+    left = run.rounds[-1]["survivors"] if run.rounds else run.candidate_count
+    return one_row(
+        spark, "stop_size double, reached int, capped int", round(float(run.capacity), 6), int(left <= run.capacity), int(run.capped)
+    )
+
+
 def ene_clustering(spark, folder):
-    return _centers(spark, sample_prune(lattice(spark, folder), K, PRUNE_EPSILON, seed=SEED))
+    return _best(spark, folder, "sample_prune", PRUNE_EPSILON)
 
 
 # --- evaluation --------------------------------------------------------------------------------
 
 
 def compare_runs(spark, folder):
-    metrics = evaluate.compare_runs(
-        lattice(spark, folder), ["sampled_kmeans", "kmeans_parallel"], K, EPSILON, rounds=2, seed=SEED
+    """Runs of three algorithms: enough candidates, and a cost below that of rows taken by hash."""
+    points = lattice(spark, folder)
+    bound = cost.risk(points, lowest_by_hash(points, K))
+    metrics = evaluate.compare_runs(points, ["sampled_kmeans", "kmeans_parallel"], K, EPSILON, rounds=2, seed=SEED, dataset="lineitem")
+    return metrics.select(
+        "dataset", "algorithm", "round", "k", (F.col("num_centers") >= K).cast("int").alias("enough"),
+        # one first centre, then l in each step
+        F.when(F.col("algorithm") == "kmeans_parallel", F.col("num_centers")).otherwise(0).alias("drawn"),
+        F.lit(round(bound)).cast("bigint").alias("bound"), (F.col("risk_final") <= bound).cast("int").alias("below"),
+        (F.col("risk") <= F.col("risk_final")).cast("int").alias("candidates_cheaper"),
     )
-    return metrics.select("algorithm", "round", "k", "num_centers", "iterations", "risk", "risk_final")
 
 
 def sweep_plan(spark, folder):
@@ -627,24 +783,33 @@ def sweep_plan(spark, folder):
 
 
 def compare_estimators(spark, folder):
-    vectors = lattice(spark, folder).select("point_id", array_to_vector("x").alias("features"))
+    points = lattice(spark, folder)
+    bound = cost.risk(points, lowest_by_hash(points, K))
+    vectors = points.select("point_id", array_to_vector("x").alias("features"))
     ours = PrunedKMeans(k=K, epsilon=EPSILON, delta=DELTA, maxIter=3, seed=1, idCol="point_id")
     found = evaluate.fit_and_evaluate({"sampled": ours, "plain": KMeans(k=K, seed=1, maxIter=20)}, vectors)
-    return found.select("estimator", "num_centers", "iterations", "risk_final")
+    return found.select(
+        "estimator", "num_centers", F.lit(round(bound)).cast("bigint").alias("bound"), (F.col("risk_final") <= bound).cast("int").alias("below")
+    )
 
 
 QUERIES = {
     "csv_points": csv_points,
+    "csv_limit": csv_limit,
+    "libsvm_points": libsvm_points,
     "preset_points": preset_points,
     "gaussian_sizes": gaussian_sizes,
     "gaussian_points": gaussian_points,
     "run_results": run_results,
     "run_summary": run_summary,
+    "sweep_summary": sweep_summary,
     "numeric_projection": numeric_projection,
     "drop_nulls": drop_nulls,
     "one_hot": one_hot,
+    "one_hot_sparse": one_hot_sparse,
     "drop_index_column": drop_index_column,
     "min_max_scale": min_max_scale,
+    "min_max_scale_nan": min_max_scale_nan,
     "constant_scale": constant_scale,
     "assemble_vector": assemble_vector,
     "profile_points": profile_points,
@@ -662,10 +827,16 @@ QUERIES = {
     "nearest_cosine": nearest_cosine,
     "nearest_vectors": nearest_vectors,
     "predict": predict,
+    "predict_cosine": predict_cosine,
+    "model_round_trip": model_round_trip,
+    "scored_schema": scored_schema,
+    "parameter_errors": parameter_errors,
     "risk": risk,
     "truncated_risk": truncated_risk,
     "truncated_risk_trivial": truncated_risk_trivial,
     "center_weights": center_weights,
+    "weights_in_blocks": weights_in_blocks,
+    "costs_in_blocks": costs_in_blocks,
     "weighted_costs": weighted_costs,
     "handled_risk": handled_risk,
     "tail_select": tail_select,
@@ -692,6 +863,7 @@ QUERIES = {
     "kmeans_parallel": kmeans_parallel_run,
     "ene_round": ene_round,
     "ene_two_rounds": ene_two_rounds,
+    "ene_to_stop_size": ene_to_stop_size,
     "ene_clustering": ene_clustering,
     "compare_runs": compare_runs,
     "sweep_plan": sweep_plan,

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.centers import Centers
+from .functions.distance import nearest_finder
 from .operators import prep
 from .operators.cost import risk
 from .operators.nearest import predict
@@ -236,8 +237,8 @@ class PrunedKMeansModel(Model, _Common, MLReadable, MLWritable):
         return self._summary
 
     def predict(self, value: DenseVector) -> int:
-        gaps = self._matrix - np.asarray(value)
-        return int((gaps * gaps).sum(axis=1).argmin())
+        point = np.asarray(value, dtype=float).reshape(1, -1)
+        return int(nearest_finder(self._matrix, self.getDistanceMeasure())(point)[1][0])
 
     def copy(self, extra=None):
         other = super().copy(extra)

@@ -33,6 +33,11 @@ class Centers:
     def dims(self) -> int:
         return self.matrix.shape[1]
 
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the coordinates and the ids."""
+        return self.matrix.nbytes + (sum(map(len, self.ids)) if self.id_type == "string" else 4 * len(self))
+
     @property
     def id_type(self) -> str:
         return "string" if self.ids and isinstance(self.ids[0], str) else "int"
@@ -60,6 +65,8 @@ class Centers:
 
 
 def center_table_size(centers: DataFrame) -> tuple[int, int]:
-    """(rows, bytes of coordinates) of a centre table."""
-    row = centers.agg(F.count("*").alias("n"), F.max(F.size("c")).alias("d")).first()
-    return row.n, row.n * (row.d or 0) * 8
+    """(rows, bytes of coordinates and ids) of a centre table."""
+    row = centers.agg(
+        F.count("*").alias("n"), F.sum(8 * F.size("c") + F.octet_length(F.col("center_id").cast("string"))).alias("b")
+    ).first()
+    return row.n, row.b or 0

@@ -33,16 +33,15 @@ def squared_distance(x: Column, center) -> Column:
     return total
 
 
-def nearest(x: Column, centers: Centers, measure: str = "euclidean") -> Column:
-    """struct(d2, center_id) of the nearest centre; a tie goes to the lowest id."""
+def nearest_finder(table: np.ndarray, measure: str = "euclidean"):
+    """A function from a matrix of points to (distance, row of ``table``) of the nearest row, the first on a tie.
+
+    Everything it needs is local to it, so it ships by value and the workers need no copy of
+    this package.
+    """
     check_measure(measure)
-    if not len(centers):
-        raise ValueError("no centres to measure distances to")
-    # Everything the task needs is local to this function, so it ships by value and the
-    # workers need no copy of this package.
-    table = np.ascontiguousarray(centers.matrix)
+    table = np.ascontiguousarray(table)
     dims = table.shape[1]
-    ids = pa.array(centers.ids, pa.string() if centers.id_type == "string" else pa.int32())
     axis = int(table.std(axis=0).argmax())
     order = np.argsort(table[:, axis], kind="stable")
 
@@ -118,20 +117,42 @@ def nearest(x: Column, centers: Centers, measure: str = "euclidean") -> Column:
             where[rows] = band[found]
         return d2, where
 
-    @arrow_udf(f"struct<d2:double,center_id:{centers.id_type}>")
-    def nearest_center(x: pa.Array) -> pa.Array:
-        values = x.flatten().to_numpy(zero_copy_only=False)
-        if len(values) != len(x) * dims:
+    def find(values):
+        if not len(values):
+            return np.empty(0), np.empty(0, dtype=np.int64)
+        if measure == "euclidean" and len(table) >= 512:
+            return banded(values)
+        return measured(values, table)
+
+    return find
+
+
+def matrix_reader(dims: int):
+    """A function from an Arrow array of coordinate lists to a matrix; every list must have ``dims`` numbers."""
+
+    def read(x: pa.Array) -> np.ndarray:
+        import pyarrow.compute as pc
+
+        if x.null_count or (len(x) and not pc.all(pc.equal(pc.list_value_length(x), dims)).as_py()):
             raise ValueError(f"every point must have {dims} coordinates")
+        values = x.flatten().to_numpy(zero_copy_only=False)
         if not np.isfinite(values).all():
             raise ValueError("coordinates must be finite numbers")
-        values = values.reshape(-1, dims)
-        if not len(values):
-            d2, where = np.empty(0), np.empty(0, dtype=np.int64)
-        elif measure == "euclidean" and len(table) >= 512:
-            d2, where = banded(values)
-        else:
-            d2, where = measured(values, table)
+        return values.reshape(-1, dims)
+
+    return read
+
+
+def nearest(x: Column, centers: Centers, measure: str = "euclidean") -> Column:
+    """struct(d2, center_id) of the nearest centre; a tie goes to the lowest id."""
+    if not len(centers):
+        raise ValueError("no centres to measure distances to")
+    find, read = nearest_finder(centers.matrix, measure), matrix_reader(centers.dims)
+    ids = pa.array(centers.ids, pa.string() if centers.id_type == "string" else pa.int32())
+
+    @arrow_udf(f"struct<d2:double,center_id:{centers.id_type}>")
+    def nearest_center(x: pa.Array) -> pa.Array:
+        d2, where = find(read(x))
         return pa.StructArray.from_arrays([pa.array(d2), ids.take(pa.array(where))], names=["d2", "center_id"])
 
     # Marked so that no filter on the result is pushed below it, which would measure twice.

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import distance
 from ..functions.centers import CENTER_BYTES, Centers
 from ..storage import RunTables
 from .nearest import with_nearest
@@ -17,18 +16,24 @@ def weight_of(points: DataFrame) -> Column:
     return F.col("w") if "w" in points.columns else F.lit(1.0)
 
 
-def risk(points: DataFrame, centers: Centers, measure: str = "euclidean") -> float:
+def risk(
+    points: DataFrame, centers: Centers, measure: str = "euclidean", tables: RunTables | None = None,
+    max_bytes: int = CENTER_BYTES,
+) -> float:
     """Sum of the distances to the nearest centres (0 for an empty table)."""
-    return costs(points, {"risk": centers}, measure)["risk"]
+    return costs(points, {"risk": centers}, measure, tables, max_bytes)["risk"]
 
 
-def costs(points: DataFrame, centers: dict[str, Centers], measure: str = "euclidean") -> dict[str, float]:
+def costs(
+    points: DataFrame, centers: dict[str, Centers], measure: str = "euclidean", tables: RunTables | None = None,
+    max_bytes: int = CENTER_BYTES,
+) -> dict[str, float]:
     """Cost of several centre sets in one scan."""
     names = list(centers)
-    scored = points.select(
-        weight_of(points).alias("weight"),
-        *[distance.nearest(F.col("x"), centers[n], measure)["d2"].alias(f"d{i}") for i, n in enumerate(names)],
-    )
+    scored = points.select("x", weight_of(points).alias("w"))
+    for i, name in enumerate(names):
+        scored = with_nearest(scored, centers[name], measure, tables, max_bytes).drop("center_id").withColumnRenamed("d2", f"d{i}")
+    scored = scored.withColumnRenamed("w", "weight")
     row = scored.agg(*[F.sum(F.col(f"d{i}") * F.col("weight")).alias(f"d{i}") for i in range(len(names))]).first()
     return {n: row[f"d{i}"] or 0.0 for i, n in enumerate(names)}
 
@@ -36,6 +41,7 @@ def costs(points: DataFrame, centers: dict[str, Centers], measure: str = "euclid
 def truncated_risk(scored: DataFrame, r: int, d2: str = "d2") -> float:
     """Sum of all but the r largest distances; 0 if there are no more than r rows.
 
+    The rows are counted first, so a table that r leaves nothing of is never sorted.
     The r-th largest distance t comes from a top-r query, so nothing is sorted as a whole and
     no row is joined back. What lies below t is summed directly (never as total minus top).
     Of the rows at t itself, the heaviest are the ones left out.
@@ -43,20 +49,17 @@ def truncated_risk(scored: DataFrame, r: int, d2: str = "d2") -> float:
     weight = weight_of(scored)
     if r <= 0:
         return scored.agg(F.sum(F.col(d2) * weight)).first()[0] or 0.0
+    if scored.count() <= r:
+        return 0.0
     left_out = scored.select(F.col(d2).alias("d"), weight.alias("weight")).orderBy(F.desc("d"), F.desc("weight")).limit(r)
-    edge = left_out.groupBy("d").agg(F.sum("weight").alias("at_edge"), F.count("*").alias("n"))
+    edge = left_out.groupBy("d").agg(F.sum("weight").alias("at_edge"))
     # min_by over the few distinct distances of the top r rows
-    top = edge.agg(F.min("d").alias("t"), F.min_by("at_edge", "d").alias("at_edge"), F.sum("n").alias("n")).first()
-    if top.n is None or top.n < r:
-        return 0.0
+    top = edge.agg(F.min("d").alias("t"), F.min_by("at_edge", "d").alias("at_edge")).first()
     at = F.col(d2)
     rest = scored.agg(
-        F.count("*").alias("n"),
         F.sum(F.when(at < top.t, at * weight)).alias("below"),
         F.sum(F.when(at == top.t, weight)).alias("at_edge"),
     ).first()
-    if rest.n <= r:
-        return 0.0
     return (rest.below or 0.0) + top.t * (rest.at_edge - top.at_edge)
 
 
@@ -90,9 +93,12 @@ def weight_table(
     return every.select("center_id", "c").join(counted, "center_id", "left").na.fill(0.0, ["weight", "cost"])
 
 
-def center_weights(points: DataFrame, centers: Centers, measure: str = "euclidean") -> tuple[Centers, float]:
+def center_weights(
+    points: DataFrame, centers: Centers, measure: str = "euclidean", tables: RunTables | None = None,
+    max_bytes: int = CENTER_BYTES,
+) -> tuple[Centers, float]:
     """Centres with their weights, and the cost of the whole set, from one scan."""
-    assigned = with_nearest(points, centers, measure)
+    assigned = with_nearest(points, centers, measure, tables, max_bytes)
     weight = weight_of(points)
     rows = (
         assigned.groupBy("center_id")

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import distance
 from ..functions.centers import CENTER_BYTES, Centers, center_table_size
 from ..storage import RunTables
 
+# Points, in bytes, that a task measures against all blocks before it takes more.
+GROUP_BYTES = 32 * 1024 * 1024
+
 
 def with_nearest(
     points: DataFrame,
@@ -23,24 +28,24 @@ def with_nearest(
 ) -> DataFrame:
     """Adds d2 and center_id of the nearest centre to every point.
 
-    Centre sets up to ``max_bytes`` travel with the tasks. A larger table is taken in blocks
-    of about that size: every pass carries the best so far and is written out, so no task
-    ever holds more than one block.
+    Centre sets up to ``max_bytes`` travel with the tasks. A larger one is written to the shared folder, and
+    every task reads it block by block for each group of its points, in one pass over them: no task
+    holds more than a block and a group. Without ``tables`` it lies in a folder of its own, as
+    the returned frame reads it.
     """
     centers, size = fetched(centers, max_bytes)
-    if isinstance(centers, Centers):
-        if size <= max_bytes:
-            return _one_pass(points, centers, measure)
-        centers = centers.to_df(points.sparkSession)
-    if tables is None:
-        raise ValueError(f"{size} bytes of centres need run tables to be handled in blocks")
-    return _in_blocks(points, centers, measure, tables, max_bytes)
+    if size <= max_bytes:
+        return _one_pass(points, centers, measure)
+    spark = points.sparkSession
+    tables = RunTables(spark) if tables is None else tables
+    table = centers.to_df(spark) if isinstance(centers, Centers) else centers
+    return _in_blocks(points, table, measure, tables, max_bytes, size)
 
 
 def fetched(centers: Centers | DataFrame, max_bytes: int = CENTER_BYTES) -> tuple[Centers | DataFrame, int]:
     """A centre table brought to the driver if it has no more than ``max_bytes``, and its size."""
     if isinstance(centers, Centers):
-        return centers, centers.matrix.nbytes
+        return centers, centers.nbytes
     _, size = center_table_size(centers)
     if size > max_bytes:
         return centers, size
@@ -52,37 +57,60 @@ def _one_pass(points: DataFrame, centers: Centers, measure: str) -> DataFrame:
     return found.select("*", "nearest.d2", "nearest.center_id").drop("nearest")
 
 
-def center_blocks(centers: DataFrame, max_bytes: int, depth: int = 0) -> Iterator[Centers]:
-    """The centres in sets of at most ``max_bytes`` (or one row), one at a time.
-
-    A table that is too large is split by a hash of the id, and a part that still is once more.
-    """
-    rows, size = center_table_size(centers)
-    if rows > 1 and size > max_bytes:
-        parts = math.ceil(2 * size / max_bytes)
-        part_of = F.pmod(F.xxhash64("center_id", F.lit(depth)), F.lit(parts))
-        for part in range(parts):
-            yield from center_blocks(centers.where(part_of == part), max_bytes, depth + 1)
-    elif rows:
-        yield Centers.from_rows(centers.select("center_id", "c").collect())
-
-
-def _in_blocks(points, centers, measure, tables, max_bytes) -> DataFrame:
+def _in_blocks(points, centers, measure, tables, max_bytes, size) -> DataFrame:
+    # Sorted by id, so that of equal distances the first found is that of the lowest id.
     name = f"nearest-{uuid4().hex}"
-    stored = tables.write(centers.select("center_id", "c"), f"{name}-centers")
-    best, previous = points, None
-    for block, local in enumerate(center_blocks(stored, max_bytes)):
-        pair = distance.nearest(F.col("x"), local, measure)
-        if previous is not None:
-            # structs compare field by field: smaller distance first, then lower id
-            pair = F.least(F.struct("d2", "center_id"), pair)
-        found = best.select(*points.columns, pair.alias("nearest"))
-        current = f"{name}-{block}"
-        best = tables.write(found.select(*points.columns, "nearest.d2", "nearest.center_id"), current)
-        if previous is not None:
-            tables.drop(previous)
-        previous = current
-    return best
+    files = max(1, math.ceil(size / max_bytes))
+    stored = tables.write(centers.select("center_id", "c").repartition(files, "center_id"), name)
+    row = stored.agg(F.count("*").alias("n"), F.min(F.size("c")).alias("low"), F.max(F.size("c")).alias("high")).first()
+    if row.low != row.high:
+        raise ValueError(f"centres have {row.low} to {row.high} coordinates")
+    dims, rows = row.high, max(1, int(max_bytes / (size / row.n)))
+    paths, group_bytes = sorted(stored.inputFiles()), max(max_bytes, GROUP_BYTES)
+    read_points, find_in = distance.matrix_reader(dims), distance.nearest_finder
+    id_type = stored.schema["center_id"].dataType
+    schema = T.StructType(
+        [*points.schema.fields, T.StructField("d2", T.DoubleType()), T.StructField("center_id", id_type)]
+    )
+
+    def run(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        def blocks():
+            for path in paths:
+                system, inside = fs.FileSystem.from_uri(path)
+                with system.open_input_file(inside) as source:
+                    for block in pq.ParquetFile(source).iter_batches(rows, columns=["center_id", "c"]):
+                        yield block.column("center_id"), read_points(block.column("c"))
+
+        def scored(held):
+            group = pa.Table.from_batches(held).combine_chunks()
+            values = np.concatenate([read_points(part) for part in group.column("x").chunks])
+            best, ids = np.full(len(values), np.inf), np.full(len(values), None, dtype=object)
+            for names, table in blocks():
+                order = np.argsort(names.to_numpy(zero_copy_only=False), kind="stable")
+                d2, where = find_in(table[order], measure)(values)
+                found = names.to_numpy(zero_copy_only=False)[order][where]
+                closer = d2 < best
+                for i in np.flatnonzero(d2 == best):
+                    closer[i] = found[i] < ids[i]
+                best[closer], ids[closer] = d2[closer], found[closer]
+            named = pa.array(ids.tolist(), names.type)
+            yield from group.append_column("d2", pa.array(best)).append_column("center_id", named).to_batches()
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= group_bytes:
+                yield from scored(held)
+                held, size = [], 0
+        if held:
+            yield from scored(held)
+
+    return points.mapInArrow(run, schema)
 
 
 def closer_of(points: DataFrame, previous: str, current: str) -> DataFrame:
@@ -94,5 +122,9 @@ def predict(
     points: DataFrame, centers: Centers, output: str = "prediction", measure: str = "euclidean", x: str = "x"
 ) -> DataFrame:
     """Appends the id of the nearest centre."""
-    pair = distance.nearest(F.col(x), centers, measure)
-    return points.select("*", pair["center_id"].alias(output))
+    if centers.nbytes <= CENTER_BYTES:
+        pair = distance.nearest(F.col(x), centers, measure)
+        return points.select("*", pair["center_id"].alias(output))
+    # A column of its own in a struct keeps the names of the input out of the way.
+    rows = points.select(F.struct("*").alias("row"), F.col(x).alias("x"))
+    return with_nearest(rows, centers, measure).select("row.*", F.col("center_id").alias(output))

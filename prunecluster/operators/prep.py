@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-# One column per level is kept in the plan, so the number of levels has to stay moderate.
-MAX_LEVELS = 10_000
+from ..storage import RunTables
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -29,44 +31,89 @@ def categorical_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def one_hot(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def one_hot(df: DataFrame, columns: list[str] | None = None, levels: dict[str, list[str]] | None = None) -> DataFrame:
     """Replaces each categorical column by one 0/1 column per level, all levels kept.
 
-    Only the levels travel to the driver, and no more than MAX_LEVELS + 1 of a column: more
-    than that is refused, as one output column per level is what the caller asks for.
-    The other columns come first, as they were.
+    The other columns come first, as they were. Each level is a column that the caller asks for, so the levels
+    go through the driver, all columns in one pass; ``levels`` names those of a column beforehand. For
+    columns with very many levels there is ``one_hot_sparse``.
     """
     columns = categorical_columns(df) if columns is None else columns
+    known = {name: sorted(levels[name]) for name in columns if levels and name in levels}
+    open_columns = [c for c in columns if c not in known]
+    if open_columns:
+        # One row per (column, level), whatever the number of rows.
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").alias("level")) for i, c in enumerate(open_columns)])
+        found = df.select(F.explode(pairs).alias("p")).select("p.*").where("level is not null").distinct().collect()
+        for i, name in enumerate(open_columns):
+            known[name] = sorted(r.level for r in found if r.i == i)
     outputs = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     for name in columns:
         level = F.col(f"`{name}`")
-        found = df.select(level.alias("level")).where("level is not null").distinct().limit(MAX_LEVELS + 1).collect()
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"column {name!r} has more than {MAX_LEVELS} levels")
-        for value in sorted(row.level for row in found):
-            outputs.append(F.coalesce(level == F.lit(value), F.lit(False)).cast("int").alias(f"{name}_{value}"))
+        outputs += [F.coalesce(level == F.lit(v), F.lit(False)).cast("int").alias(f"{name}_{v}") for v in known[name]]
     return df.select(outputs)
 
 
+def one_hot_sparse(df: DataFrame, column: str, output: str | None = None) -> DataFrame:
+    """Replaces a categorical column by the index of its level among all levels in order (null stays null).
+
+    The index is the place of the single 1 in the sparse one-hot vector. Any number of levels: they are
+    counted per range of levels and numbered in Spark, never gathered.
+    """
+    output = output or f"{column}_index"
+    levels = df.select(F.col(f"`{column}`").alias("level")).where("level is not null").distinct()
+    with_place = numbered(levels, ["level"], RunTables(df.sparkSession)).withColumnRenamed("number", output)
+    joined = df.join(with_place, F.col(f"`{column}`") == F.col("level"), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != column], output)
+
+
+def numbered(df: DataFrame, order: list[str], tables: RunTables) -> DataFrame:
+    """Adds ``number``, the place of each row in the given order, from 0.
+
+    Rows are sorted by ranges and numbered within each; what comes before a range is a sum over ranges,
+    of which there are no more than tasks.
+    """
+    place = F.monotonically_increasing_id()  # upper bits: the task, lower 33: the row in it
+    stored = tables.write(df.orderBy(*order).withColumn("place", place), f"numbered-{uuid4().hex}")
+    part = F.shiftright("place", 33)
+    sizes = stored.groupBy(part.alias("part")).count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    return (
+        stored.join(F.broadcast(bases), part == F.col("part"))
+        .withColumn("number", F.col("base") + F.col("place").bitwiseAND((1 << 33) - 1))
+        .select(*[F.col(f"`{c}`") for c in df.columns], "number")
+    )
+
+
+def first_rows(df: DataFrame, count: int, order: list[str], tables: RunTables | None = None) -> DataFrame:
+    """The first ``count`` rows in the given order, cut without gathering them in one task."""
+    return numbered(df, order, tables or RunTables(df.sparkSession)).where(F.col("number") < count).drop("number")
+
+
 def drop_first_column(df: DataFrame) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns[1:]])
 
 
 def min_max_scale(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Scales columns to [0, 1]; a constant column becomes 0.
+    """Scales columns to [0, 1]; a constant column becomes 0. NaN has no part in the range and stays NaN.
 
     One aggregate finds the ranges (two numbers per column), one narrow projection applies them.
     """
+    def known(c):
+        value = F.col(f"`{c}`").cast("double")
+        return F.when(~F.isnan(value), value)
+
     ranges = df.agg(
-        *[F.min(F.col(f"`{c}`").cast("double")).alias(f"lo_{i}") for i, c in enumerate(columns)],
-        *[F.max(F.col(f"`{c}`").cast("double")).alias(f"hi_{i}") for i, c in enumerate(columns)],
+        *[F.min(known(c)).alias(f"lo_{i}") for i, c in enumerate(columns)],
+        *[F.max(known(c)).alias(f"hi_{i}") for i, c in enumerate(columns)],
     ).first()
     scaled = {}
     for i, c in enumerate(columns):
         low, high = ranges[f"lo_{i}"], ranges[f"hi_{i}"]
         value = F.col(f"`{c}`").cast("double")
         if low is None or high == low:
-            scaled[c] = F.when(value.isNotNull(), F.lit(0.0))
+            scaled[c] = F.when(F.isnan(value), value).when(value.isNotNull(), F.lit(0.0))
         else:
             scaled[c] = (value - F.lit(low)) / F.lit(high - low)
     return df.select([scaled[c].alias(c) if c in scaled else F.col(f"`{c}`") for c in df.columns])
@@ -101,9 +148,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checked_weight(weight: Column) -> Column:
-    """Weight as double, 1.0 where missing; a negative one fails the job."""
+    """Weight as double, 1.0 where missing; one that is negative or NaN fails the job."""
     value = F.coalesce(weight.cast("double"), F.lit(1.0))
-    return F.when(value >= 0, value).otherwise(
+    return F.when((value >= 0) & ~F.isnan(value), value).otherwise(
         F.raise_error(F.concat(F.lit("negative weight: "), value.cast("string"))).cast("double")
     )
 

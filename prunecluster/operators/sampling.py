@@ -67,10 +67,11 @@ def random_rows(points: DataFrame, count: int, seed: int, salt: str = "c", metho
 def weighted_draw(
     scored: DataFrame, count: int, seed: int, salt: str, method: str = "xxhash64", d2: str = "d2"
 ) -> DataFrame:
-    """``count`` rows without replacement, the chance of each in proportion to its d2.
+    """``count`` rows without replacement, the chance of each in proportion to its d2 (times w, if it has one).
 
     Exponential keys -ln(u)/d2 make this a top-l query: no normalising sum is needed.
-    Rows at distance 0 are never drawn; if fewer rows are left, all of them are.
+    Rows at distance 0 or of weight 0 are never drawn; if fewer rows are left, all of them are.
     """
-    key = -F.ln(uniform(scored, seed, salt, method)) / F.col(d2)
-    return lowest(scored.where(F.col(d2) > 0), key, count)
+    chance = F.col(d2) * F.col("w") if "w" in scored.columns else F.col(d2)
+    key = -F.ln(uniform(scored, seed, salt, method)) / chance
+    return lowest(scored.where(chance > 0), key, count)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import time
+from itertools import groupby
 from typing import Callable, Iterable
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +26,19 @@ SWEEP_STEPS = [1, 2, 3, 4, 5]
 SKIPPED_K, SKIPPED_EPSILON = 200, 0.2
 
 METRICS_SCHEMA = (
-    "algorithm string, test_name string, round int, k int, dt double, m int, ep double, l int, num_centers bigint, "
+    "dataset string, steps int, algorithm string, test_name string, round int, k int, dt double, m int, ep double, l int, num_centers bigint, "
     "iterations int, risk double, risk_final double, coord_mem double, comps_pm double, comps_tot double, "
     "reducers_time double, total_time double"
 )
 
 
-def metrics_row(result: ClusteringResult, round_no: int, dt: float, m: int, ep: float, l: int = -1) -> tuple:
+def metrics_row(
+    result: ClusteringResult, round_no: int, dt: float, m: int, ep: float, l: int = -1, dataset: str | None = None,
+    steps: int | None = None,
+) -> tuple:
     """One row of METRICS_SCHEMA; both times are seconds really elapsed."""
     return (
-        result.algorithm, f"{result.algorithm}_round_{round_no}", round_no, result.k, float(dt), m, float(ep), l,
+        dataset, steps, result.algorithm, f"{result.algorithm}_round_{round_no}", round_no, result.k, float(dt), m, float(ep), l,
         int(result.candidate_count), result.iterations, float(result.risk), float(result.risk_final),
         float(result.capacity), float(result.comps_per_machine), float(result.total_comps),
         result.scan_seconds, result.total_seconds,
@@ -53,21 +58,32 @@ def run_algorithm(
     raise ValueError(f"unknown algorithm {algorithm!r}")
 
 
-def repeat_runs(
-    points: DataFrame, algorithm: str, k: int, epsilon: float, *, rounds: int = ROUNDS, seed: int = 1,
-    delta: float = formulas.DELTA, m: int | None = None, **options,
-) -> DataFrame:
-    """Metrics of ``rounds`` runs whose seeds follow each other."""
-    rows = [
+def _metrics(points, algorithm, k, epsilon, rounds, seed, delta, m, dataset, steps, options) -> list[tuple]:
+    own = {} if steps is None else {"steps": steps}
+    return [
         metrics_row(
-            run_algorithm(points, algorithm, k, epsilon, delta=delta, m=m, seed=seed + i, **options),
-            i, delta, m or 1, epsilon,
+            run_algorithm(points, algorithm, k, epsilon, delta=delta, m=m, seed=seed + i, **own, **options),
+            i, delta, m or 1, epsilon, dataset=dataset, steps=steps,
         )
         for i in range(rounds)
     ]
+
+
+def repeat_runs(
+    points: DataFrame, algorithm: str, k: int, epsilon: float, *, rounds: int = ROUNDS, seed: int = 1,
+    delta: float = formulas.DELTA, m: int | None = None, dataset: str | None = None, steps: int | None = None, **options,
+) -> DataFrame:
+    """Metrics of ``rounds`` runs whose seeds follow each other."""
+    rows = _metrics(points, algorithm, k, epsilon, rounds, seed, delta, m, dataset, steps, options)
     return points.sparkSession.createDataFrame(rows, METRICS_SCHEMA)
 
 
+def best_run(points: DataFrame, algorithm: str, k: int, epsilon: float, seeds: Iterable[int], **options) -> ClusteringResult:
+    """The cheapest of the runs with the given seeds."""
+    runs = [run_algorithm(points, algorithm, k, epsilon, seed=s, **options) for s in seeds]
+    return min(runs, key=lambda r: r.risk_final)
+
+
 def compare_runs(points: DataFrame, algorithms: Iterable[str], k: int, epsilon: float, **options) -> DataFrame:
     """Metrics of several algorithms over the same points."""
     parts = [repeat_runs(points, a, k, epsilon, **options) for a in algorithms]
@@ -112,17 +128,24 @@ def sweep_plan(datasets: DataFrame) -> DataFrame:
 
 
 def run_sweep(
-    spark: SparkSession, load: Callable[[str], DataFrame], datasets: DataFrame, *, rounds: int = ROUNDS, **options
+    spark: SparkSession, load: Callable[[str], DataFrame], datasets: DataFrame, *, rounds: int = ROUNDS, seed: int = 1,
+    delta: float = formulas.DELTA, m: int | None = None, plan: DataFrame | None = None, **options,
 ) -> DataFrame:
-    """Runs every setting of the sweep plan (a short list) and returns all metrics."""
-    rows = spark.createDataFrame([], METRICS_SCHEMA)
-    for setting in sweep_plan(datasets).orderBy("dataset", "k", "algorithm", "epsilon", "steps").collect():
-        extra = {} if setting.steps is None else {"steps": setting.steps}
-        epsilon = 0.05 if setting.epsilon is None else setting.epsilon
-        rows = rows.unionByName(
-            repeat_runs(load(setting.dataset), setting.algorithm, setting.k, epsilon, rounds=rounds, **extra, **options)
-        )
-    return rows
+    """Runs every setting of the sweep plan, or of ``plan``, and returns all metrics.
+
+    The plan is a list for a person to wait for, one clustering per row. Each dataset is loaded and kept
+    once for all its settings; a setting without epsilon (k-means||) has 0 there, one without steps none.
+    """
+    settings = (sweep_plan(datasets) if plan is None else plan).orderBy("dataset", "k", "algorithm", "epsilon", "steps").collect()
+    rows: list[tuple] = []
+    for dataset, own in groupby(settings, key=lambda s: s.dataset):
+        points = load(dataset).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for s in own:
+                rows += _metrics(points, s.algorithm, s.k, s.epsilon or 0.0, rounds, seed, delta, m, dataset, s.steps, options)
+        finally:
+            points.unpersist()
+    return spark.createDataFrame(rows, METRICS_SCHEMA)
 
 
 def fit_and_evaluate(estimators: dict[str, Estimator], vectors: DataFrame) -> DataFrame:

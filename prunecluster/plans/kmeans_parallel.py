@@ -44,16 +44,16 @@ def kmeans_parallel(
     if n == 0:
         raise ValueError("there are no points to cluster")
     with watch.scanning():
-        newest = candidates = Centers([random_rows(points, 1, seed, "first", uniform).first().x])
+        candidates = Centers([random_rows(points, 1, seed, "first", uniform).first().x])
     comps_per_machine = 0.0
     for step in range(1, iterations + 1):
         with watch.scanning():
             drawn = draw_step(points, candidates, draws, seed, step, uniform).collect()
         if not drawn:
             break
-        comps_per_machine += n * len(newest) // m
-        newest = Centers([r.x for r in drawn])
-        candidates = candidates.appended(newest)
+        # each step measures against all candidates so far
+        comps_per_machine += n * len(candidates) // m
+        candidates = candidates.appended(Centers([r.x for r in drawn]))
     with watch.scanning():
         candidates, cost = center_weights(points, candidates)
     final = reduce_centers(spark, candidates, k, seed, reducer or spark_kmeans())

@@ -25,6 +25,8 @@ class ClusteringResult:
     scan_seconds: float = 0.0
     total_seconds: float = 0.0
     rounds: list[dict] = field(default_factory=list)
+    #: Rounds ended before few enough rows were left; a black box clustered the rest.
+    capped: bool = False
 
     def rounds_df(self, spark: SparkSession) -> DataFrame:
         """One row per round with its counts, threshold and costs."""

@@ -27,7 +27,7 @@ def sample_prune(
     epsilon: float = 0.05,
     *,
     reducer: BlackBox | None = None,
-    max_iter: int = 100,
+    max_iter: int | None = None,
     seed: int = 1,
     uniform: str = "xxhash64",
     final_risk: bool = True,
@@ -36,9 +36,13 @@ def sample_prune(
 ) -> ClusteringResult:
     """Clusters ``points`` (point_id, x[, w]) into k centres.
 
+    Rounds go on until few enough rows survive. If the caller bounds them by ``max_iter``, or a round prunes
+    nothing, the survivors beyond the stop size are clustered by the black box and its k centres
+    join the sample; the result says so (``capped``).
+
     ``keep_centers`` returns the weighted sample as a table of its own in the shared folder.
     """
-    if k < 1 or not 0 < epsilon < 1 or max_iter < 0:
+    if k < 1 or not 0 < epsilon < 1 or (max_iter is not None and max_iter < 0):
         raise ValueError("k must be at least 1, epsilon between 0 and 1, max_iter not negative")
     if "point_id" not in points.columns:
         raise ValueError("sample_prune needs a unique point_id column")
@@ -57,13 +61,14 @@ def sample_prune(
         survivors, remaining = points.withColumn("d2", F.lit(float("inf"))), n
         parts: list[DataFrame] = []
         rounds, comps, comps_per_machine, in_sample = [], 0.0, 0.0, 0
-        while remaining > stop_at and len(rounds) < max_iter:
+        while remaining > stop_at and (max_iter is None or len(rounds) < max_iter):
             round_no = len(rounds) + 1
             with watch.scanning():
                 sample, pivots, sizes = draw_round(
                     survivors, k, n, epsilon, remaining, seed, round_no, uniform, tables
                 )
             if sizes["s"] == 0 or sizes["h"] == 0:
+                tables.drop(f"drawn-{round_no}")
                 break
             parts.append(sample)
             sample, _ = fetched(sample, center_bytes)  # once, for both uses below
@@ -89,9 +94,13 @@ def sample_prune(
             if pruned.handled == 0:
                 break
 
-        rest = survivors.select(F.col("point_id").alias("center_id"), F.col("x").alias("c"))
-        if remaining > 0:
-            parts.append(rest)
+        capped = remaining > stop_at
+        box = reducer or spark_kmeans()
+        if capped:
+            rest = box(survivors.select(*columns), k, seed).to_df(spark)
+            parts.append(rest.select(F.concat(F.lit("rest "), F.col("center_id").cast("string")).alias("center_id"), "c"))
+        elif remaining > 0:
+            parts.append(survivors.select(F.col("point_id").alias("center_id"), F.col("x").alias("c")))
         everyone = parts[0]
         for part in parts[1:]:
             everyone = everyone.unionByName(part)
@@ -104,18 +113,18 @@ def sample_prune(
         rows = weighted.where("weight > 0").select(
             F.col("center_id").alias("point_id"), F.col("c").alias("x"), F.col("weight").alias("w")
         )
-        final = (reducer or spark_kmeans())(rows, k, seed)
+        final = box(rows, k, seed)
         risk_final = None
         if final_risk:
             with watch.scanning():
-                risk_final = risk(points, final)
+                risk_final = risk(points, final, tables=tables)
         kept = None
         if keep_centers:
             kept = RunTables(spark).write(weighted.select("center_id", "c", "weight"), "centers")
     return ClusteringResult(
         "sample_prune", k, final, kept, totals.n, len(rounds) + 1, totals.cost or 0.0, risk_final,
         total_comps=comps, comps_per_machine=comps_per_machine, capacity=stop_at,
-        scan_seconds=watch.scan, total_seconds=watch.total(), rounds=rounds,
+        scan_seconds=watch.scan, total_seconds=watch.total(), rounds=rounds, capped=capped,
     )
 
 

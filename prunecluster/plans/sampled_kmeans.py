@@ -134,17 +134,18 @@ def sampled_kmeans(
                 if pruned.handled == 0:
                     break
 
+            capped = remaining > capacity
             if remaining > 0:
                 last = last_centers(survivors, remaining, k, few, inner, seed)
                 candidates = last if candidates is None else candidates.appended(last)
 
             with watch.scanning():
-                candidates, cost = center_weights(points, candidates, measure)
+                candidates, cost = center_weights(points, candidates, measure, tables)
             final = reduce_centers(spark, candidates, k, seed, reducer or distributed)
             risk_final = None
             if final_risk:
                 with watch.scanning():
-                    risk_final = risk(points, final, measure)
+                    risk_final = risk(points, final, measure, tables)
     finally:
         if spread is not None:
             spread.unpersist()
@@ -152,7 +153,7 @@ def sampled_kmeans(
     return ClusteringResult(
         "sampled_kmeans", k, final, candidates, len(candidates), len(rounds), cost, risk_final,
         total_comps=comps, comps_per_machine=comps_per_machine, capacity=capacity,
-        scan_seconds=watch.scan, total_seconds=watch.total(), rounds=rounds,
+        scan_seconds=watch.scan, total_seconds=watch.total(), rounds=rounds, capped=capped,
     )
 
 

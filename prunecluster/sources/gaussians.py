@@ -72,13 +72,21 @@ def place(rows: DataFrame, index: Column, sizes: list[int], centers: Centers, st
     Rows beyond the last range are left out.
     """
     upper = list(accumulate(sizes))
-    starts = F.array(*[F.lit(u) for u in upper])
-    cluster = F.size(F.filter(starts, lambda u: u <= F.col("point_id")))
-    table = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centers.matrix])
-    located = rows.select(index.cast("bigint").alias("point_id")).where(F.col("point_id") < upper[-1])
-    located = located.select("point_id", cluster.alias("cluster"))
+    # The ranges are cut at multiples of a stride, so that a row finds its range by an equal key. There
+    # are at most ten rows per cluster in this table.
+    stride = max(1, upper[-1] // (8 * len(sizes)))
+    ranges = [
+        (start // stride, start, end, i, [float(v) for v in centers.matrix[i]])
+        for i, (size, end) in enumerate(zip(sizes, upper))
+        for start in [end - size, *range((end - size) // stride * stride + stride, end, stride)] if size
+    ]
+    table = rows.sparkSession.createDataFrame(ranges, "part bigint, start bigint, end bigint, cluster int, mean array<double>")
+    located = rows.select(index.cast("bigint").alias("point_id")).join(
+        F.broadcast(table),
+        (F.floor(F.col("point_id") / stride) == F.col("part")) & (F.col("point_id") >= F.col("start")) & (F.col("point_id") < F.col("end")),
+    )
     values = noise(F.col("point_id"), centers.dims, seed)
-    mean = F.element_at(table, F.col("cluster") + 1)
+    mean = F.col("mean")
     return located.select(
         "point_id", "cluster", F.array(*[mean[j] + F.lit(std) * v for j, v in enumerate(values)]).alias("x")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import prep
+from .gaussians import gaussian_points, mixture_k
 
 
 @dataclass(frozen=True)
@@ -75,7 +76,7 @@ def read_csv_points(
     if limit is not None:
         if not order:
             raise ValueError("a row limit needs the columns to order by")
-        df = df.orderBy(*order).limit(limit)
+        df = prep.first_rows(df, limit, order)
     return preparation.apply(df)
 
 
@@ -97,3 +98,17 @@ def to_points(df: DataFrame, columns: list[str], id_columns: list[str], weight:
         df, [F.col(f"`{c}`") for c in id_columns], prep.assemble_vector(columns),
         None if weight is None else F.col(f"`{weight}`"),
     )
+
+
+def load_dataset(spark: SparkSession, name: str, path: str | None = None, **options) -> DataFrame:
+    """A prepared table by name: a preset with its files, a mixture such as gaussian_25, or a path of CSV files.
+
+    A mixture takes the options of ``gaussian_points`` (n, dims, seed, ...), the others those of ``read_csv_points``.
+    """
+    if name in PRESETS:
+        if path is None:
+            raise ValueError(f"the preset {name!r} needs the path of its files")
+        return read_preset(spark, name, path, **options)
+    if name.startswith("gaussian_"):
+        return gaussian_points(spark, mixture_k(name), **options)
+    return read_csv_points(spark, name, **options)

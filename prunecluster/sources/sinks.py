@@ -29,13 +29,16 @@ def run_rows(metrics: DataFrame) -> DataFrame:
 
 
 def summarize(metrics: DataFrame) -> DataFrame:
-    """Mean and sample deviation per algorithm, k and epsilon (null deviation for a single run)."""
+    """Mean and sample deviation per dataset, algorithm, k, epsilon and steps (null deviation for a single run).
+
+    The columns of the summary file come after dataset and steps, which tell its settings apart.
+    """
     measures = []
     for output, source in _AVERAGED.items():
         measures.append(F.avg(source).alias(f"{output}_avg"))
         measures.append(F.stddev_samp(source).alias(f"{output}_stdv"))
-    grouped = metrics.groupBy("algorithm", "k", F.col("ep").alias("epsilon"))
-    return grouped.agg(F.max("coord_mem").alias("coord_mem"), *measures).select(*SUMMARY_COLUMNS)
+    grouped = metrics.groupBy("dataset", "steps", "algorithm", "k", F.col("ep").alias("epsilon"))
+    return grouped.agg(F.max("coord_mem").alias("coord_mem"), *measures).select("dataset", "steps", *SUMMARY_COLUMNS)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from conftest import all_d2
 from prunecluster.functions.centers import Centers
 from prunecluster.functions.distance import squared_distance
-from prunecluster.operators import nearest
+from prunecluster.operators import cost, nearest
 from prunecluster.storage import RunTables
 
 
@@ -66,19 +66,37 @@ def test_blocks_give_the_same_result(spark, make_points, lattice_matrix):
     assert blocks == whole and from_table == whole
 
 
-def test_blocks_are_split_until_they_fit(spark, lattice_matrix):
-    table = Centers(lattice_matrix[:14]).to_df(spark)
-    blocks = list(nearest.center_blocks(table, 50))  # two rows of 24 bytes each
-    assert all(len(b) <= 2 for b in blocks)
-    assert sorted(i for b in blocks for i in b.ids) == list(range(14))
-    assert all(np.array_equal(b.matrix[j], lattice_matrix[i]) for b in blocks for j, i in enumerate(b.ids))
-    assert [len(b) for b in nearest.center_blocks(table.where("center_id < 2"), 10)] == [1, 1]
+def test_large_centre_sets_need_nothing_else(spark, make_points, lattice_matrix):
+    points, centers = make_points(lattice_matrix), Centers(lattice_matrix)
+    small = collected(nearest.with_nearest(points, centers))
+    assert collected(nearest.with_nearest(points, centers, max_bytes=100)) == small
+    named = Centers(lattice_matrix[:50], [f"c{i:03d}" for i in range(50)])
+    found = nearest.with_nearest(points, named, max_bytes=200).select("point_id", "center_id")
+    want = nearest.with_nearest(points, named).select("point_id", "center_id")
+    assert sorted(found.collect()) == sorted(want.collect())
+    assert named.nbytes == 50 * (3 * 8 + 4)
+
+
+def test_more_centres_than_a_task_should_carry(spark, make_points):
+    """70 MB of centres: weights, costs and predictions go through the same path."""
+    wide = np.random.default_rng(0).random((2200, 4000))
+    centers, points = Centers(wide), make_points(wide[:30], partitions=2)
+    assert centers.nbytes > 64 * 1024 * 1024
+    weighted, total = cost.center_weights(points, centers)
+    assert weighted.weights[:30].tolist() == [1.0] * 30 and weighted.weights.sum() == 30 and total == 0.0
+    assert cost.risk(points, centers) == 0.0
+    found = nearest.predict(points, centers, "row")
+    assert sorted((r.point_id, r.row) for r in found.select("point_id", "row").collect()) == [(f"p{i:05d}", i) for i in range(30)]
+
+
+@pytest.mark.parametrize("rows", [[[1.0, 2.0, 3.0], [1.0] * 5], [None, [1.0] * 8], [[1.0, 2.0, 3.0, None]], [None]])
+@pytest.mark.parametrize("max_bytes", [1 << 20, 40])
+def test_ragged_and_null_points_raise(spark, rows, max_bytes):
+    points = spark.createDataFrame([(x,) for x in rows], "x array<double>").coalesce(1)
+    with pytest.raises(Exception, match="coordinates"):
+        nearest.with_nearest(points, Centers([[0.0] * 4, [9.0] * 4]), max_bytes=max_bytes).collect()
 
 
-def test_large_centre_tables_need_run_tables(make_points, lattice_matrix):
-    with pytest.raises(ValueError, match="blocks"):
-        nearest.with_nearest(make_points(lattice_matrix), Centers(lattice_matrix), max_bytes=100)
-
 
 def test_string_ids(make_points, lattice_matrix):
     centers = Centers(lattice_matrix[:3], ["a", "b", "c"])

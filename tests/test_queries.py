@@ -23,11 +23,6 @@ def test_query_equals_its_twin(spark, small, database, name):
     assert len(ours)
 
 
-@pytest.mark.parametrize("name", ["inner_kmeans", "weighted_reduce", "plain_kmeans", "kmeans_parallel", "compare_estimators"])
-def test_query_without_twin_runs(spark, small, name):
-    assert QUERIES[name](spark, small).count() > 0
-
-
 def test_entry(spark):
     rows = contract.entry(spark).collect()
-    assert len(rows) == 5 and rows[0].risk_final > 0
+    assert len(rows) == 5 and sum(r.size for r in rows) == 1500

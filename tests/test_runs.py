@@ -148,8 +148,8 @@ def test_kmeans_parallel_draws_exactly_l_rows(items):
     run = kmeans_parallel(items, 4, draws=6, iterations=3, seed=2)
     assert run.candidate_count == 1 + 3 * 6 and run.candidates.weights.sum() == items.count()
     n = items.count()
-    assert run.comps_per_machine == n + 2 * n * 6
-    assert kmeans_parallel(items, 4, iterations=3, m=7, seed=2).total_comps == 7 * (n // 7 + 2 * (n * 8 // 7))
+    assert run.comps_per_machine == n * (1 + 7 + 13)
+    assert kmeans_parallel(items, 4, iterations=3, m=7, seed=2).total_comps == 7 * (n // 7 + n * 9 // 7 + n * 17 // 7)
 
 
 def test_kmeans_parallel_stops_when_all_points_are_centres(make_points):

@@ -74,10 +74,38 @@ def test_prepare_edges(spark):
     assert grid.select(prep.constant_scale(F.col("g")).alias("x")).first().x == [1.0, 0.0, 0.2, 0.4]
 
 
-def test_too_many_levels_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(prep, "MAX_LEVELS", 3)
-    with pytest.raises(ValueError, match="levels"):
-        prep.one_hot(spark.range(5).select(F.col("id").cast("string").alias("s")))
+def test_any_number_of_levels(spark):
+    df = spark.range(10_001).select("id", F.format_string("v%05d", "id").alias("s"))
+    assert len(prep.one_hot(df).columns) == 10_002
+    named = prep.one_hot(df, levels={"s": ["v00003"]})
+    assert named.columns == ["id", "s_v00003"] and named.agg(F.sum("s_v00003")).first()[0] == 1
+    some = df.union(spark.createDataFrame([(7, None), (8, "v00003")], "id long, s string")).repartition(5)
+    rows = prep.one_hot_sparse(some, "s").collect()
+    assert sorted((r.id, -1 if r.s_index is None else r.s_index) for r in rows) == sorted([(i, i) for i in range(10_001)] + [(7, -1), (8, 3)])
+
+
+def test_row_limit_is_exact(spark):
+    df = spark.range(1000).repartition(7).select("id", (F.col("id") % 10).alias("g"))
+    rows = prep.first_rows(df, 137, ["g", "id"]).collect()
+    assert sorted((r.g, r.id) for r in rows) == sorted((i % 10, i) for i in range(1000))[:137]
+    assert prep.first_rows(df, 5000, ["id"]).count() == 1000 and prep.first_rows(df.limit(0), 5, ["id"]).count() == 0
+
+
+def test_nan_has_no_part_in_a_range(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, float("nan")), (float("nan"), 5.0)], "a double, b double")
+    rows = [(r.a, r.b) for r in prep.min_max_scale(df, ["a", "b"]).collect()]
+    assert str(rows) == "[(0.0, 0.0), (1.0, nan), (nan, 0.0)]"
+    with pytest.raises(Exception, match="weight"):
+        df.select(prep.checked_weight(F.col("b"))).collect()
+
+
+def test_datasets_by_name(spark, tmp_path):
+    spark.createDataFrame([(1, 2.0, "x"), (2, None, "y")], "a int, b double, c string").write.option("header", True).csv(f"{tmp_path}/t")
+    assert points.load_dataset(spark, f"{tmp_path}/t").columns == ["a", "b"]
+    assert points.load_dataset(spark, "kdd", f"{tmp_path}/t").count() == 2
+    assert points.load_dataset(spark, "gaussian_3", n=100, dims=2).select("cluster").distinct().count() == 3
+    with pytest.raises(ValueError):
+        points.load_dataset(spark, "kdd")
 
 
 def test_spread_leaves_split_tables_alone(spark):
@@ -111,8 +139,8 @@ def test_seed_zero_is_random(spark):
 
 
 def metrics(spark):
-    rows = [("a", f"a_{i}", i, 5, 0.1, 1, 0.05, -1, 10 + i, 2, 9.0, float(i), 7.0, 1.0, 2.0, 0.5, 1.5) for i in range(3)]
-    rows.append(("b", "b_0", 0, 5, 0.1, 1, 0.05, -1, 4, 1, 9.0, 3.0, 7.0, 1.0, 2.0, 0.5, 1.5))
+    rows = [("d", None, "a", f"a_{i}", i, 5, 0.1, 1, 0.05, -1, 10 + i, 2, 9.0, float(i), 7.0, 1.0, 2.0, 0.5, 1.5) for i in range(3)]
+    rows.append(("d", None, "b", "b_0", 0, 5, 0.1, 1, 0.05, -1, 4, 1, 9.0, 3.0, 7.0, 1.0, 2.0, 0.5, 1.5))
     return spark.createDataFrame(rows, evaluate.METRICS_SCHEMA)
 
 
@@ -128,7 +156,7 @@ def test_run_file_is_appended_to(spark, tmp_path):
 
 def test_summary(spark):
     rows = {r.algorithm: r for r in sinks.summarize(metrics(spark)).collect()}
-    assert list(rows["a"].asDict()) == sinks.SUMMARY_COLUMNS
+    assert list(rows["a"].asDict()) == ["dataset", "steps", *sinks.SUMMARY_COLUMNS]
     assert rows["a"].num_centers_avg == 11 and rows["a"].num_centers_stdv == 1 and rows["a"].final_risk_avg == 1
     assert rows["b"].final_risk_stdv is None
 
@@ -144,11 +172,23 @@ def test_sweep(spark):
 
 
 def test_run_sweep(spark, make_points, lattice_matrix, monkeypatch):
-    for name, values in (("SWEEP_K", [3]), ("SWEEP_EPSILON", [0.2]), ("SWEEP_STEPS", [1])):
+    for name, values in (("SWEEP_K", [3]), ("SWEEP_EPSILON", [0.2]), ("SWEEP_STEPS", [1, 2])):
         monkeypatch.setattr(evaluate, name, values)
-    names = spark.createDataFrame([("a",)], "dataset string")
-    found = evaluate.run_sweep(spark, lambda _: make_points(lattice_matrix), names, rounds=1).collect()
-    assert sorted(r.algorithm for r in found) == ["kmeans_parallel", "sample_prune", "sampled_kmeans"]
+    names = spark.createDataFrame([("a",), ("b",)], "dataset string")
+    loaded = []
+
+    def load(name):
+        loaded.append(name)
+        return make_points(lattice_matrix[: 300 if name == "a" else 200])
+
+    found = evaluate.run_sweep(spark, load, names, rounds=2)
+    assert sorted(loaded) == ["a", "b"] and found.count() == 2 * 2 * 4
+    summary = sinks.summarize(found).collect()
+    assert sorted((r.dataset, r.algorithm, r.steps or 0) for r in summary) == sorted(
+        (d, a, s) for d in "ab" for a, s in [("kmeans_parallel", 1), ("kmeans_parallel", 2), ("sample_prune", 0), ("sampled_kmeans", 0)]
+    )
+    # one first centre and six more in each step
+    assert {r.num_centers_avg for r in summary if r.algorithm == "kmeans_parallel" and r.steps == 2} == {13.0}
 
 
 def test_repeated_runs(spark, make_points, lattice_matrix):
