@@ -7,7 +7,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -58,6 +58,22 @@ def id_and_text(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def row_key() -> Column:
+    """Names a row among those that share a doc_id; rows that repeat doc_id and text share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def without(documents: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that are not in ``dropped`` (doc_id, row_key), all columns as they are."""
+    names, n = [], 0
+    while len(names) < 2:  # names that no column has
+        names += [f"dropped_{n}"] if f"dropped_{n}" not in documents.columns else []
+        n += 1
+    gone = dropped.select(F.col("doc_id").alias(names[0]), F.col("row_key").alias(names[1])).distinct()
+    same = (row_key() == F.col(names[1])) & F.col("doc_id").cast("long").eqNullSafe(F.col(names[0]))
+    return documents.join(gone, same, "left_anti")
+
+
 def doc_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, UTF-8 text) of each row, null texts as empty ones."""
     for batch in batches:

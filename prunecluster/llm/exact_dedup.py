@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prunecluster.llm.batches import doc_texts, id_and_text, map_rows
+from prunecluster.llm.batches import doc_texts, id_and_text, map_rows, row_key, without
 from prunecluster.storage import RunTables
 
 MODULUS = (1 << 31) - 1
@@ -59,7 +59,7 @@ def fingerprint(data: bytes, table: np.ndarray, points=POINTS) -> tuple[tuple[in
 
 
 def _marks(documents: DataFrame, points) -> DataFrame:
-    keyed = id_and_text(documents).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    keyed = id_and_text(documents).withColumn("row_key", row_key())
 
     def make(batches):
         table = powers(points)
@@ -85,7 +85,7 @@ def _unequal(documents: DataFrame, marks: DataFrame, groups: DataFrame) -> DataF
         .groupBy("doc_id", "row_key", *key, "stays", "group_size").agg(F.lit(1).alias("one")).drop("one")
         .withColumnsRenamed({"doc_id": "id", "row_key": "rk"})
     )
-    text = id_and_text(documents).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    text = id_and_text(documents).withColumn("row_key", row_key())
     body = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).cast("binary")
     held = (
         text.join(
@@ -124,6 +124,10 @@ def exact_dedup(documents: DataFrame, points=POINTS) -> DataFrame:
     other; a group of such rows only has a null keep_id and keeps them. An empty table gives no rows.
     Other columns are not read, whatever their names.
     """
+    return _verdicts(documents, points).drop("row_key")
+
+
+def _verdicts(documents: DataFrame, points) -> DataFrame:
     run = RunTables(documents.sparkSession)
     key = ["print", "n_bytes", "turn"]
     marks = run.write(_marks(documents, points), "marks").withColumn("turn", F.lit(0))
@@ -150,10 +154,10 @@ def exact_dedup(documents: DataFrame, points=POINTS) -> DataFrame:
         F.when(F.col("group_size").isNull(), True)
         .otherwise(F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))).alias("kept"),
         "text_sha256",
+        "row_key",
     )
 
 
 def drop_copies(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that stay, with all their columns."""
-    dropped = exact_dedup(documents).filter(~F.col("kept")).select(F.col("doc_id").cast("long").alias("doc_id"))
-    return documents.join(dropped.distinct(), "doc_id", "left_anti").select(*documents.columns)
+    return without(documents, _verdicts(documents, POINTS).filter(~F.col("kept")))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prunecluster.llm.batches import doc_texts, id_and_text, map_rows
+from prunecluster.llm.batches import doc_texts, id_and_text, map_rows, row_key, without
 from prunecluster.llm.components import components
 from prunecluster.storage import RunTables
 
@@ -95,11 +95,13 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 def _prints(documents: DataFrame, shingle: int) -> DataFrame:
     def make(batches):
-        for doc_id, text in doc_texts(batches):
-            value = fingerprint(text, shingle)
-            yield doc_id, value - (1 << 64) if value >> 63 else value
+        for batch in batches:
+            for (doc_id, text), key in zip(doc_texts([batch]), batch.column("row_key").to_pylist()):
+                value = fingerprint(text, shingle)
+                yield doc_id, key, value - (1 << 64) if value >> 63 else value
 
-    return map_rows(id_and_text(documents), make, "doc_id long, print long")
+    keyed = id_and_text(documents).withColumn("row_key", row_key())
+    return map_rows(keyed, make, "doc_id long, row_key long, print long")
 
 
 def _forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -189,6 +191,10 @@ def simhash_dedup(documents: DataFrame, most: int = 2, shingle: int = 3, hot_key
     may repeat a doc_id. A row without one takes part in linking and has the component_id of the rest
     (null if no row of its component has an id). An empty table gives no rows. Other columns are not read.
     """
+    return _components(documents, most, shingle, hot_key).drop("row_key")
+
+
+def _components(documents: DataFrame, most: int, shingle: int, hot_key: int) -> DataFrame:
     run = RunTables(documents.sparkSession)
     prints = run.write(_prints(documents, shingle), "prints")
     classes = run.write(
@@ -200,13 +206,11 @@ def simhash_dedup(documents: DataFrame, most: int = 2, shingle: int = 3, hot_key
     least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
     of_print = run.write(of_class.join(least, "component").select("print", "component_id", "print_rows"), "of_print")
     return prints.join(of_print, "print").select(
-        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", "print_rows"
+        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", "print_rows", "row_key"
     )
 
 
-def drop_near_copies(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that stay, one of each component, with all their columns."""
-    dropped = simhash_dedup(documents).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return documents.join(
-        dropped.select("doc_id").distinct(), "doc_id", "left_anti"
-    ).select(*documents.columns)
+def drop_near_copies(documents: DataFrame, most: int = 2, shingle: int = 3) -> DataFrame:
+    """The rows of ``documents`` that stay, those with the least id of each component, with all their columns."""
+    found = _components(documents, most, shingle, HOT_KEY)
+    return without(documents, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))

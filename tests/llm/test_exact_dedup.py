@@ -60,3 +60,10 @@ def test_drop_copies_keeps_columns(make_docs):
     kept = e.drop_copies(docs)
     assert kept.columns == docs.columns
     assert sorted({r.doc_id for r in kept.collect()}) == sorted({r[0] for r in expected(ROWS) if r[3]})
+
+
+def test_drop_copies_goes_by_row(make_docs):
+    docs = make_docs([(5, "a"), (9, "A"), (5, "b"), (None, "c"), (4, "c"), (None, "d")]).withColumnRenamed("source", "dropped_0")
+    kept = e.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "d"), (4, "c"), (5, "b"), (9, "A")]

@@ -107,3 +107,8 @@ def test_components(spark):
                 label[a] = label[b] = min(label[a], label[b])
     frame = spark.createDataFrame(links, "a long, b long").repartition(4)
     assert {r.node: r.component for r in components(frame, RunTables(spark)).collect()} == label
+
+
+def test_drop_near_copies_goes_by_row(make_docs):
+    kept = s.drop_near_copies(make_docs([(5, "a b c"), (2, "A b  c"), (5, "q r s"), (None, "a b c")]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, "A b  c"), (5, "q r s")]
