@@ -221,12 +221,18 @@ def gaussian_coordinate(j: int) -> str:
     return f"round({CENTER.format(j=j)} + 0.001::DOUBLE * ({radius} * {wave}({angle})), 6) AS x{j}"
 
 
+# the last step after one round
+LAST_1 = [
+    f"""ordered AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN (SELECT count(*) FROM left_1) <= 5 THEN 0 ELSE {u('c')} END, point_id) AS place FROM left_1)""",
+    "last AS (SELECT place, x0, x1, x2, x3 FROM ordered WHERE place <= 5)",
+]
+
+
 def single_run(seed: int) -> str:
     """Metrics of a run of one round: samples drawn with ``seed``, centres taken by hash."""
     parts = query(
         POINTS, COUNTED, SETTING, *ROUND_1,
-        f"""ordered AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN (SELECT count(*) FROM left_1) <= 5 THEN 0 ELSE {u('c')} END, point_id) AS place FROM left_1)""",
-        "last AS (SELECT place, x0, x1, x2, x3 FROM ordered WHERE place <= 5)",
+        *LAST_1,
         """candidates AS (
   SELECT center_id::BIGINT AS center_id, x0, x1, x2, x3 FROM c_1 UNION ALL
   SELECT place - 1 + (SELECT count(*) FROM c_1), x0, x1, x2, x3 FROM last)""",
@@ -518,6 +524,10 @@ UNION ALL SELECT (center_id + 5)::INTEGER, x0, x1, x2, x3 FROM more""",
         *RUN, *LAST, *CANDIDATES, select=f"SELECT center_id::INTEGER AS center_id, weight, {columns()} FROM weighted"
     ),
     "last_step_small": query(*RUN, *LAST, select=f"SELECT {columns()} FROM last"),
+    "last_step_large": query(
+        POINTS, COUNTED, SETTING, *ROUND_1, *LAST_1,
+        select=f"SELECT {columns()}, ((SELECT count(*) FROM left_1) > 5)::INTEGER AS many FROM last",
+    ),
     "kmeans_parallel_step": query(
         POINTS, FIRST, *draw(1, "first"),
         "after AS (SELECT x0, x1, x2, x3 FROM first UNION ALL SELECT x0, x1, x2, x3 FROM draw_1)", *draw(2, "after"),

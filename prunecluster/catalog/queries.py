@@ -517,8 +517,9 @@ def comparison_counts(spark, folder):
 
 def union_centers(spark, folder):
     points = lattice(spark, folder)
-    both = lowest_by_hash(points, K).appended(lowest_by_hash(points, K, salt="c2"))
-    return both.to_df(spark).select("center_id", *coordinates("c", "c"))
+    first = lowest_by_hash(points, K).to_df(spark)
+    more = lowest_by_hash(points, K, salt="c2").to_df(spark).withColumn("center_id", F.col("center_id") + K)
+    return first.unionByName(more).select("center_id", *coordinates("c", "c"))
 
 
 # --- formulas ----------------------------------------------------------------------------------
@@ -618,6 +619,14 @@ def last_step_small(spark, folder):
     return run.candidates.to_df(spark).where(F.col("center_id") >= before).select(*coordinates("c", "c"))
 
 
+def last_step_large(spark, folder):
+    """After a single round too many rows are left to be centres themselves: the box takes k of them."""
+    run = fixed_run(spark, folder, max_iter=1, final_risk=False)
+    before = sum(r["center_count"] for r in run.rounds)
+    last = run.candidates.to_df(spark).where(F.col("center_id") >= before)
+    return last.select(*coordinates("c", "c"), F.lit(int(run.rounds[-1]["survivors"] > K)).alias("many"))
+
+
 APART = 10_000
 
 
@@ -853,6 +862,7 @@ QUERIES = {
     "two_rounds": two_rounds,
     "candidate_weights": candidate_weights,
     "last_step_small": last_step_small,
+    "last_step_large": last_step_large,
     "sampled_kmeans": sampled_kmeans_run,
     "sampled_kmeans_parallel_inner": sampled_kmeans_parallel_inner,
     "inner_kmeans": inner_kmeans,
