@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,9 @@ from pyspark.sql.types import StructType
 #: Rows and bytes of a batch that goes back to Spark.
 OUT_ROWS, OUT_BYTES = 4096, 8 << 20
 #: Pieces of text kept with their ids; the dictionary starts again when it is full.
-KEPT_WORDS, KEPT_LENGTH = 800_000, 64
+KEPT_WORDS, KEPT_LENGTH, SHORT_WORD, TEXT_AT_ONCE = 800_000, 64, 9, 1 << 19
+#: Marks that often end a word.
+MARKS = b".,;:!?"
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -105,22 +109,99 @@ class WordIds:
             i for word in probe.split() for i in self.tokenizer.encode(word, add_special_tokens=False).ids
         ]:
             raise ValueError(f"{tokenizer_file}: its tokens depend on white space")
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()  # bytes split at ASCII white space alone
-        unknown = set(words).difference(self.known)
-        if unknown and len(self.known) + len(unknown) > KEPT_WORDS:
-            self.known.clear()
-            unknown = set(words)
+        # Whether a mark behind a letter is encoded by itself, and case of no account.
+        samples = ["ab.", "é,,", "It's;", "x9y!?", "Σά:", "AbC"]
+        self.splits_marks = all(
+            self._direct(s) == self._direct(s.rstrip(MARKS.decode()).lower()) + self._direct(s[len(s.rstrip(MARKS.decode())) :])
+            for s in samples
+        )
+        # Which ids end a word, for tokenizers that mark it.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            for token, number in self.tokenizer.get_vocab().items():
+                self.ends[number] = token.endswith(suffix)
+
+    def _direct(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _encode_new(self, words: list[bytes]) -> None:
+        # Words of letters alone are encoded as one text and told apart by the tokens that end a word: each has
+        # one at least, so if there are as many as words, each has one. Otherwise all go one by one.
+        alone = {w: text.isalpha() for w in words for text in [w.decode()]} if self.ends is not None else {}
+        plain = [w for w in words if alone.get(w)]
+        if plain:
+            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(plain) and stops[-1] == len(ids):
+                data, last = ids.tobytes(), 0
+                for word, stop in zip(plain, (4 * stops).tolist()):
+                    self.known[word] = data[last:stop]
+                    last = stop
+                words = [w for w in words if not alone[w]]
+        codes = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self.known.update((word, array("I", code.ids).tobytes()) for word, code in zip(words, codes))
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Adds words; one that ends in a mark behind a letter is the word and the mark, case apart if in ASCII."""
+        if not self.splits_marks:
+            self._encode_new(list(words))
+            return
+        parts = {}
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if stem != word and not stem.decode()[-1:].isalpha():
+                stem = word
+            mark = word[len(stem) :]
+            if stem.isascii() and b"<|" not in stem:
+                stem = stem.lower()
+            parts[word] = stem, mark
+        new = {p for pair in parts.values() for p in pair if p}.difference(self.known)
+        self._encode_new(list(new))
+        for word, (stem, mark) in parts.items():
+            self.known[word] = self.known[stem] + self.known[mark] if mark else self.known[stem]
+
+    def _make_room(self, coming: int) -> None:
+        """Forgets long words, which seldom come again; all of them if that isn't enough."""
+        if len(self.known) + coming > KEPT_WORDS:
+            self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT_WORD}
+            if len(self.known) + coming > KEPT_WORDS * 3 // 4:
+                self.known = {}
+
+    def _ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        split = [text.split() for text in texts]  # bytes split at ASCII white space alone
+        words = set().union(*split)
+        unknown = words.difference(self.known)
         if unknown:
-            new = list(unknown)
-            codes = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            self.known.update((word, array("I", code.ids).tobytes()) for word, code in zip(new, codes))
-        ids = b"".join(map(self.known.__getitem__, words))
+            self._make_room(2 * len(unknown))
+            unknown = words.difference(self.known)
+            self._learn(unknown)
+        for own in split:
+            yield b"".join(map(self.known.__getitem__, own))
         for word in unknown:
             if len(word) > KEPT_LENGTH:
-                del self.known[word]
-        return ids
+                self.known.pop(word, None)
+
+    def encode(self, text: bytes) -> bytes:
+        return next(self._ids([text]))
+
+    def encode_all(self, rows: Iterable[tuple[int | None, bytes]]) -> Iterator[tuple[int | None, bytes]]:
+        """(doc_id, ids) for (doc_id, text), some texts at a time."""
+        held, size = [], 0
+        for row in rows:
+            held.append(row)
+            size += len(row[1])
+            if size >= TEXT_AT_ONCE:
+                yield from zip([i for i, _ in held], self._ids([t for _, t in held]))
+                held, size = [], 0
+        yield from zip([i for i, _ in held], self._ids([t for _, t in held]))
+
+
+@lru_cache(maxsize=1)
+def word_ids(tokenizer_file: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(tokenizer_file)
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prunecluster.llm.batches import WordIds, doc_texts, id_and_text, map_rows, task_number
+from prunecluster.llm.batches import doc_texts, id_and_text, map_rows, task_number, word_ids
 from prunecluster.storage import RunTables
 
 PIECES = "part int, doc_id long, piece int, start long, length int, place long, ids_crc32 long"
@@ -71,10 +71,10 @@ def plan_slots(counts: dict[int, int], capacity: int) -> tuple[list[tuple], int]
 
 def _pieces(documents: DataFrame, tokenizer_file: str, end_id: int, capacity: int) -> DataFrame:
     def make(batches):
-        words, seen, part = WordIds(tokenizer_file), defaultdict(int), task_number()
+        words, seen, part = word_ids(tokenizer_file), defaultdict(int), task_number()
         end = int(end_id).to_bytes(4, "little")
-        for doc_id, text in doc_texts(batches):
-            ids = words.encode(text) + end
+        for doc_id, ids in words.encode_all(doc_texts(batches)):
+            ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 data = ids[at : at + 4 * capacity]
                 length = len(data) // 4

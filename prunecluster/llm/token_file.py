@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prunecluster.llm.batches import WordIds, doc_texts, id_and_text, map_rows, task_number
+from prunecluster.llm.batches import doc_texts, id_and_text, map_rows, task_number, word_ids
 from prunecluster.storage import RunTables
 
 MAGIC = b"FWBITS01"
@@ -152,18 +152,18 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_file: str, end_id:
     )
 
     def make(batches):
-        words = WordIds(tokenizer_file)
+        words = word_ids(tokenizer_file)
         bits = id_bits(max(words.tokenizer.get_vocab_size(), end_id + 1))
         end = int(end_id).to_bytes(4, "little")
         system, path = opened(folder)
         system.create_dir(path, recursive=True)
         name = f"part-{task_number():06d}-{uuid4().hex}.ids"
         writer = None
-        for doc_id, text in doc_texts(batches):
+        for doc_id, ids in words.encode_all(doc_texts(batches)):
             if writer is None:
                 sink = system.open_output_stream(f"{path}/{name}")
                 writer = TokenWriter(sink, bits)
-            writer.add(doc_id, np.frombuffer(words.encode(text) + end, "<u4"))
+            writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
         if writer is not None:
             writer.close()
             sink.close()
