@@ -71,37 +71,53 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, keys[fresh]
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text, as an unsigned number."""
+def mixed(hashes: np.ndarray, table: int) -> np.ndarray:
+    """Other hashes from hashes, those of the given table; table 0 has them as they are."""
+    if not table:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(table) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(text: bytes, shingle: int = 3, seed: int = 42, tables: int = 1) -> list[int]:
+    """The SimHash of a text, as an unsigned number, from each of so many tables of hashes."""
     import xxhash
 
     words = text.lower().split()  # of bytes: A-Z alone, and ASCII white space alone
     if not words:
-        return 0
+        return [0] * tables
     n = max(1, len(words) - shingle + 1)
     parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
     hashes = map(xxhash.xxh64_intdigest, parts, repeat(seed))
-    counts = np.zeros(2048, np.int64)
+    counts = np.zeros((tables, 2048), np.int64)
     left = n
     while left:
         part = np.fromiter(hashes, np.uint64, min(left, HASHES))
         left -= len(part)
-        octets = part.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64) + np.arange(0, 2048, 256)
-        counts += np.bincount(octets.ravel(), minlength=2048)
+        for table in range(tables):
+            octets = mixed(part, table).astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64) + np.arange(0, 2048, 256)
+            counts[table] += np.bincount(octets.ravel(), minlength=2048)
     bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-    ones = (counts.reshape(8, 256) @ bits).ravel()
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    ones = (counts.reshape(tables, 8, 256) @ bits).reshape(tables, 64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
+
 
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    return fingerprints(text, shingle, seed)[0]
 
-def _prints(documents: DataFrame, shingle: int) -> DataFrame:
+
+def _prints(documents: DataFrame, shingle: int, tables: int) -> DataFrame:
     def make(batches):
         for batch in batches:
             for (doc_id, text), key in zip(doc_texts([batch]), batch.column("row_key").to_pylist()):
-                value = fingerprint(text, shingle)
-                yield doc_id, key, value - (1 << 64) if value >> 63 else value
+                signed = [v - (1 << 64) if v >> 63 else v for v in fingerprints(text, shingle, tables=tables)]
+                yield doc_id, key, signed[0], signed[1:]
 
     keyed = id_and_text(documents).withColumn("row_key", row_key())
-    return map_rows(keyed, make, "doc_id long, row_key long, print long")
+    return map_rows(keyed, make, "doc_id long, row_key long, print long, more array<long>")
 
 
 def _forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -161,7 +177,7 @@ def _golay_keyed(prints: DataFrame) -> DataFrame:
     return map_rows(prints, make, "key long, print long")
 
 
-def near_prints(prints: DataFrame, run: RunTables, most: int = 2, hot_key: int = HOT_KEY) -> DataFrame:
+def near_prints(prints: DataFrame, run: RunTables, most: int = 2, hot_key: int = HOT_KEY, name: str = "keyed") -> DataFrame:
     """Links (a, b) that join all different fingerprints (print) within ``most`` (2 or fewer) bits.
 
     A key with more than ``hot_key`` fingerprints is not gathered: these get the words within one bit as
@@ -169,7 +185,7 @@ def near_prints(prints: DataFrame, run: RunTables, most: int = 2, hot_key: int =
     """
     if most > 2:
         raise ValueError("one error in each fingerprint reaches pairs that differ in two bits at most")
-    keyed = run.write(_golay_keyed(prints), "keyed")
+    keyed = run.write(_golay_keyed(prints), name)
     # Keys of one fingerprint alone are dropped before the sort.
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     kept = keyed.join(sizes, "key")
@@ -182,25 +198,46 @@ def near_prints(prints: DataFrame, run: RunTables, most: int = 2, hot_key: int =
     return _links_in_keys(cool, most).union(_links_in_keys(hot, most))
 
 
-def simhash_dedup(documents: DataFrame, most: int = 2, shingle: int = 3, hot_key: int = HOT_KEY) -> DataFrame:
+def simhash_dedup(documents: DataFrame, most: int = 2, shingle: int = 3, hot_key: int = HOT_KEY, tables: int = 1) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, print_rows.
 
-    Documents link when their fingerprints differ in ``most`` bits or fewer; component_id is the smallest
-    doc_id that links reach, the row's own included; print_rows is the number of rows with that very
-    fingerprint. A null, empty or blank text has fingerprint zero and links like others. Rows
-    may repeat a doc_id. A row without one takes part in linking and has the component_id of the rest
-    (null if no row of its component has an id). An empty table gives no rows. Other columns are not read.
+    Documents link when their fingerprints differ in ``most`` bits or fewer, with several ``tables`` those of
+    any table (each has its own hashes of the same shingles; the fingerprint shown is the first).
+    component_id is the smallest doc_id that links reach, the row's own included; print_rows is the number
+    of rows with that very fingerprint. A null, empty or blank text has fingerprint zero and links like
+    others. Rows may repeat a doc_id. A row without one takes part in linking and has the
+    component_id of the rest (null if no row of its component has an id). An empty table gives no
+    rows. Other columns are not read.
     """
-    return _components(documents, most, shingle, hot_key).drop("row_key")
+    return _components(documents, most, shingle, hot_key, tables).drop("row_key")
 
 
-def _components(documents: DataFrame, most: int, shingle: int, hot_key: int) -> DataFrame:
+def _table_links(prints: DataFrame, table: int, run: RunTables, most: int, hot_key: int) -> DataFrame:
+    """Links (a, b) between first fingerprints whose documents are close in another table."""
+    own = run.write(
+        prints.select("print", F.element_at("more", table).alias("other")).groupBy("other")
+        .agg(F.min("print").alias("node"), F.max("print").alias("last")),
+        f"table-{table}",
+    )
+    # Documents with the same fingerprint here may have several there; one stands for all.
+    shared = own.filter("node < last").select("other", "node")
+    same = prints.select("print", F.element_at("more", table).alias("other")).join(shared, "other").filter("print <> node")
+    close = near_prints(own.select(F.col("other").alias("print")), run, most, hot_key, f"keyed-{table}")
+    nodes = own.select("other", "node")
+    close = close.join(nodes.withColumnsRenamed({"other": "a", "node": "x"}), "a").join(nodes.withColumnsRenamed({"other": "b", "node": "y"}), "b")
+    links = same.select(F.col("node").alias("a"), F.col("print").alias("b")).union(close.select("x", "y"))
+    return run.write(links.filter("a <> b").distinct(), f"found-{table}")
+
+
+def _components(documents: DataFrame, most: int, shingle: int, hot_key: int, tables: int) -> DataFrame:
     run = RunTables(documents.sparkSession)
-    prints = run.write(_prints(documents, shingle), "prints")
+    prints = run.write(_prints(documents, shingle, tables), "prints")
     classes = run.write(
         prints.groupBy("print").agg(F.min("doc_id").alias("least"), F.count("*").alias("print_rows")), "classes"
     )
     links = run.write(near_prints(classes.select("print"), run, most, hot_key), "found")
+    for table in range(1, tables):
+        links = links.union(_table_links(prints, table, run, most, hot_key))
     joined = components(links, run).withColumnRenamed("node", "print")
     of_class = classes.join(joined, "print", "left").withColumn("component", F.coalesce("component", "print"))
     least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -210,7 +247,11 @@ def _components(documents: DataFrame, most: int, shingle: int, hot_key: int) ->
     )
 
 
-def drop_near_copies(documents: DataFrame, most: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``documents`` that stay, those with the least id of each component, with all their columns."""
-    found = _components(documents, most, shingle, HOT_KEY)
+def drop_near_copies(documents: DataFrame, most: int = 2, shingle: int = 3, tables: int = 8) -> DataFrame:
+    """The rows of ``documents`` that stay, those with the least id of each component, with all their columns.
+
+    One fingerprint alone is within two bits for few near copies; several tables link most of them, and
+    unrelated texts hardly ever.
+    """
+    found = _components(documents, most, shingle, HOT_KEY, tables)
     return without(documents, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))

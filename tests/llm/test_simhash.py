@@ -65,7 +65,7 @@ def test_against_all_pairs(make_docs):
     ids = sorted(prints)
     label = slow_components([prints[i] for i in ids])
     assert {r.doc_id: r.component_id for r in rows} == {i: ids[l] for i, l in zip(ids, label)}
-    kept = s.drop_near_copies(make_docs(ROWS))
+    kept = s.drop_near_copies(make_docs(ROWS), tables=1)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({ids[l] for l in label})
 
 
@@ -112,3 +112,30 @@ def test_components(spark):
 def test_drop_near_copies_goes_by_row(make_docs):
     kept = s.drop_near_copies(make_docs([(5, "a b c"), (2, "A b  c"), (5, "q r s"), (None, "a b c")]))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, "A b  c"), (5, "q r s")]
+
+
+def test_several_tables_against_all_pairs(make_docs):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for group in range(12):
+        text = list(rng.choice(words, 150))
+        for copy in range(4):
+            for place in rng.choice(150, copy, replace=False):
+                text[place] = "changed"
+            rows.append((len(rows), " ".join(text)))
+    rows += [(len(rows) + i, " ".join(rng.choice(words, 150))) for i in range(20)]
+    prints = [s.fingerprints(t.encode(), tables=5) for _, t in rows]
+    assert [p[0] for p in prints] == [slow_print(t) for _, t in rows]
+    label, changed = list(range(len(rows))), True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                near = any(bin(a ^ b).count("1") <= 2 for a, b in zip(prints[i], prints[j]))
+                if near and label[i] != label[j]:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    found = s.simhash_dedup(make_docs(rows), tables=5).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(label))
+    assert len(set(label)) < len(rows) - 12 and set(label[-20:]) == set(range(len(rows) - 20, len(rows)))
