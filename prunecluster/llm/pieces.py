@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,7 +31,8 @@ from prunecluster.storage import RunTables
 
 SPACE = "▁"
 #: Characters of a chunk; words and ids that are remembered; lowest score of all.
-CHUNK, KEPT_WORDS, KEPT_LENGTH, NEVER = 1 << 15, 500_000, 64, -(1 << 62)
+CHUNK, KEPT_WORDS, KEPT_LENGTH, SHORT_WORD, NEVER = 1 << 15, 500_000, 64, 9, -(1 << 62)
+MARKS = ".,;:!?"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 STARTS = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 ENCODED = "doc_id long, row_key long, copies long, source_crc long, chunk long, chunks long, ids binary"
@@ -65,6 +67,10 @@ class Lattice:
         self.longest = max(map(len, self.score))
         if any(STARTS.search(p) for p in self.score):
             raise ValueError(f"{model_file}: a piece holds the start of a word inside")
+        # Scores of pieces, and NEVER for what merely begins one: any other stretch need not be tried further.
+        self.begins = {p[:n]: NEVER for p in self.score for n in range(1, len(p) + 1)} | self.score
+        # A mark begins a piece of its own behind any character that no piece has in front of it.
+        self.joined = {p[i : i + 2] for p in self.score for i in range(len(p) - 1) if p[i + 1] in MARKS}
         self.text = {i: p.replace(SPACE, " ").encode() for p, i in self.number.items()} | {
             i: bytes([b]) for b, i in self.bytes.items()
         }
@@ -76,7 +82,7 @@ class Lattice:
 
         Pieces begin before ``inside``.
         """
-        n, score, longest = len(text), self.score, self.longest
+        n, score, longest, begins = len(text), self.score, self.longest, self.begins
         best, back = [NEVER] * (n + 1), [-1] * (n + 1)
         for at, value in starts.items():
             best[at] = value
@@ -88,8 +94,10 @@ class Lattice:
             if single and here + self.stray > best[at + 1]:
                 best[at + 1], back[at + 1] = here + self.stray, at
             for end in range(at + 1, min(n, at + longest) + 1):
-                own = score.get(text[at:end])
-                if own is not None and here + own > best[end]:
+                own = begins.get(text[at:end])
+                if own is None:
+                    break
+                if own + here > best[end] and own > NEVER:
                     best[end], back[end] = here + own, at
         return best, back
 
@@ -108,33 +116,67 @@ class Lattice:
 
     def _learn(self, words: set[str]) -> None:
         for word in words:
-            best, back = self.solve(word, {0: 0}, len(word))
-            self.known[word] = array("I", self.follow(word, back, len(word))[0]).tobytes()
-            self.total[word] = best[-1]
-
-    def words(self, words: list[str]) -> tuple[bytes, int]:
-        """Ids, four bytes each, and score of consecutive words."""
+            stem = word.rstrip(MARKS)
+            if stem and stem != word and word[len(stem) - 1 : len(stem) + 1] not in self.joined:
+                for part in (stem, word[len(stem) :]):
+                    if part not in self.known:
+                        self._solve_word(part)
+                mark = word[len(stem) :]
+                self.known[word] = self.known[stem] + self.known[mark]
+                self.total[word] = self.total[stem] + self.total[mark]
+            elif word not in self.known:
+                self._solve_word(word)
+
+    def _solve_word(self, word: str) -> None:
+        best, back = self.solve(word, {0: 0}, len(word))
+        self.known[word] = array("I", self.follow(word, back, len(word))[0]).tobytes()
+        self.total[word] = best[-1]
+
+    def _make_room(self, coming: int) -> None:
+        """Forgets long words, which seldom come again; all of them if that isn't enough."""
+        if len(self.known) + coming > KEPT_WORDS:
+            short = [w for w in self.known if len(w) <= SHORT_WORD]
+            if len(short) + coming > KEPT_WORDS * 3 // 4:
+                short = []
+            self.known = {w: self.known[w] for w in short}
+            self.total = {w: self.total[w] for w in short}
+
+    def words(self, words: list[str], scored: bool = True) -> tuple[bytes, int]:
+        """Ids, four bytes each, and score (0 if not asked for) of consecutive words."""
         unknown = set(words).difference(self.known)
-        if unknown and len(self.known) + len(unknown) > KEPT_WORDS:
-            self.known.clear()
-            self.total.clear()
-            unknown = set(words)
-        self._learn(unknown)
-        ids, total = b"".join(map(self.known.__getitem__, words)), sum(map(self.total.__getitem__, words))
+        if unknown:
+            self._make_room(2 * len(unknown))
+            unknown = set(words).difference(self.known)
+            self._learn(unknown)
+        ids = b"".join(map(self.known.__getitem__, words))
+        total = sum(map(self.total.__getitem__, words)) if scored else 0
         for word in unknown:
             if len(word) > KEPT_LENGTH:
-                del self.known[word], self.total[word]
+                self.known.pop(word, None)
+                self.total.pop(word, None)
         return ids, total
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text in one go."""
-        return self.words(WORDS.findall(SPACE + text.replace(" ", SPACE)))[0] if text else b""
+        if not text:
+            return b""
+        escaped = SPACE + text.replace(" ", SPACE)
+        # Where every space stands alone, splitting at it is the same and faster.
+        lonely = 2 * SPACE not in escaped and escaped[-1] != SPACE
+        words = list(map(SPACE.__add__, escaped[1:].split(SPACE))) if lonely else WORDS.findall(escaped)
+        return self.words(words, scored=False)[0]
 
     def decode(self, ids: np.ndarray, first: bool = True) -> bytes:
         text = b"".join(map(self.text.__getitem__, ids.tolist()))
         return text[1:] if first and text[:1] == b" " else text
 
 
+@lru_cache(maxsize=1)
+def lattice_of(model_file: str) -> Lattice:
+    """One for all tasks of a Python worker."""
+    return Lattice(model_file)
+
+
 class Chunk:
     """A chunk of an escaped text, with the characters that its last piece may reach into."""
 
@@ -251,7 +293,7 @@ def _long(documents: DataFrame, model_file: str, size: int, run: RunTables) -> D
     parts = run.write(_split(once, longest, size).repartition("row_key", "chunk"), "parts")
 
     def matrices(batches):
-        lattice = Lattice(model_file)
+        lattice = lattice_of(model_file)
         for batch in batches:
             for doc_id, row_key, chunk, n, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "chunk", "size", "part"))):
                 yield doc_id, row_key, chunk, Chunk(lattice, text, n).matrix()
@@ -266,7 +308,7 @@ def _long(documents: DataFrame, model_file: str, size: int, run: RunTables) -> D
                 scores = combine(scores, np.array(matrix, np.int64).reshape(longest, longest))
 
     def entries(batches):
-        lattice = Lattice(model_file)
+        lattice = lattice_of(model_file)
         for batch in batches:
             for doc_id, row_key, chunk, n, text, scores in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "chunk", "size", "part", "scores"))):
                 yield doc_id, row_key, chunk, scores, Chunk(lattice, text, n).entries(scores)
@@ -279,7 +321,7 @@ def _long(documents: DataFrame, model_file: str, size: int, run: RunTables) -> D
                 state = back[state]
 
     def trace(batches):
-        lattice = Lattice(model_file)
+        lattice = lattice_of(model_file)
         names = ("doc_id", "row_key", "copies", "source_crc", "chunk", "chunks", "size", "part", "scores", "leaves")
         for batch in batches:
             for doc_id, row_key, copies, crc, chunk, chunks, n, text, scores, leaves in zip(*(batch.column(c).to_pylist() for c in names)):
@@ -313,7 +355,7 @@ def encode(documents: DataFrame, model_file: str, size: int = CHUNK) -> DataFram
     is_long = F.length("text") >= size
 
     def make(batches):
-        lattice = Lattice(model_file)
+        lattice = lattice_of(model_file)
         for batch in batches:
             for doc_id, key, data in zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), as_bytes(batch.column("text"))):
                 yield doc_id, key, 1, zlib.crc32(data), 0, 1, lattice.encode(data.decode())
@@ -327,7 +369,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     names = ("doc_id", "row_key", "copies", "source_crc", "chunk", "chunks", "ids")
 
     def make(batches):
-        lattice = Lattice(model_file)
+        lattice = lattice_of(model_file)
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in names)):
                 yield *row, lattice.decode(np.frombuffer(row[6], "<u4"), row[4] == 0).decode()
@@ -344,7 +386,7 @@ def round_trip(documents: DataFrame, model_file: str, size: int = CHUNK) -> Data
     """
 
     def digest(batches):
-        lattice, names = Lattice(model_file), ("doc_id", "row_key", "copies", "source_crc", "chunk", "chunks", "ids")
+        lattice, names = lattice_of(model_file), ("doc_id", "row_key", "copies", "source_crc", "chunk", "chunks", "ids")
         for batch in batches:
             for doc_id, key, copies, crc, chunk, chunks, ids in zip(*(batch.column(n).to_pylist() for n in names)):
                 text = lattice.decode(np.frombuffer(ids, "<u4"), chunk == 0)
