@@ -139,3 +139,49 @@ def test_several_tables_against_all_pairs(make_docs):
     found = s.simhash_dedup(make_docs(rows), tables=5).collect()
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(label))
     assert len(set(label)) < len(rows) - 12 and set(label[-20:]) == set(range(len(rows) - 20, len(rows)))
+
+
+def slow_share(a, b):
+    own = []
+    for text in (a, b):
+        words = text.split()
+        own.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    return len(own[0] & own[1]) / len(own[0] | own[1])
+
+
+def edited(rng, words, group, size, copies, most):
+    """Copies of a text, each with some words changed, and the text itself."""
+    text = [f"g{group}-{w}" for w in rng.choice(words, size)]
+    yield " ".join(text)
+    for copy in range(copies):
+        own = list(text)
+        for place in rng.choice(size, rng.integers(1, most), replace=False):
+            own[place] = f"changed{group}-{copy}-{place}"
+        yield " ".join(own)
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_near_copies_against_all_shares_of_shingles(make_docs, monkeypatch, block):
+    monkeypatch.setattr(s, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(500)]
+    texts = [t for g in range(25) for t in edited(rng, words, g, 200, 4, 9)]
+    label, near, changed = list(range(len(texts))), [], True
+    for i in range(len(texts)):
+        near += [(i, j) for j in range(i) if slow_share(texts[i], texts[j]) >= 0.8]
+    while changed:
+        changed = False
+        for i, j in near:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    kept = s.drop_near_copies(make_docs(list(enumerate(texts))))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    assert 25 < len(set(label)) < len(texts) - 25
+
+
+def test_share_of_shingles_counts_sets():
+    sets = [s.shingle_set(t) for t in (b"a b c d e f g h i", b"A b c d\te f g h i", b"a b c d e f g h", b"a b", b"")]
+    assert [len(x) for x in sets] == [5, 5, 4, 1, 0]
+    assert s.are_near(sets[0], sets[1]) and s.are_near(sets[0], sets[2]) and not s.are_near(sets[3], sets[4])
+    assert s.band_keys(sets[0]) == s.band_keys(sets[1]) and len(set(s.band_keys(sets[0]))) == s.BANDS
