@@ -11,6 +11,8 @@ conversation nor its rendering need fit in one task.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ ROLES = ("system", "user", "assistant")
 SYSTEM, USER, ASSISTANT, START = range(4)
 MERGE, RELABEL, UNKNOWN_LABEL, INSERT = 1, 3, 2, 2
 NEVER = 1 << 40
-#: Turns of a stretch, by number of turn.
+#: Turns of a stretch at most, by rank; a power of two below 2^33, so that no stretch lies in two sorted ranges.
 STRETCH = 1024
 TURN_OPEN, TURN_CLOSE = "<|{role}|>\n", "<|end|>\n"
 
@@ -81,12 +83,19 @@ def trace(roles: list[str | None], start: int, end: int) -> list[int]:
     return states[::-1]
 
 
-def _ordered(conversations: DataFrame) -> DataFrame:
-    """Turns sorted within stretches; ties of turn go by role, then text."""
-    return conversations.select(
+def _ordered(conversations: DataFrame, run: RunTables) -> DataFrame:
+    """Turns with their place in the order of (conversation, turn, role, text) and the stretch that it lies in.
+
+    Turns are sorted by ranges. A place has the range in its upper bits and the row within it in the lower 33, so
+    a stretch holds STRETCH turns at most, however many share a number, a role or a text.
+    """
+    turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
-    ).withColumn("stretch", F.floor(F.coalesce("turn", F.lit(-(1 << 62))) / STRETCH))
+    ).withColumn("tie", F.monotonically_increasing_id())  # equal rows go to several ranges too
+    sorted_turns = turns.orderBy("conv_id", "turn", "role", "text", "tie").drop("tie")
+    stored = run.write(sorted_turns.withColumn("place", F.monotonically_increasing_id()), "turns")
+    return stored.withColumn("stretch", F.floor(F.col("place") / STRETCH))
 
 
 def _stretches(batches, names):
@@ -105,8 +114,6 @@ def _stretches(batches, names):
 
 def _ends(conversations: DataFrame) -> DataFrame:
     """(conv_id, stretch, enters, leaves, last, cost) of each stretch: its states on the cheapest way."""
-    sort = ("conv_id", "stretch", "turn", "role", "text")
-
     def matrices(batches):
         for (conv, stretch), rows in _stretches(batches, ("role",)):
             total = NEUTRAL
@@ -115,34 +122,36 @@ def _ends(conversations: DataFrame) -> DataFrame:
             yield conv, stretch, total.ravel().tolist()
 
     def states(batches):
-        def of_conversation(conv, held):
-            cost, ways = np.where(np.arange(4) == START, 0, NEVER), []
-            for _, matrix in held:
+        def of_conversation(conv, stretches, held):
+            # 16 numbers for each stretch; the ways back take four bytes.
+            cost, ways = np.where(np.arange(4) == START, 0, NEVER), bytearray()
+            for matrix in np.frombuffer(held, np.int64).reshape(-1, 4, 4):
                 reach = cost[:, None] + matrix
-                ways.append(reach.argmin(axis=0))
+                ways += reach.argmin(axis=0).astype(np.uint8).tobytes()
                 cost = np.minimum(reach.min(axis=0), NEVER)
             final = cost + [INSERT * len(ENDINGS[s]) for s in range(4)]
             state = int(final.argmin())
-            least, n = int(final[state]), len(held)
+            least, n = int(final[state]), len(stretches)
             for i in range(n - 1, -1, -1):
-                enters = int(ways[i][state])
-                yield conv, held[i][0], enters, state, i == n - 1, least
+                enters = ways[4 * i + state]
+                yield conv, stretches[i], enters, state, i == n - 1, least
                 state = enters
 
-        own, held = None, []
+        own, stretches, held = None, array("q"), array("q")
         for batch in batches:
             for conv, stretch, matrix in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "stretch", "matrix"))):
                 if held and conv != own:
-                    yield from of_conversation(own, held)
-                    held = []
+                    yield from of_conversation(own, stretches, held)
+                    stretches, held = array("q"), array("q")
                 own = conv
-                held.append((stretch, np.array(matrix, np.int64).reshape(4, 4)))
+                stretches.append(stretch)
+                held.extend(matrix)
         if held:
-            yield from of_conversation(own, held)
+            yield from of_conversation(own, stretches, held)
 
-    roles = conversations.select("conv_id", "stretch", "turn", "role", "text")
+    roles = conversations.select("conv_id", "stretch", "place", "role")
     by_stretch = map_rows(
-        roles.repartition("conv_id", "stretch").sortWithinPartitions(*sort).select("conv_id", "stretch", "role"),
+        roles.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "place").select("conv_id", "stretch", "role"),
         matrices, "conv_id long, stretch long, matrix array<long>",
     )
     return map_rows(
@@ -163,7 +172,7 @@ def repair_chats(conversations: DataFrame) -> DataFrame:
     Other columns are not read.
     """
     run = RunTables(conversations.sparkSession)
-    turns = _ordered(conversations)
+    turns = _ordered(conversations, run)
     ends = run.write(_ends(turns), "ends").withColumnsRenamed({"conv_id": "c", "stretch": "s"})
     joined = turns.join(ends, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("stretch") == F.col("s"))).drop("c", "s")
     table, names = insertions(), ("turn", "role", "text", "enters", "leaves", "last", "cost")
@@ -193,7 +202,7 @@ def repair_chats(conversations: DataFrame) -> DataFrame:
                 yield conv, turn, role, ROLES[state], action, inserted, shown, cost
                 before = state
 
-    dealt = joined.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "turn", "role", "text")
+    dealt = joined.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "place")
     return map_rows(
         dealt, make,
         "conv_id long, turn long, role string, new_role string, action string, inserted int, rendered string, cost long",

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from prunecluster.llm import chat, line_dedup as d
+from prunecluster.storage import RunTables
 
 
 def slow_lines(rows, run):
@@ -148,6 +149,18 @@ def test_legal_chats_stay_and_nulls_have_a_place(spark):
     assert chat.repair_chats(chats(spark, {1: turns}).limit(0)).count() == 0
 
 
+def test_turns_of_one_number_are_cut_into_stretches(spark, monkeypatch):
+    monkeypatch.setattr(chat, "STRETCH", 64)
+    same = [(None, "user", "q")] * 700 + [(7, "assistant", str(n)) for n in range(700)]
+    frame = chats(spark, {1: same, 2: [(0, "user", "a")]})
+    stretches = chat._ordered(frame, RunTables(spark)).groupBy("conv_id", "stretch").count().collect()
+    assert max(r["count"] for r in stretches) <= 64 and sum(r["count"] for r in stretches) == 1401
+    found = result(frame)
+    assert {r.cost for r in found[1]} == {699 + 699} and len(found[1]) == 1400
+    opened = [r for r in found[1] if r.action == "keep"]
+    assert [r.turn for r in opened] == [None, 7]
+
+
 def test_chain_is_associative():
     rng = np.random.default_rng(0)
     a, b, c = (rng.integers(0, 9, (4, 4)) for _ in range(3))
