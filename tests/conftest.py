@@ -4,7 +4,7 @@ import sys
 import numpy as np
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from prunecluster.session import local_session  # noqa: E402
 
@@ -40,8 +40,3 @@ def make_points(spark):
 def lattice_matrix():
     rng = np.random.default_rng(3)
     return rng.integers(0, 30, size=(400, 3)).astype(float)
-
-
-def all_d2(points, centers):
-    gap = np.asarray(points, float)[:, None, :] - np.asarray(centers, float)[None]
-    return (gap**2).sum(axis=2)

@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import all_d2
+from brute_force import all_d2
 from prunecluster.functions.centers import Centers
 from prunecluster.operators import cost, nearest
 

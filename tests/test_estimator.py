@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from conftest import all_d2
+from brute_force import all_d2
 from prunecluster import PrunedKMeans, PrunedKMeansModel
 
 

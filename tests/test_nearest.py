@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import all_d2
+from brute_force import all_d2
 from prunecluster.functions.centers import Centers
 from prunecluster.functions.distance import squared_distance
 from prunecluster.operators import cost, nearest

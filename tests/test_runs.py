@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from conftest import all_d2
+from brute_force import all_d2
 from prunecluster import Centers, kmeans_parallel, sample_prune, sampled_kmeans
 from prunecluster.catalog.queries import fixed_box, lattice
 from prunecluster.operators import cost, rounds
