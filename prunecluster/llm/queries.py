@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prunecluster.llm import chat, embed_dedup, exact_dedup, langid, line_dedup, packing, pieces, simhash, token_file, warc
+from prunecluster.llm import chat, embed_dedup, exact_dedup, filter_audit, langid, line_dedup, packing, pieces, simhash, token_file, warc
 from prunecluster.llm.batches import public_tokenizer
 
 
@@ -52,10 +52,14 @@ def op10_warc(spark, folder):
     return warc.warc_round_trip(table(spark, folder, "pages")).drop("problem")
 
 
+def op12_filter_audit(spark, folder):
+    return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("filter")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_best_fit_packing, op3_simhash_dedup, op4_line_dedup, op5_chat_format,
     op6_sentencepiece, op7_exact_dedup, op8_language_id, op9_token_file,
-    op10_warc,
+    op10_warc, op12_filter_audit,
 )}
 
 ORACLES = {
@@ -106,4 +110,42 @@ ORACLES = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> model THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> model THEN model END AS refers_to
         FROM m""",
+    "op12_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+            FROM documents),
+        y AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+        m AS (
+            SELECT part, good, bad,
+                   [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+                    regexp_matches(t, '[#$%&*|]'), coalesce(least < d.doc_id, false)] AS f
+            FROM d LEFT JOIN y ON y.doc_id = d.doc_id),
+        c AS (
+            SELECT part, f, count(*) AS n, count_if(coalesce(good, false)) AS good, count_if(coalesce(bad, false)) AS bad,
+                   len(list_filter(f, lambda v: v)) AS fails
+            FROM m GROUP BY part, f),
+        i AS (SELECT unnest(range(1, 6)) AS i),
+        o AS (
+            SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e
+            WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        s AS (
+            SELECT part, o, i.i AS step, n, good, bad, fails, f[o[i.i]] AS here,
+                   len(list_filter(o[1:i.i - 1], lambda k: f[k])) > 0 AS before
+            FROM c, o, i),
+        r AS (
+            SELECT part, o, step,
+                   sum(CASE WHEN here OR before THEN 0 ELSE n END)::BIGINT AS kept,
+                   sum(CASE WHEN here AND NOT before THEN n ELSE 0 END)::BIGINT AS removed,
+                   sum(CASE WHEN here AND before THEN n ELSE 0 END)::BIGINT AS redundant,
+                   sum(CASE WHEN here AND fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                   sum(CASE WHEN here AND NOT before THEN good ELSE 0 END)::BIGINT AS good_lost,
+                   sum(CASE WHEN here AND NOT before THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+            FROM s GROUP BY part, o, step)
+        SELECT part, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, step::INTEGER AS step,
+               kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               sum(removed) OVER (PARTITION BY part, o[step])::BIGINT AS shapley
+        FROM r""",
 }
