@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prunecluster.llm import chat, embed_dedup, exact_dedup, filter_audit, langid, line_dedup, packing, pieces, simhash, token_file, warc
+from prunecluster.llm import chat, embed_dedup, exact_dedup, filter_audit, langid, licenses, line_dedup, packing, pieces, simhash, token_file, warc
 from prunecluster.llm.batches import public_tokenizer
 
 
@@ -56,10 +56,14 @@ def op12_filter_audit(spark, folder):
     return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("filter")
 
 
+def op13_license_scan(spark, folder):
+    return licenses.digest(licenses.scan_licenses(table(spark, folder, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_best_fit_packing, op3_simhash_dedup, op4_line_dedup, op5_chat_format,
     op6_sentencepiece, op7_exact_dedup, op8_language_id, op9_token_file,
-    op10_warc, op12_filter_audit,
+    op10_warc, op12_filter_audit, op13_license_scan,
 )}
 
 ORACLES = {
@@ -148,4 +152,5 @@ ORACLES = {
                kept, removed, redundant, unique_fails, good_lost, toxic_lost,
                sum(removed) OVER (PARTITION BY part, o[step])::BIGINT AS shapley
         FROM r""",
+    "op13_license_scan": licenses.digest_sql(),
 }

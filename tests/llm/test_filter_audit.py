@@ -35,8 +35,8 @@ def failures(rows):
 
 
 def audited(rows, labels):
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     table = {}
     fails = failures(rows)
     for part in {lang or "" for *_, lang in rows}:
