@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prunecluster.llm import chat, embed_dedup, exact_dedup, filter_audit, langid, licenses, line_dedup, packing, pieces, simhash, token_file, warc
+from prunecluster.llm import chat, embed_dedup, exact_dedup, filter_audit, langid, licenses, line_dedup, packing, pieces, simhash, token_file, warc, whitening
 from prunecluster.llm.batches import public_tokenizer
 
 
@@ -52,6 +52,10 @@ def op10_warc(spark, folder):
     return warc.warc_round_trip(table(spark, folder, "pages")).drop("problem")
 
 
+def op11_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def op12_filter_audit(spark, folder):
     return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("filter")
 
@@ -63,7 +67,7 @@ def op13_license_scan(spark, folder):
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_best_fit_packing, op3_simhash_dedup, op4_line_dedup, op5_chat_format,
     op6_sentencepiece, op7_exact_dedup, op8_language_id, op9_token_file,
-    op10_warc, op12_filter_audit, op13_license_scan,
+    op10_warc, op11_whitening, op12_filter_audit, op13_license_scan,
 )}
 
 ORACLES = {
