@@ -332,6 +332,9 @@ ORACLES = {
     "csv_points": "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_partkey IS NOT NULL AND p_size IS NOT NULL AND p_retailprice IS NOT NULL",
     "preset_points": f"""SELECT o_custkey, o_totalprice, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::INTEGER AS o_orderdate, {dummies('o_orderstatus', STATUSES)}, {dummies('o_orderpriority', PRIORITIES)}
 FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL""",
+    "csv_skip_line": "SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_acctbal FROM customer",
+    "csv_first_rows": """SELECT c_custkey, c_name, c_mktsegment FROM customer
+ORDER BY c_custkey LIMIT (SELECT count(*) // 2 FROM customer)""",
     "csv_limit": f"""WITH c AS (SELECT * FROM customer ORDER BY c_custkey LIMIT (SELECT count(*) // 2 FROM customer)),
 kept AS (SELECT * FROM c WHERE c_nationkey IS NOT NULL AND c_acctbal IS NOT NULL),
 r AS (SELECT min(c_nationkey)::DOUBLE AS n0, max(c_nationkey)::DOUBLE AS n1, min(c_acctbal) AS a0, max(c_acctbal) AS a1 FROM kept)

@@ -93,7 +93,7 @@ def csv_points(spark, folder):
 
 
 def csv_limit(spark, folder):
-    """The first half of the rows of a file with a line to skip, in order, one-hot and scaled."""
+    """The first half of the rows by key, one-hot and scaled."""
     path = f"{RunTables(spark).root}/csv"
     customers = table(spark, folder, "customer")
     customers.select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal").write.option("header", True).csv(path)
@@ -106,6 +106,37 @@ def csv_limit(spark, folder):
     return scaled.select(*[F.round(c, 9).alias(c) if c in ("c_nationkey", "c_acctbal") else c for c in scaled.columns])
 
 
+def _customer_files(spark, folder, head: list[str]) -> str:
+    """Customers as three CSV files in the order of their keys, each with ``head`` before its header."""
+    path = f"{RunTables(spark).root}/csv"
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    last = customers.agg(F.max("c_custkey")).first()[0]
+    number = F.lpad(F.floor(3 * F.col("c_custkey") / F.lit(last + 1)).cast("string"), 2, "0")
+    rows = customers.select(number.alias("number"), F.col("c_custkey").alias("place"), F.to_csv(F.struct("*")).alias("value"))
+    above = [*head, ",".join(customers.columns)]
+    first = F.explode(F.array(*[F.struct(F.lit(i - len(above)).alias("place"), F.lit(v).alias("value")) for i, v in enumerate(above)]))
+    heads = rows.select("number").distinct().select("number", first.alias("h")).select("number", "h.place", "h.value")
+    lines = rows.unionByName(heads).repartition("number").sortWithinPartitions("number", "place")
+    lines.select("number", "value").write.partitionBy("number").text(path)
+    return path
+
+
+def csv_skip_line(spark, folder):
+    """Files whose second line is the header; names and types are found in them, the numeric columns kept."""
+    path = _customer_files(spark, folder, ["customers, as of today; \"all\" of them"])
+    read = sources.read_csv_points(spark, path, skip_lines=1)
+    return read.select(*[F.col(c).cast("bigint").alias(c) if c != "c_acctbal" else c for c in read.columns])
+
+
+def csv_first_rows(spark, folder):
+    """The first half of the rows as they stand in the files, by the name of the dataset."""
+    count = table(spark, folder, "customer").count() // 2
+    datasets = sources.Datasets(spark)
+    path = _customer_files(spark, folder, ["", "one", "two"])
+    read = datasets.get(path, skip_lines=2, limit=count, preparation=sources.Preparation(numeric_only=False, drop_nulls=False))
+    return read.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "c_mktsegment")
+
+
 def libsvm_points(spark, folder):
     """Parts written as libsvm and read back."""
     path = f"{RunTables(spark).root}/libsvm"
@@ -805,6 +836,8 @@ def compare_estimators(spark, folder):
 QUERIES = {
     "csv_points": csv_points,
     "csv_limit": csv_limit,
+    "csv_skip_line": csv_skip_line,
+    "csv_first_rows": csv_first_rows,
     "libsvm_points": libsvm_points,
     "preset_points": preset_points,
     "gaussian_sizes": gaussian_sizes,

@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import prep
 from .gaussians import gaussian_points, mixture_k
+from .lines import read_csv_lines
 
 
 @dataclass(frozen=True)
@@ -60,22 +62,30 @@ def read_csv_points(
     header: bool = True,
     schema: StructType | str | None = None,
     skip_malformed: bool = False,
+    skip_lines: int = 0,
     limit: int | None = None,
     order: list[str] | None = None,
     preparation: Preparation = Preparation(),
 ) -> DataFrame:
     """A prepared table from CSV files.
 
-    Give ``schema`` for large files: inference reads them once more. ``limit`` keeps the first
-    rows in the order of ``order``, as files have no order that could be relied upon.
+    Give ``schema`` for large files: inference reads them once more. ``skip_lines`` leaves out so many lines at the
+    head of each file, before its header. ``limit`` keeps the first rows in the order of ``order``, without it
+    those that stand first in the files. Both go by the position of lines (``lines.read_csv_lines``).
     """
+    if skip_lines or (limit is not None and not order):
+        by_position = None if order else limit
+        df = read_csv_lines(
+            spark, path, skip_lines=skip_lines, header=header, limit=by_position, schema=schema, skip_malformed=skip_malformed
+        )
+        if order and limit is not None:
+            df = prep.first_rows(df, limit, order)
+        return preparation.apply(df)
     reader = spark.read.option("header", header)
     reader = reader.option("mode", "DROPMALFORMED" if skip_malformed else "PERMISSIVE")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
     if limit is not None:
-        if not order:
-            raise ValueError("a row limit needs the columns to order by")
         df = prep.first_rows(df, limit, order)
     return preparation.apply(df)
 
@@ -112,3 +122,28 @@ def load_dataset(spark: SparkSession, name: str, path: str | None = None, **opti
     if name.startswith("gaussian_"):
         return gaussian_points(spark, mixture_k(name), **options)
     return read_csv_points(spark, name, **options)
+
+
+class Datasets:
+    """Prepared tables by name, kept from setting to setting.
+
+    A table asked for again with the same options is the one that was loaded first, persisted in executors' memory and
+    on their disks; a lost part is read again. As a context it lets go of all of them at the end.
+    """
+
+    def __init__(self, spark: SparkSession, load=load_dataset):
+        self.spark, self.load, self.kept = spark, load, {}
+
+    def get(self, name: str, path: str | None = None, **options) -> DataFrame:
+        key = (name, path, repr(sorted(options.items(), key=lambda item: item[0])))
+        if key not in self.kept:
+            given = options if path is None else {"path": path, **options}
+            self.kept[key] = self.load(self.spark, name, **given).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.kept[key]
+
+    def __enter__(self) -> "Datasets":
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self.kept:
+            self.kept.popitem()[1].unpersist()

@@ -28,8 +28,8 @@ def test_csv_without_header_and_with_a_limit(spark, tmp_path):
     path = write(tmp_path / "b.csv", [f"{i},{i * 2}" for i in range(10)])
     df = points.read_csv_points(spark, path, header=False, schema="a int, b int", limit=4, order=["a"])
     assert [r.a for r in df.collect()] == [0, 1, 2, 3]
-    with pytest.raises(ValueError, match="order"):
-        points.read_csv_points(spark, path, header=False, limit=4)
+    assert sorted(r._c0 for r in points.read_csv_points(spark, path, header=False, limit=4).collect()) == [0, 1, 2, 3]
+    assert [r.a for r in points.read_csv_points(spark, path, schema="a int, b int", skip_lines=3, limit=4, order=["a"]).collect()] == [4, 5, 6, 7]
 
 
 def test_malformed_rows_can_be_skipped(spark, tmp_path):
