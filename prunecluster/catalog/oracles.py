@@ -77,14 +77,25 @@ SETTING = f"""setting AS (
   SELECT n, {SUBSET} AS subset, {KPLUS} AS kplus FROM size)"""
 
 
-def one_round(no: int, survivors: str, psi_before: str) -> list[str]:
+def exactly(salt: str, points: str, alpha: str) -> str:
+    """The round(alpha * n) rows of ``points`` lowest by hash."""
+    return f"""SELECT * EXCLUDE (hash_rank) FROM (
+  SELECT *, row_number() OVER (ORDER BY {u(salt)}, point_id) AS hash_rank FROM {points})
+  WHERE hash_rank <= round_even({alpha} * (SELECT count(*) FROM {points}), 0)"""
+
+
+def one_round(no: int, survivors: str, psi_before: str, exact: bool = False) -> list[str]:
     """Samples, centres, threshold and survivors of round ``no``."""
     end = "" if no == 1 else f"r{no}"
     alpha = f"(SELECT alpha FROM rate{no})"
+
+    def sample(salt):
+        return exactly(salt + end, survivors, alpha) if exact else f"SELECT * FROM {survivors} WHERE {u(salt + end)} < {alpha}"
+
     return [
         f"rate{no} AS (SELECT (SELECT subset FROM setting)::DOUBLE / count(*) AS alpha, count(*) AS remaining FROM {survivors})",
-        f"p1_{no} AS (SELECT * FROM {survivors} WHERE {u('p1' + end)} < {alpha})",
-        f"p2_{no} AS (SELECT * FROM {survivors} WHERE {u('p2' + end)} < {alpha})",
+        f"p1_{no} AS ({sample('p1')})",
+        f"p2_{no} AS ({sample('p2')})",
         lowest(f"c_{no}", f"p1_{no}", "c", "(SELECT kplus FROM setting)"),
         scored(f"p2scored_{no}", f"p2_{no}", f"c_{no}"),
         f"plan{no} AS (SELECT alpha, {phi('alpha', '5', E, D)} AS phi FROM rate{no})",
@@ -397,6 +408,16 @@ WHERE p1 = 1 OR p2 = 1""",
         select=f"""SELECT point_id, ({u('p1')} < alpha)::INTEGER AS p1, ({u('p1')} >= alpha)::INTEGER AS p2
 FROM pts, (SELECT least(alpha, 0.5) AS alpha FROM rate) WHERE {u('p1')} < 2 * alpha""",
     ),
+    "exact_sample": query(
+        POINTS, COUNTED, PAIR_RATE, f"a AS ({exactly('p1', 'pts', '(SELECT alpha FROM rate)')})",
+        f"b AS ({exactly('p2', 'pts', '(SELECT alpha FROM rate)')})",
+        select="""SELECT coalesce(a.point_id, b.point_id) AS point_id, (a.point_id IS NOT NULL)::INTEGER AS p1, (b.point_id IS NOT NULL)::INTEGER AS p2
+FROM a FULL JOIN b ON a.point_id = b.point_id""",
+    ),
+    "exact_rounds": query(
+        POINTS, COUNTED, SETTING, *one_round(1, "pts", "0", True), *one_round(2, "left_1", "(SELECT psi FROM psi1)", True),
+        select=f"{round_row(1)}\nUNION ALL\n{round_row(2)}",
+    ),
     "ene_sample": query(
         *PRUNE[:3],
         select=f"""SELECT * FROM (SELECT point_id, ({u('s')} < s)::INTEGER AS s, ({u('h')} < h)::INTEGER AS h FROM pts, rates)
@@ -461,6 +482,11 @@ FROM scored, (VALUES ('sampled'), ('plain')) e(estimator) GROUP BY estimator""",
         *SCORED,
         select="""SELECT CAST(coalesce(sum(d2), 0) AS BIGINT) AS truncated_risk
 FROM (SELECT d2, row_number() OVER (ORDER BY d2 DESC) AS place FROM scored) WHERE place > 409""",
+    ),
+    "truncated_risk_half": query(
+        *SCORED, f"half AS (SELECT {N} // 2 AS r)",
+        select="""SELECT (SELECT r FROM half) AS r, CAST(sum(d2) AS BIGINT) AS truncated_risk, CAST(sum(d2 * w) AS BIGINT) AS weighted
+FROM (SELECT d2, w, row_number() OVER (ORDER BY d2 DESC, w DESC) AS place FROM scored) WHERE place > (SELECT r FROM half)""",
     ),
     "truncated_risk_trivial": query(
         *SCORED, COUNTED,

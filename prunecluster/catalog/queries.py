@@ -307,6 +307,20 @@ def paired_sample_disjoint(spark, folder):
     return _paired(spark, folder, True)
 
 
+def exact_sample(spark, folder):
+    """Both samples of the first round with exactly round(alpha n) rows each."""
+    points = lattice(spark, folder)
+    n = points.count()
+    alpha = formulas.sampling_rate(formulas.max_subset(n, K, EPSILON, DELTA), n)
+    drawn = sampling.exact_samples(points, {"p1": alpha, "p2": alpha}, SEED, method="md5")
+    return drawn.select("point_id", F.col("p1").cast("int").alias("p1"), F.col("p2").cast("int").alias("p2"))
+
+
+def exact_rounds(spark, folder):
+    """Two rounds of a run whose samples have exact sizes."""
+    return _rounds(spark, folder, 2, exact_sizes=True)
+
+
 def ene_sample(spark, folder):
     points = lattice(spark, folder)
     n = points.count()
@@ -446,6 +460,14 @@ def truncated_risk(spark, folder):
     return one_row(spark, "truncated_risk bigint", round(cost.truncated_risk(_scored(spark, folder), 409)))
 
 
+def truncated_risk_half(spark, folder):
+    """Half of all rows left out, with weights and without."""
+    scored = nearest.with_nearest(lattice(spark, folder, weight="l_quantity"), lowest_by_hash(lattice(spark, folder), K))
+    half = scored.count() // 2
+    plain, weighted = (cost.truncated_risk(df, half) for df in (scored.drop("w"), scored))
+    return one_row(spark, "r bigint, truncated_risk bigint, weighted bigint", half, round(plain), round(weighted))
+
+
 def truncated_risk_trivial(spark, folder):
     scored = _scored(spark, folder)
     n = scored.count()
@@ -621,8 +643,8 @@ def estimate_step(spark, folder):
     )
 
 
-def _rounds(spark, folder, max_iter):
-    run = fixed_run(spark, folder, max_iter=max_iter, final_risk=False)
+def _rounds(spark, folder, max_iter, **options):
+    run = fixed_run(spark, folder, max_iter=max_iter, final_risk=False, **options)
     return run.rounds_df(spark).select(
         "round", "remaining", "p1_rows", "p2_rows", "center_count", "r", F.round("v", 6).alias("v"), "handled",
         "survivors", whole(F.col("truncated_risk"), "truncated_risk"), whole(F.col("handled_risk"), "handled_risk"),
@@ -860,6 +882,8 @@ QUERIES = {
     "paired_sample": paired_sample,
     "paired_sample_disjoint": paired_sample_disjoint,
     "ene_sample": ene_sample,
+    "exact_sample": exact_sample,
+    "exact_rounds": exact_rounds,
     "first_center": first_center,
     "weighted_sample": weighted_sample,
     "squared_distance": squared_distances,
@@ -875,6 +899,7 @@ QUERIES = {
     "parameter_errors": parameter_errors,
     "risk": risk,
     "truncated_risk": truncated_risk,
+    "truncated_risk_half": truncated_risk_half,
     "truncated_risk_trivial": truncated_risk_trivial,
     "center_weights": center_weights,
     "weights_in_blocks": weights_in_blocks,

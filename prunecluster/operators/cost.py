@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.centers import CENTER_BYTES, Centers
 from ..storage import RunTables
 from .nearest import with_nearest
+from .selection import select
 
 
 def weight_of(points: DataFrame) -> Column:
@@ -41,35 +42,36 @@ def costs(
 def truncated_risk(scored: DataFrame, r: int, d2: str = "d2") -> float:
     """Sum of all but the r largest distances; 0 if there are no more than r rows.
 
-    The rows are counted first, so a table that r leaves nothing of is never sorted.
-    The r-th largest distance t comes from a top-r query, so nothing is sorted as a whole and
-    no row is joined back. What lies below t is summed directly (never as total minus top).
-    Of the rows at t itself, the heaviest are the ones left out.
+    The r-th largest distance comes from counting ranges (``select``), for any r. What lies below it is summed by
+    the same aggregates, never as total minus top. Of the rows at that distance itself, the heaviest are the
+    ones left out; weights that differ there are selected in the same way.
     """
     weight = weight_of(scored)
     if r <= 0:
         return scored.agg(F.sum(F.col(d2) * weight)).first()[0] or 0.0
-    if scored.count() <= r:
+    rows = scored.select(F.col(d2).cast("double").alias("d"), weight.cast("double").alias("weight"))
+    cut = select(rows, "d", r, {"cost": F.col("d") * F.col("weight"), "weight": F.col("weight")})
+    if cut is None:
         return 0.0
-    left_out = scored.select(F.col(d2).alias("d"), weight.alias("weight")).orderBy(F.desc("d"), F.desc("weight")).limit(r)
-    edge = left_out.groupBy("d").agg(F.sum("weight").alias("at_edge"))
-    # min_by over the few distinct distances of the top r rows
-    top = edge.agg(F.min("d").alias("t"), F.min_by("at_edge", "d").alias("at_edge")).first()
-    at = F.col(d2)
-    rest = scored.agg(
-        F.sum(F.when(at < top.t, at * weight)).alias("below"),
-        F.sum(F.when(at == top.t, weight)).alias("at_edge"),
-    ).first()
-    return (rest.below or 0.0) + top.t * (rest.at_edge - top.at_edge)
+    left_out = r - cut.above
+    kept = cut.equal - left_out
+    if kept == 0 or cut.value == 0:
+        return cut.sums_below["cost"]
+    if "w" not in scored.columns:
+        return cut.sums_below["cost"] + cut.value * kept
+    edge = rows.where(F.col("d") == F.lit(cut.value))
+    # the weights that stay are those below the heaviest ones
+    weights = select(edge, "weight", left_out, {"weight": F.col("weight")})
+    at_edge = weights.sums_below["weight"] + weights.value * (weights.above + weights.equal - left_out)
+    return cut.sums_below["cost"] + cut.value * at_edge
 
 
 def tail_distance(scored: DataFrame, rank: int, d2: str = "d2") -> tuple[float | None, bool]:
     """The rank-th largest distance and True; the smallest one and False if there are fewer rows."""
-    row = (
-        scored.select(F.col(d2).alias("d")).orderBy(F.desc("d")).limit(max(1, rank))
-        .agg(F.min("d").alias("d"), F.count("*").alias("n")).first()
-    )
-    return row.d, row.n >= rank
+    cut = select(scored, d2, max(1, rank))
+    if cut is not None:
+        return cut.value, True
+    return scored.agg(F.min(F.col(d2))).first()[0], False
 
 
 def weight_table(

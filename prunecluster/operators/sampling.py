@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import POINT_ID, uniform
+from .selection import exact_cut
 
 
 def round_salt(name: str, round_no: int) -> str:
@@ -53,6 +54,33 @@ def paired_sample(
     return drawn.select("*", first.alias("p1"), (~first).alias("p2")).drop("u")
 
 
+def exact_samples(
+    points: DataFrame,
+    rates: dict[str, float],
+    seed: int,
+    round_no: int = 1,
+    method: str = "xxhash64",
+) -> DataFrame:
+    """Independent draws of exactly round(rate * n) rows each, flagged by columns; halves round to even.
+
+    The cut below which so many draws lie is found by counting ranges of the draws, ties by key, over keys alone.
+    Needs a unique ``point_id``, as its draws must be the same in every pass.
+    """
+    if POINT_ID not in points.columns:
+        raise ValueError("a sample of exact size needs a unique point_id column")
+    n = points.count()
+    keys = points.select(POINT_ID)
+    flags = []
+    for name, rate in rates.items():
+        draw = uniform(points, seed, round_salt(name, round_no), method)
+        below = exact_cut(keys.withColumn("draw", draw), "draw", round(n * min(1.0, float(rate))), n)
+        flags.append((name, draw, below))
+    drawn = points
+    for name, draw, below in flags:
+        drawn = drawn.withColumn("draw", draw).withColumn(name, below).drop("draw")
+    return drawn.where(" OR ".join(f"`{name}`" for name in rates))
+
+
 def lowest(points: DataFrame, order: Column, count: int) -> DataFrame:
     """The ``count`` rows lowest by ``order``, ties by key; each task keeps at most ``count`` rows."""
     tie = [F.col(POINT_ID)] if POINT_ID in points.columns else []

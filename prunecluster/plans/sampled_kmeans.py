@@ -20,7 +20,7 @@ from ..functions.distance import check_measure
 from ..operators.cost import center_weights, risk, row_layout
 from ..operators.nearest import with_nearest
 from ..operators.rounds import estimate, prune
-from ..operators.sampling import paired_sample
+from ..operators.sampling import exact_samples, paired_sample
 from ..storage import RunTables
 from .blackbox import BlackBox, named_blackbox, reduce_centers, spark_kmeans
 from .result import ClusteringResult, Stopwatch
@@ -55,18 +55,22 @@ def sampled_kmeans(
     seed: int = 1,
     uniform: str = "xxhash64",
     disjoint: bool = False,
+    exact_sizes: bool = False,
     measure: str = "euclidean",
     final_risk: bool = True,
 ) -> ClusteringResult:
     """Clusters ``points`` (x ARRAY<DOUBLE>, optional point_id and weight w) into k centres.
 
-    With a unique point_id the draws do not depend on how the table is partitioned. ``m`` spreads
+    With a unique point_id the draws do not depend on how the table is partitioned. ``exact_sizes`` draws
+    round(alpha * survivors) rows each instead of a share alpha by chance; this costs passes over the ids. ``m`` spreads
     the points over that many partitions first; leave it out for files that are already split.
     ``max_iter`` bounds the rounds, and a round that prunes nothing ends them: whatever is left is
     clustered by the distributed black box, so no row is lost.
     """
     check_parameters(k, epsilon, delta, max_iter, m)
     check_measure(measure)
+    if exact_sizes and disjoint:
+        raise ValueError("samples of exact size are independent draws, not halves of one")
     spark = points.sparkSession
     watch = Stopwatch()
     distributed = spark_kmeans(measure=measure)
@@ -94,7 +98,10 @@ def sampled_kmeans(
             while remaining > capacity and len(rounds) < max_iter:
                 round_no = len(rounds) + 1
                 alpha = formulas.sampling_rate(capacity, remaining)
-                drawn = paired_sample(survivors, alpha, seed, round_no, uniform, disjoint)
+                if exact_sizes:
+                    drawn = exact_samples(survivors, {"p1": alpha, "p2": alpha}, seed, round_no, uniform)
+                else:
+                    drawn = paired_sample(survivors, alpha, seed, round_no, uniform, disjoint)
                 tasks = max(1, math.ceil(2 * capacity / SAMPLE_ROWS_PER_TASK))
                 seen = Observation()
                 # counted behind the exchange, in the writing stage, where a lost task counts once
