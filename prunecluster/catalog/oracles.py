@@ -515,9 +515,14 @@ FROM (SELECT d2, w, row_number() OVER (ORDER BY d2 DESC, w DESC) AS place FROM s
     ),
     "comparison_counts": query(
         *RUN,
+        *[f"""most{i} AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM {t}
+  GROUP BY floor((('0x' || substr(md5('0:machine:' || point_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE * 50)))"""
+          for i, t in ((1, "pts"), (2, "left_1"))],
         select=f"""SELECT 'sampled_kmeans' AS algorithm, CAST((SELECT remaining FROM rate1) * (SELECT count(*) FROM c_1)
-    + (SELECT remaining FROM rate2) * (SELECT count(*) FROM c_2) AS BIGINT) AS total_comps
-UNION ALL SELECT 'kmeans_parallel', CAST(4 * ({N} // 4 + {N} * 11 // 4 + {N} * 21 // 4) AS BIGINT)""",
+    + (SELECT remaining FROM rate2) * (SELECT count(*) FROM c_2) AS BIGINT) AS total_comps,
+  CAST((SELECT n FROM most1) * (SELECT count(*) FROM c_1) + (SELECT n FROM most2) * (SELECT count(*) FROM c_2) AS BIGINT) AS comps_per_machine
+UNION ALL SELECT 'kmeans_parallel', CAST(4 * ({N} // 4 + {N} * 11 // 4 + {N} * 21 // 4) AS BIGINT),
+  CAST({N} // 4 + {N} * 11 // 4 + {N} * 21 // 4 AS BIGINT)""",
     ),
     "union_centers": query(
         *BASE, lowest("more", "pts", "c2", K),
@@ -570,6 +575,18 @@ UNION ALL SELECT 2::INTEGER, point_id FROM draw_2""",
         scored("ended", "pts", "everyone"),
         select=f"{prune_row(1)}\nUNION ALL\n{prune_row(2)}",
     ),
+    "kmeans_parallel_carried": query(
+        POINTS, FIRST, *draw(1, "first"),
+        "after_1 AS (SELECT x0, x1, x2, x3 FROM first UNION ALL SELECT x0, x1, x2, x3 FROM draw_1)", *draw(2, "after_1"),
+        "after_2 AS (SELECT * FROM after_1 UNION ALL SELECT x0, x1, x2, x3 FROM draw_2)", *draw(3, "after_2"),
+        """candidates AS (SELECT 0 AS center_id, x0, x1, x2, x3 FROM first
+  UNION ALL SELECT place, x0, x1, x2, x3 FROM draw_1
+  UNION ALL SELECT place + (SELECT count(*) FROM draw_1), x0, x1, x2, x3 FROM draw_2
+  UNION ALL SELECT place + (SELECT count(*) FROM draw_1) + (SELECT count(*) FROM draw_2), x0, x1, x2, x3 FROM draw_3)""",
+        *CANDIDATES[1:],
+        select=f"""SELECT center_id::INTEGER AS center_id, weight, {columns()},
+  (SELECT CAST(sum(d2) AS BIGINT) FROM served) AS risk, CAST(4 * ({N} // 4 + 2 * ({N} * 10 // 4)) AS BIGINT) AS total_comps FROM weighted""",
+    ),
     "kmeans_parallel_weights": query(
         POINTS, FIRST, *draw(1, "first"),
         "after AS (SELECT x0, x1, x2, x3 FROM first UNION ALL SELECT x0, x1, x2, x3 FROM draw_1)", *draw(2, "after"),

@@ -560,12 +560,13 @@ def cluster_summary(spark, folder):
 
 
 def comparison_counts(spark, folder):
+    """In all, and of the machine with the most rows in each round; points are dealt to 50 machines by hash."""
     run = fixed_run(spark, folder, final_risk=False)
     steps = kmeans_parallel(
         lattice(spark, folder), K, iterations=3, m=4, reducer=fixed_box, seed=SEED, uniform="md5", final_risk=False
     )
-    rows = [(r.algorithm, int(r.total_comps)) for r in (run, steps)]
-    return spark.createDataFrame(rows, "algorithm string, total_comps bigint")
+    rows = [(r.algorithm, int(r.total_comps), int(r.comps_per_machine)) for r in (run, steps)]
+    return spark.createDataFrame(rows, "algorithm string, total_comps bigint, comps_per_machine bigint")
 
 
 def union_centers(spark, folder):
@@ -763,6 +764,17 @@ def kmeans_parallel_weights(spark, folder):
     return run.candidates.to_df(spark).select("center_id", whole(F.col("weight"), "weight"), *coordinates("c", "c"))
 
 
+def kmeans_parallel_carried(spark, folder):
+    """Three steps that measure the newest candidates only: all candidates, their weights, and comparisons."""
+    run = kmeans_parallel(
+        lattice(spark, folder), K, iterations=3, m=4, seed=SEED, uniform="md5", reducer=fixed_box, final_risk=False, carry=True
+    )
+    return run.candidates.to_df(spark).select(
+        "center_id", whole(F.col("weight"), "weight"), *coordinates("c", "c"), F.lit(round(run.risk)).cast("bigint").alias("risk"),
+        F.lit(int(run.total_comps)).cast("bigint").alias("total_comps"),
+    )
+
+
 def kmeans_parallel_run(spark, folder):
     points = separated(spark, folder)
     runs = [kmeans_parallel(points, K, seed=s) for s in SEEDS]
@@ -928,6 +940,7 @@ QUERIES = {
     "plain_kmeans": plain_kmeans,
     "kmeans_parallel_step": kmeans_parallel_step,
     "kmeans_parallel_weights": kmeans_parallel_weights,
+    "kmeans_parallel_carried": kmeans_parallel_carried,
     "kmeans_parallel": kmeans_parallel_run,
     "ene_round": ene_round,
     "ene_two_rounds": ene_two_rounds,

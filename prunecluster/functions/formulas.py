@@ -25,6 +25,7 @@ INNER_ITERATIONS = 5
 SAMPLE_C = 9
 PIVOT_C = 4
 TAIL_C = 8
+MACHINES = 50
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.centers import CENTER_BYTES, Centers
+from ..functions.hashing import POINT_ID, uniform
 from ..storage import RunTables
 from .nearest import with_nearest
 from .selection import select
@@ -112,8 +113,13 @@ def center_weights(
     return centers.with_weights(weights), float(sum(r.cost for r in rows))
 
 
-def row_layout(points: DataFrame) -> tuple[int, int]:
-    """(rows, rows of the largest partition) in one scan without columns."""
-    sizes = points.groupBy(F.spark_partition_id().alias("part")).count()
-    row = sizes.agg(F.sum("count").alias("n"), F.max("count").alias("largest")).first()
-    return row.n or 0, row.largest or 0
+def machine_of(points: DataFrame, machines: int, method: str = "xxhash64") -> Column:
+    """The machine that a point is dealt to: by a hash of its key, without key by the partition that it lies in."""
+    if POINT_ID not in points.columns:
+        return F.spark_partition_id() % machines
+    return F.floor(uniform(points, 0, "machine", method) * machines).cast("int")
+
+
+def machine_rows(points: DataFrame, machines: int, method: str = "xxhash64") -> list[int]:
+    """Rows of each machine that has any, in one scan of the keys."""
+    return [r["count"] for r in points.groupBy(machine_of(points, machines, method).alias("machine")).count().collect()]

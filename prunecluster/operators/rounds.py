@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas
 from ..functions.centers import Centers
 from ..storage import RunTables
-from .cost import truncated_risk, weight_of
+from .cost import machine_of, truncated_risk, weight_of
 from .nearest import with_nearest
 
 
@@ -59,6 +59,8 @@ class Pruned:
     remaining: int
     handled: int
     handled_risk: float
+    #: Survivors of the machine that has most of them.
+    largest: int
 
 
 def beyond(scored: DataFrame, v: float, d2: str = "d2") -> DataFrame:
@@ -66,18 +68,22 @@ def beyond(scored: DataFrame, v: float, d2: str = "d2") -> DataFrame:
     return scored.where(F.col(d2) > F.lit(v))
 
 
-def prune(scored: DataFrame, v: float, tables: RunTables, name: str, keep: list[str]) -> Pruned:
-    """Writes the rows beyond v; counts and cost of the others are taken in the same pass."""
+def prune(
+    scored: DataFrame, v: float, tables: RunTables, name: str, keep: list[str], machines: int = 1, method: str = "xxhash64"
+) -> Pruned:
+    """Writes the rows beyond v; counts, also of each machine, and the cost of the others are taken in the same pass."""
     seen = Observation()
     beyond_v = F.col("d2") > F.lit(v)
-    watched = scored.observe(
+    watched = scored.withColumn("machine", machine_of(scored, machines, method)).observe(
         seen,
         F.count(F.lit(1)).alias("rows"),
         F.count(F.when(beyond_v, 1)).alias("remaining"),
         F.sum(F.when(~beyond_v, F.col("d2") * weight_of(scored))).alias("handled_risk"),
+        *[F.count_if(beyond_v & (F.col("machine") == i)).alias(f"machine {i}") for i in range(machines)],
     )
     survivors = tables.write(beyond(watched, v).select(*keep), name)
     counts = seen.get
     return Pruned(
-        survivors, counts["remaining"], counts["rows"] - counts["remaining"], counts["handled_risk"] or 0.0
+        survivors, counts["remaining"], counts["rows"] - counts["remaining"], counts["handled_risk"] or 0.0,
+        max(counts[f"machine {i}"] for i in range(machines)),
     )

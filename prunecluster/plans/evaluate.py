@@ -54,7 +54,7 @@ def run_algorithm(
     if algorithm == "kmeans_parallel":
         return kmeans_parallel(points, k, iterations=steps, m=m or 1, seed=seed, **options)
     if algorithm == "sample_prune":
-        return sample_prune(points, k, epsilon, seed=seed, **options)
+        return sample_prune(points, k, epsilon, seed=seed, machines=m or formulas.MACHINES, **options)
     raise ValueError(f"unknown algorithm {algorithm!r}")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas
 from ..functions.centers import CENTER_BYTES
-from ..operators.cost import risk, row_layout, tail_distance, weight_table
+from ..operators.cost import machine_rows, risk, tail_distance, weight_table
 from ..operators.nearest import closer_of, fetched, with_nearest
 from ..operators.rounds import prune
 from ..operators.sampling import two_samples
@@ -33,6 +33,7 @@ def sample_prune(
     final_risk: bool = True,
     center_bytes: int = CENTER_BYTES,
     keep_centers: bool = False,
+    machines: int = formulas.MACHINES,
 ) -> ClusteringResult:
     """Clusters ``points`` (point_id, x[, w]) into k centres.
 
@@ -40,6 +41,7 @@ def sample_prune(
     nothing, the survivors beyond the stop size are clustered by the black box and its k centres
     join the sample; the result says so (``capped``).
 
+    ``machines`` is how many the counter of one machine's comparisons assumes; points are dealt to them by hash.
     ``keep_centers`` returns the weighted sample as a table of its own in the shared folder.
     """
     if k < 1 or not 0 < epsilon < 1 or (max_iter is not None and max_iter < 0):
@@ -52,7 +54,8 @@ def sample_prune(
     points = points.select(*columns)
     with RunTables(spark) as tables:
         with watch.scanning():
-            n, largest = row_layout(points)
+            rows = machine_rows(points, machines, uniform)
+        n, largest = sum(rows), max(rows, default=0)
         if n == 0:
             raise ValueError("there are no points to cluster")
         stop_at = formulas.sample_prune_subset(k, n, epsilon)
@@ -78,7 +81,7 @@ def sample_prune(
             comps_per_machine += largest * sizes["s"]
             with watch.scanning():
                 scored = nearer_sample(survivors, sample, tables, center_bytes)
-                pruned = prune(scored, v, tables, f"survivors-{round_no}", [*columns, "d2"])
+                pruned = prune(scored, v, tables, f"survivors-{round_no}", [*columns, "d2"], machines, uniform)
             rounds.append(
                 dict(round=round_no, remaining=remaining, p1_rows=sizes["s"], p2_rows=sizes["h"],
                      center_count=in_sample, r=rank, v=v, handled=pruned.handled,
@@ -88,9 +91,7 @@ def sample_prune(
             )
             if round_no > 1:
                 tables.drop(f"survivors-{round_no - 1}")
-            survivors, remaining = pruned.survivors, pruned.remaining
-            if remaining > stop_at:
-                largest = row_layout(survivors)[1]
+            survivors, remaining, largest = pruned.survivors, pruned.remaining, pruned.largest
             if pruned.handled == 0:
                 break
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas
 from ..functions.centers import Centers
 from ..functions.distance import check_measure
-from ..operators.cost import center_weights, risk, row_layout
+from ..operators.cost import center_weights, machine_rows, risk
 from ..operators.nearest import with_nearest
 from ..operators.rounds import estimate, prune
 from ..operators.sampling import exact_samples, paired_sample
@@ -58,12 +59,15 @@ def sampled_kmeans(
     exact_sizes: bool = False,
     measure: str = "euclidean",
     final_risk: bool = True,
+    run_name: str | None = None,
 ) -> ClusteringResult:
     """Clusters ``points`` (x ARRAY<DOUBLE>, optional point_id and weight w) into k centres.
 
     With a unique point_id the draws do not depend on how the table is partitioned. ``exact_sizes`` draws
     round(alpha * survivors) rows each instead of a share alpha by chance; this costs passes over the ids. ``m`` spreads
-    the points over that many partitions first; leave it out for files that are already split.
+    the points over that many partitions first, and is the number of machines that the counters assume; leave it out
+    for files that are already split. With a ``run_name`` every round leaves a note in the shared folder, and a
+    run of that name that was stopped goes on behind its last whole round; its draws need a point_id for that.
     ``max_iter`` bounds the rounds, and a round that prunes nothing ends them: whatever is left is
     clustered by the distributed black box, so no row is lost.
     """
@@ -77,14 +81,23 @@ def sampled_kmeans(
     inner, few = named_blackbox(blackbox, k, distributed)
     columns = [c for c in ("point_id", "x", "w") if c in points.columns]
     points = points.select(*columns)
+    machines = m or formulas.MACHINES
+    setting = dict(k=k, epsilon=epsilon, delta=delta, seed=seed, uniform=uniform, machines=machines, columns=columns,
+                   disjoint=disjoint, exact_sizes=exact_sizes, measure=measure)
+    if run_name and "point_id" not in columns:
+        raise ValueError("a run that can be resumed needs a unique point_id column")
     spread = None
     if m is not None:
         points = spread = points.repartition(m).persist(StorageLevel.MEMORY_AND_DISK)
 
     try:
-        with RunTables(spark) as tables:
+        with RunTables(spark, run_name) as tables:
+            before = tables.last_note() if run_name else None
+            if before is not None and before["setting"] != setting:
+                raise ValueError(f"run {run_name!r} was started with {before['setting']}, not with {setting}")
             with watch.scanning():
-                n, largest = row_layout(points)
+                rows = before["machine_rows"] if before else machine_rows(points, machines, uniform)
+            n, largest = sum(rows), max(rows, default=0)
             if n == 0:
                 raise ValueError("there are no points to cluster")
             capacity = formulas.max_subset(n, k, epsilon, delta)
@@ -94,8 +107,13 @@ def sampled_kmeans(
 
             survivors, remaining, psi = points, n, 0.0
             candidates: Centers | None = None
-            rounds, comps, comps_per_machine = [], 0.0, 0.0
-            while remaining > capacity and len(rounds) < max_iter:
+            rounds, comps, comps_per_machine, stuck = [], 0.0, 0.0, False
+            if before is not None:
+                rounds, remaining, largest, psi = (before[key] for key in ("rounds", "remaining", "largest", "psi"))
+                comps, comps_per_machine, stuck = before["comps"], before["comps_per_machine"], before["stuck"]
+                candidates = Centers(np.array(before["candidates"]))
+                survivors = tables.read(f"survivors-{before['turn']}", points.schema)
+            while remaining > capacity and len(rounds) < max_iter and not stuck:
                 round_no = len(rounds) + 1
                 alpha = formulas.sampling_rate(capacity, remaining)
                 if exact_sizes:
@@ -122,7 +140,9 @@ def sampled_kmeans(
                 comps_per_machine += largest * len(centers)
                 name = f"survivors-{round_no}"
                 with watch.scanning():
-                    pruned = prune(with_nearest(survivors, centers, measure), step.v, tables, name, columns)
+                    pruned = prune(
+                        with_nearest(survivors, centers, measure), step.v, tables, name, columns, machines, uniform
+                    )
                 rounds.append(
                     dict(
                         round=round_no, remaining=remaining, alpha=alpha, p1_rows=p1_rows, p2_rows=p2_rows,
@@ -131,15 +151,17 @@ def sampled_kmeans(
                         survivors=pruned.remaining,
                     )
                 )
+                candidates = centers.appended(None) if candidates is None else candidates.appended(centers)
+                survivors, remaining, largest = pruned.survivors, pruned.remaining, pruned.largest
+                stuck = pruned.handled == 0
+                if run_name:
+                    tables.note(dict(
+                        turn=round_no, setting=setting, machine_rows=rows, rounds=rounds, remaining=remaining, largest=largest, psi=psi,
+                        comps=comps, comps_per_machine=comps_per_machine, stuck=stuck, candidates=candidates.matrix.tolist(),
+                    ))
                 tables.drop(f"sample-{round_no}")
                 if round_no > 1:
                     tables.drop(f"survivors-{round_no - 1}")
-                candidates = centers.appended(None) if candidates is None else candidates.appended(centers)
-                survivors, remaining = pruned.survivors, pruned.remaining
-                if remaining > capacity:
-                    largest = row_layout(survivors)[1]
-                if pruned.handled == 0:
-                    break
 
             capped = remaining > capacity
             if remaining > 0:

@@ -75,9 +75,13 @@ def test_instance_weights_count(make_points, lattice_matrix):
     assert weighted.weights.sum() == weights.sum()
 
 
-def test_row_layout(spark):
-    assert cost.row_layout(spark.range(100).repartition(4)) == (100, 25)
-    assert cost.row_layout(spark.range(0)) == (0, 0)
+def test_machines_by_hash_or_by_partition(spark, make_points, lattice_matrix):
+    points = make_points(lattice_matrix)
+    dealt = cost.machine_rows(points, 4)
+    assert sum(dealt) == len(lattice_matrix) and len(dealt) == 4 and max(dealt) < 140
+    assert sorted(dealt) == sorted(cost.machine_rows(points.repartition(7), 4))
+    assert sorted(cost.machine_rows(spark.range(100).repartition(4), 4)) == [25] * 4
+    assert cost.machine_rows(spark.range(0), 3) == []
 
 
 def test_hot_centre_is_summed_before_the_exchange(make_points, lattice_matrix):

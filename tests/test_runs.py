@@ -189,3 +189,68 @@ def test_prune_is_strict_and_counts_in_the_same_pass(spark, make_points, lattice
     assert left == {f"p{i:05d}" for i in np.flatnonzero(d2 > v)}
     assert found.handled_risk == d2[d2 <= v].sum()
     assert (found.remaining, found.handled) == ((d2 > v).sum(), (d2 <= v).sum())
+
+
+def test_a_stopped_run_goes_on_behind_its_last_round(spark, items, monkeypatch):
+    from prunecluster.plans import sampled_kmeans as module
+
+    whole = fixed(items)
+    assert whole.iterations >= 2
+    name, real, rounds_done = "stopped-and-resumed", module.prune, []
+
+    def stops(*given, **options):
+        if rounds_done:
+            raise RuntimeError("the driver is lost")
+        rounds_done.append(1)
+        return real(*given, **options)
+
+    monkeypatch.setattr(module, "prune", stops)
+    with pytest.raises(RuntimeError, match="lost"):
+        fixed(items, run_name=name)
+    monkeypatch.setattr(module, "prune", lambda *given, **options: rounds_done.append(1) or real(*given, **options))
+    with pytest.raises(ValueError, match="was started with"):
+        fixed(items, seed=8, run_name=name)
+    again = fixed(items, run_name=name)
+    assert len(rounds_done) == whole.iterations  # the first round is not done again
+    assert np.array_equal(again.centers.matrix, whole.centers.matrix) and again.rounds == whole.rounds
+    assert (again.risk, again.total_comps, again.comps_per_machine) == (whole.risk, whole.total_comps, whole.comps_per_machine)
+    assert RunTables(spark, name).last_note() is None  # nothing is left of a run that came to its end
+    with pytest.raises(ValueError, match="point_id"):
+        sampled_kmeans(items.drop("point_id"), 5, run_name="x")
+
+
+def test_carried_distances_change_nothing_but_the_work(spark, items):
+    plain, carried = (
+        kmeans_parallel(items, 5, draws=6, iterations=3, seed=3, uniform="md5", reducer=fixed_box, carry=c) for c in (False, True)
+    )
+    assert np.array_equal(plain.candidates.matrix, carried.candidates.matrix)
+    assert np.array_equal(plain.candidates.weights, carried.candidates.weights)
+    assert plain.risk == carried.risk and plain.risk_final == carried.risk_final
+    n = items.count()
+    assert plain.total_comps == n * (1 + 7 + 13) and carried.total_comps == n * (1 + 6 + 6)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("prunecluster_")]
+
+
+def test_a_carried_step_exchanges_no_points(spark, items):
+    from prunecluster.operators.carried import CarriedDistances
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with CarriedDistances(items, buckets=4) as carried:
+            carried.add(Centers(np.zeros((1, 4))))
+            step = carried.scored(Centers(np.ones((2, 4))))
+            plan = step._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+            assert carried.add(Centers(np.ones((2, 4)))).count() == items.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_carried_weights(make_points):
+    points = make_points([[0.0], [1.0], [1.0], [10.0]], [2, 1, 0, 4])
+    run = kmeans_parallel(points, 2, draws=4, iterations=2, seed=1, carry=True)
+    again = kmeans_parallel(points, 2, draws=4, iterations=2, seed=1)
+    assert np.array_equal(run.candidates.weights, again.candidates.weights) and run.risk == again.risk
+    with pytest.raises(ValueError, match="point_id"):
+        kmeans_parallel(points.drop("point_id"), 2, carry=True)
