@@ -192,13 +192,13 @@ def draw(no: int, centers: str, k: int = 10) -> list[str]:
     ]
 
 
-def prune_round(no: int, survivors: str, known: str) -> list[str]:
-    """Round ``no`` of sample and prune with k=1, epsilon 0.2; ``known`` is the distance so far."""
+def prune_round(no: int, survivors: str, known: str, k: int = 1, epsilon: str = "0.2::DOUBLE") -> list[str]:
+    """Round ``no`` of sample and prune; ``known`` is the distance so far."""
     end = "" if no == 1 else f"r{no}"
-    power = "pow((SELECT n FROM size), 0.2::DOUBLE) * ln((SELECT n FROM size))"
+    power = f"pow((SELECT n FROM size), {epsilon}) * ln((SELECT n FROM size))"
     return [
         f"left{no} AS (SELECT count(*)::DOUBLE AS remaining FROM {survivors})",
-        f"s{no} AS (SELECT * FROM {survivors} WHERE {u('s' + end)} < (SELECT 9 * {power} / remaining FROM left{no}))",
+        f"s{no} AS (SELECT * FROM {survivors} WHERE {u('s' + end)} < (SELECT 9 * {k} * {power} / remaining FROM left{no}))",
         f"h{no} AS (SELECT * FROM {survivors} WHERE {u('h' + end)} < (SELECT 4 * {power} / remaining FROM left{no}))",
         f"""scored{no} AS (SELECT p.point_id, any_value(p.w) AS w, least(min({d2()}), any_value({known})) AS d2,
   any_value(p.x0) AS x0, any_value(p.x1) AS x1, any_value(p.x2) AS x2, any_value(p.x3) AS x3
@@ -293,11 +293,49 @@ def steps_sql(points: str, dataset: str, steps: int) -> str:
   round((SELECT sum(d2) FROM ended), 4) AS final_risk_avg, (SELECT n FROM size) * {work} AS comps_tot_avg""")
 
 
+SWEEP_TABLES = ((POINTS, "lineitem"), (ORDER_POINTS, "orders"))
+
+
+def sampled_sql(points: str, dataset: str, epsilon: str) -> str:
+    """The summary of one sampled run of one round."""
+    run = single_run(SEED).replace(POINTS, points).replace(COUNTED, f"size AS (SELECT count(*)::DOUBLE AS n FROM {dataset})")
+    return f"""SELECT '{dataset}' AS dataset, 0::INTEGER AS steps, 'sampled_kmeans' AS algorithm, 5::INTEGER AS k, {epsilon}::DOUBLE AS epsilon,
+  num_centers AS num_centers_avg, round(risk_final, 4) AS final_risk_avg, comps AS comps_tot_avg
+FROM ({run.replace(E, f"{epsilon}::DOUBLE")})"""
+
+
+def pruned_sql(points: str, dataset: str, epsilon: str) -> str:
+    """The summary of one run of sample and prune, of one round; what is left beyond the stop size is cut to k rows."""
+    near = f"""SELECT p.point_id, arg_min(c.center_id, ({d2()}, c.center_id)) AS center_id
+  FROM pts p CROSS JOIN candidates c GROUP BY p.point_id"""
+    return query(
+        points, f"size AS (SELECT count(*)::DOUBLE AS n FROM {dataset})", *prune_round(1, "pts", "NULL::DOUBLE", K, f"{epsilon}::DOUBLE"),
+        f"stop AS (SELECT (4 / {epsilon}::DOUBLE) * 5 * pow(n, {epsilon}::DOUBLE) * ln(n) AS most, (SELECT count(*) FROM pruned1) AS rows FROM size)",
+        f"ranked AS (SELECT *, row_number() OVER (ORDER BY {u('c')}, point_id) - 1 AS place FROM pruned1)",
+        """candidates AS (SELECT point_id AS center_id, x0, x1, x2, x3 FROM s1 UNION ALL
+  SELECT CASE WHEN rows > most THEN 'rest ' || place ELSE point_id END, x0, x1, x2, x3 FROM ranked, stop WHERE rows <= most OR place < 5)""",
+        f"served AS ({near})",
+        """positive AS (SELECT c.center_id AS point_id, 1::DOUBLE AS w, any_value(c.x0) AS x0, any_value(c.x1) AS x1, any_value(c.x2) AS x2, any_value(c.x3) AS x3
+  FROM candidates c JOIN served s ON s.center_id = c.center_id GROUP BY c.center_id)""",
+        lowest("final", "positive", "c", K), scored("ended", "pts", "final"),
+        select=f"""SELECT '{dataset}' AS dataset, 0::INTEGER AS steps, 'sample_prune' AS algorithm, 5::INTEGER AS k, {epsilon}::DOUBLE AS epsilon,
+  (SELECT count(*) FROM candidates)::DOUBLE AS num_centers_avg, round((SELECT sum(d2) FROM ended), 4) AS final_risk_avg,
+  (SELECT n FROM size) * (SELECT count(*) FROM s1) AS comps_tot_avg""",
+    )
+
+
 def sweep_sql() -> str:
-    runs = [steps_sql(p, d, n) for p, d in ((POINTS, "lineitem"), (ORDER_POINTS, "orders")) for n in (1, 2)]
+    runs = [steps_sql(p, d, n) for p, d in SWEEP_TABLES for n in (1, 2)]
+    for way in (sampled_sql, pruned_sql):
+        runs += [way(p, d, e) for p, d in SWEEP_TABLES for e in ("0.1", "0.2")]
     return "\nUNION ALL\n".join(f"SELECT * FROM ({r})" for r in runs)
 
 
+def restart_sql() -> str:
+    runs = [steps_sql(p, d, n) for p, d in SWEEP_TABLES for n in (1, 2)]
+    return "SELECT *, 1::BIGINT AS runs FROM (" + "\nUNION ALL\n".join(f"SELECT * FROM ({r})" for r in runs) + ")"
+
+
 SEPARATED = """SELECT count(*) AS size, round(avg(substr(o_orderpriority, 1, 1)::INTEGER * 10000), 6) AS x0,
   round(avg(pow(substr(o_orderpriority, 1, 1)::INTEGER, 2) * 10000), 6) AS x1, round(avg(round(o_totalprice / 10000)), 6) AS x2,
   round(avg(o_custkey % 11), 6) AS x3, 5::INTEGER AS k
@@ -327,6 +365,19 @@ def columns(prefix: str = "c", source: str = "x") -> str:
     return ", ".join(f"{source}{j} AS {prefix}{j}" for j in range(DIMS))
 
 
+def sparse_items() -> list[str]:
+    """Line items against the ten lowest by hash; unlike levels of a column are two coordinates apart by 1 each."""
+    d = """(p.q - c.q) * (p.q - c.q) + 2 * ((p.l_orderkey <> c.l_orderkey)::INTEGER + (p.l_partkey <> c.l_partkey)::INTEGER
+    + (p.l_suppkey <> c.l_suppkey)::INTEGER)"""
+    return [
+        """pts AS (SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS point_id,
+  l_quantity AS q, l_orderkey, l_partkey, l_suppkey FROM lineitem)""",
+        lowest("cen", "pts", "c", 10),
+        f"""near AS (SELECT * FROM (SELECT p.point_id, c.center_id, {d} AS d2,
+  row_number() OVER (PARTITION BY p.point_id ORDER BY {d}, c.center_id) AS place FROM pts p CROSS JOIN cen c) WHERE place = 1)""",
+    ]
+
+
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 STATUSES = ["F", "O", "P"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -378,6 +429,7 @@ FROM seg, ranks, total""",
     ),
     "run_summary": summary_sql(),
     "sweep_summary": sweep_sql(),
+    "sweep_restart": restart_sql(),
     "numeric_projection": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
     "drop_nulls": query(NULLS, select="SELECT * FROM joined WHERE l_linenumber IS NOT NULL AND l_quantity IS NOT NULL AND o_orderstatus IS NOT NULL"),
     "one_hot": f"SELECT event_id, {dummies('event_type', EVENT_TYPES)} FROM events",
@@ -470,13 +522,31 @@ FROM (SELECT DISTINCT (l_linenumber - 2)::INTEGER AS k, round(l_discount * 10, 1
         *SCORED, "bound AS (SELECT CAST(sum(d2) AS BIGINT) AS bound FROM scored)",
         select="""SELECT 'lineitem' AS dataset, algorithm, round::INTEGER AS round, 5::INTEGER AS k, 1::INTEGER AS enough, drawn::BIGINT AS drawn, bound,
   1::INTEGER AS below, 1::INTEGER AS candidates_cheaper
-FROM bound, (VALUES ('sampled_kmeans', 0), ('kmeans_parallel', 1 + 10 * 5)) a(algorithm, drawn), (VALUES (0), (1)) r(round)""",
+FROM bound, (VALUES ('sampled_kmeans', 0), ('kmeans_parallel', 1 + 10 * 5), ('sample_prune', 0)) a(algorithm, drawn), (VALUES (0), (1)) r(round)""",
     ),
     "compare_estimators": query(
         *SCORED,
         select="""SELECT estimator, 5::INTEGER AS num_centers, CAST(sum(d2) AS BIGINT) AS bound, 1::INTEGER AS below
 FROM scored, (VALUES ('sampled'), ('plain')) e(estimator) GROUP BY estimator""",
     ),
+    "sparse_nearest": query(
+        *sparse_items(), select="SELECT point_id, center_id::INTEGER AS center_id, d2::BIGINT AS d2, 4::INTEGER AS entries FROM near",
+    ),
+    "sparse_risk": query(
+        *sparse_items(),
+        select="""SELECT CAST((SELECT sum(d2) FROM near) AS BIGINT) AS risk,
+  CAST((SELECT sum(d2) FROM (SELECT d2, row_number() OVER (ORDER BY d2 DESC) AS place FROM near) WHERE place > 409) AS BIGINT) AS truncated_risk,
+  (1 + count(DISTINCT l_orderkey) + count(DISTINCT l_partkey) + count(DISTINCT l_suppkey))::INTEGER AS dims FROM lineitem""",
+    ),
+    "sparse_weights": query(
+        *sparse_items(),
+        select="""SELECT c.center_id::INTEGER AS center_id, count(a.point_id) AS weight, CAST(coalesce(sum(a.d2), 0) AS BIGINT) AS cost
+FROM cen c LEFT JOIN near a ON a.center_id = c.center_id GROUP BY c.center_id""",
+    ),
+    "sparse_libsvm": """SELECT p_partkey, 0::INTEGER AS position, p_size::DOUBLE AS value FROM part WHERE p_size <> 0
+UNION ALL SELECT p_partkey, 2::INTEGER, p_retailprice FROM part WHERE p_retailprice <> 0""",
+    "sparse_clustering": """SELECT count(*) AS size, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::INTEGER AS low,
+  (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::INTEGER AS high FROM orders GROUP BY o_orderpriority""",
     "risk": query(*SCORED, select="SELECT CAST(sum(d2) AS BIGINT) AS risk FROM scored"),
     "truncated_risk": query(
         *SCORED,

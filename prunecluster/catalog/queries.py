@@ -17,6 +17,7 @@ from ..functions.centers import Centers
 from ..functions.distance import squared_distance
 from ..functions.formulas import COLUMNS
 from ..functions.hashing import md5_uniform
+from ..functions.sparse import SparseCenters
 from ..operators import cost, nearest, prep, rounds, sampling
 from ..plans import evaluate
 from ..plans.blackbox import reduce_centers, spark_kmeans
@@ -209,20 +210,35 @@ def order_points(spark, folder) -> DataFrame:
     return prep.point_table(orders, [F.col("o_orderkey").cast("string")], x)
 
 
-def sweep_summary(spark, folder):
-    """A sweep over two tables and two step counts."""
+SWEPT = ("dataset", "steps", "algorithm", "k", "epsilon", "num_centers_avg", "final_risk_avg", "comps_tot_avg")
+
+
+def _sweep(spark, folder, plan, **options) -> DataFrame:
     names = spark.createDataFrame([("lineitem",), ("orders",)], "dataset string")
-    plan = evaluate.sweep_plan(names).where("algorithm = 'kmeans_parallel' and k = 25 and steps <= 2").withColumn("k", F.lit(K))
+    grid = evaluate.sweep_plan(names).where("k = 25").withColumn("k", F.lit(K))
     load = {"lineitem": lattice, "orders": order_points}
-    metrics = evaluate.run_sweep(
-        spark, lambda name: load[name](spark, folder), names, rounds=1, seed=SEED, delta=DELTA, plan=plan,
-        reducer=fixed_box, uniform="md5",
-    )
-    return _summary(metrics).select(
-        "dataset", "steps", "algorithm", "k", "epsilon", "num_centers_avg", "final_risk_avg", "comps_tot_avg"
+    return evaluate.run_sweep(
+        spark, lambda name: load[name](spark, folder), names, rounds=1, seed=SEED, delta=DELTA, plan=plan(grid), uniform="md5",
+        reducer=fixed_box, by_algorithm={"sampled_kmeans": {"blackbox": fixed_box, "max_iter": 1}, "sample_prune": {"max_iter": 1}},
+        **options,
     )
 
 
+def sweep_summary(spark, folder):
+    """A sweep of three algorithms over two tables, by epsilon and by steps."""
+    metrics = _sweep(spark, folder, lambda grid: grid.where("epsilon >= 0.1 OR steps <= 2"))
+    return _summary(metrics).select(*SWEPT).na.fill(0, ["steps"])
+
+
+def sweep_restart(spark, folder):
+    """A sweep that stopped half way and is started again: every run is there, and once."""
+    path = f"{RunTables(spark).root}/sweep"
+    _sweep(spark, folder, lambda grid: grid.where("steps <= 2 AND dataset = 'orders'"), results=path)
+    metrics = _sweep(spark, folder, lambda grid: grid.where("steps <= 2"), results=path)
+    runs = metrics.groupBy("dataset", "steps").agg(F.count("*").alias("runs"))
+    return _summary(metrics).select(*SWEPT).join(runs, ["dataset", "steps"])
+
+
 # --- preparation -------------------------------------------------------------------------------
 
 
@@ -391,6 +407,66 @@ def nearest_vectors(spark, folder):
     return found.select("point_id", "center_id", F.round("d2", 6).alias("d2"))
 
 
+def sparse_items(spark, folder) -> DataFrame:
+    """Line items with a coordinate for each order, part and supplier."""
+    items = table(spark, folder, "lineitem")
+    keys = [
+        F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint"),
+    ]
+    return prep.one_hot_points(prep.spread(items), keys, ["l_orderkey", "l_partkey", "l_suppkey"], ["l_quantity"])
+
+
+def sparse_centers(points: DataFrame, k: int) -> SparseCenters:
+    return SparseCenters.from_rows(sampling.random_rows(points, k, SEED, "c", "md5").select("x").collect(), None, "x")
+
+
+def sparse_nearest(spark, folder):
+    points = sparse_items(spark, folder)
+    found = nearest.with_nearest(points, sparse_centers(points, 10))
+    return found.select("point_id", "center_id", whole(F.col("d2"), "d2"), F.size("x.indices").alias("entries"))
+
+
+def sparse_risk(spark, folder):
+    points = sparse_items(spark, folder)
+    centers = sparse_centers(points, 10)
+    scored = nearest.with_nearest(points, centers)
+    return one_row(
+        spark, "risk bigint, truncated_risk bigint, dims int", round(cost.risk(points, centers)),
+        round(cost.truncated_risk(scored, 409)), centers.dims,
+    )
+
+
+def sparse_weights(spark, folder):
+    points = sparse_items(spark, folder)
+    found = cost.weight_table(points, sparse_centers(points, 10))
+    return found.select("center_id", whole(F.col("weight"), "weight"), whole(F.col("cost"), "cost"))
+
+
+def sparse_libsvm(spark, folder):
+    """Parts written as libsvm and read back as sparse points, with their entries one by one."""
+    path = f"{RunTables(spark).root}/libsvm"
+    features = array_to_vector(F.array(F.col("p_size").cast("double"), F.lit(0.0), "p_retailprice"))
+    parts = table(spark, folder, "part").select(F.col("p_partkey").cast("double").alias("label"), features.alias("features"))
+    parts.write.format("libsvm").save(path)
+    read = sources.read_libsvm_points(spark, path, dims=3, sparse=True)
+    entries = read.select(F.col("label").cast("bigint").alias("p_partkey"), F.explode(F.arrays_zip("x.indices", "x.values")).alias("e"))
+    return entries.select("p_partkey", F.col("e.indices").alias("position"), F.col("e.values").alias("value")).where("value <> 0")
+
+
+def sparse_clustering(spark, folder):
+    """The estimator on sparse points far apart by the priority of the order: rows of each cluster."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    points = prep.one_hot_points(prep.spread(orders), [F.col("o_orderkey")], ["o_orderpriority", "o_orderstatus"])
+    # the levels of the priority come first and weigh much more than those of the status
+    scaled = F.transform(F.arrays_zip("x.indices", "x.values"), lambda e: F.when(e["indices"] < 5, e["values"] * APART).otherwise(e["values"]))
+    points = points.withColumn("x", F.col("x").withField("values", scaled))
+    models = [PrunedKMeans(k=K, epsilon=EPSILON, seed=s, featuresCol="x", idCol="point_id").fit(points) for s in SEEDS]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    named = best.transform(points).select("prediction", F.col("x.indices")[0].alias("priority"))
+    return named.groupBy("prediction").agg(F.count("*").alias("size"), F.min("priority").alias("low"), F.max("priority").alias("high")).drop("prediction")
+
+
 def predict(spark, folder):
     points = lattice(spark, folder)
     model = PrunedKMeansModel(lowest_by_hash(points, K).matrix)
@@ -839,7 +915,8 @@ def compare_runs(spark, folder):
     """Runs of three algorithms: enough candidates, and a cost below that of rows taken by hash."""
     points = lattice(spark, folder)
     bound = cost.risk(points, lowest_by_hash(points, K))
-    metrics = evaluate.compare_runs(points, ["sampled_kmeans", "kmeans_parallel"], K, EPSILON, rounds=2, seed=SEED, dataset="lineitem")
+    algorithms = ["sampled_kmeans", "kmeans_parallel", "sample_prune"]
+    metrics = evaluate.compare_runs(points, algorithms, K, PRUNE_EPSILON, rounds=2, seed=SEED, dataset="lineitem")
     return metrics.select(
         "dataset", "algorithm", "round", "k", (F.col("num_centers") >= K).cast("int").alias("enough"),
         # one first centre, then l in each step
@@ -879,6 +956,7 @@ QUERIES = {
     "run_results": run_results,
     "run_summary": run_summary,
     "sweep_summary": sweep_summary,
+    "sweep_restart": sweep_restart,
     "numeric_projection": numeric_projection,
     "drop_nulls": drop_nulls,
     "one_hot": one_hot,
@@ -904,6 +982,11 @@ QUERIES = {
     "incremental_distance": incremental_distance,
     "nearest_cosine": nearest_cosine,
     "nearest_vectors": nearest_vectors,
+    "sparse_nearest": sparse_nearest,
+    "sparse_risk": sparse_risk,
+    "sparse_weights": sparse_weights,
+    "sparse_libsvm": sparse_libsvm,
+    "sparse_clustering": sparse_clustering,
     "predict": predict,
     "predict_cosine": predict_cosine,
     "model_round_trip": model_round_trip,

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from .functions.centers import Centers
 from .functions.distance import nearest_finder
+from .functions.sparse import SPARSE, is_sparse
 from .operators import prep
 from .operators.cost import risk
 from .operators.nearest import predict
@@ -40,6 +41,8 @@ class _Common(HasFeaturesCol, HasPredictionCol, HasDistanceMeasure):
             return vector_to_array(F.col(f"`{name}`"))
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
             return F.col(f"`{name}`").cast("array<double>")
+        if kind.simpleString() == SPARSE:
+            return F.col(f"`{name}`")
         raise ValueError(f"column {name!r} must hold vectors or arrays of numbers, found {kind.simpleString()}")
 
     def transformSchema(self, schema: T.StructType) -> T.StructType:
@@ -169,8 +172,10 @@ class PrunedKMeans(
         if measure == "cosine":
             # The threshold is derived for squared Euclidean distance; on unit vectors that is
             # twice the cosine distance.
-            length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
-            points = points.withColumn("x", F.transform("x", lambda v: v / length))
+            values = F.col("x.values") if is_sparse(points) else F.col("x")
+            length = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v))
+            unit = F.transform(values, lambda v: v / length)
+            points = points.withColumn("x", F.col("x").withField("values", unit) if is_sparse(points) else unit)
         box = spark_kmeans(
             INNER_MAX_ITER, init_mode=self.getOrDefault(self.initMode),
             init_steps=self.getOrDefault(self.initSteps), measure="euclidean",

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A centre set up to this size is shipped to every task; larger ones go block by block.
 CENTER_BYTES = 64 * 1024 * 1024
@@ -65,8 +66,10 @@ class Centers:
 
 
 def center_table_size(centers: DataFrame) -> tuple[int, int]:
-    """(rows, bytes of coordinates and ids) of a centre table."""
+    """(rows, bytes of coordinates and ids) of a centre table, sparse or not."""
+    arrays = isinstance(centers.schema["c"].dataType, T.ArrayType)
+    held = 8 * F.size("c") if arrays else 12 * F.size("c.indices")
     row = centers.agg(
-        F.count("*").alias("n"), F.sum(8 * F.size("c") + F.octet_length(F.col("center_id").cast("string"))).alias("b")
+        F.count("*").alias("n"), F.sum(held + F.octet_length(F.col("center_id").cast("string"))).alias("b")
     ).first()
     return row.n, row.b or 0

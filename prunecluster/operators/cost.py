@@ -92,7 +92,7 @@ def weight_table(
     counted = assigned.groupBy("center_id").agg(
         F.sum(weight).alias("weight"), F.sum(F.col("d2") * weight).alias("cost")
     )
-    every = centers.to_df(points.sparkSession) if isinstance(centers, Centers) else centers
+    every = centers if isinstance(centers, DataFrame) else centers.to_df(points.sparkSession)
     return every.select("center_id", "c").join(counted, "center_id", "left").na.fill(0.0, ["weight", "cost"])
 
 

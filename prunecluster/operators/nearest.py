@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import distance
 from ..functions.centers import CENTER_BYTES, Centers, center_table_size
+from ..functions.sparse import SparseCenters, is_sparse, nearest_sparse
 from ..storage import RunTables
 
 # Points, in bytes, that a task measures against all blocks before it takes more.
@@ -31,8 +32,11 @@ def with_nearest(
     Centre sets up to ``max_bytes`` travel with the tasks. A larger one is written to the shared folder, and
     every task reads it block by block for each group of its points, in one pass over them: no task
     holds more than a block and a group. Without ``tables`` it lies in a folder of its own, as
-    the returned frame reads it.
+    the returned frame reads it. Sparse points take sparse or dense centres; what is too large for a task goes
+    along in parts, of which each point keeps the nearest.
     """
+    if is_sparse(points):
+        return _sparse_pass(points, centers, measure, max_bytes)
     centers, size = fetched(centers, max_bytes)
     if size <= max_bytes:
         return _one_pass(points, centers, measure)
@@ -44,12 +48,13 @@ def with_nearest(
 
 def fetched(centers: Centers | DataFrame, max_bytes: int = CENTER_BYTES) -> tuple[Centers | DataFrame, int]:
     """A centre table brought to the driver if it has no more than ``max_bytes``, and its size."""
-    if isinstance(centers, Centers):
+    if not isinstance(centers, DataFrame):
         return centers, centers.nbytes
     _, size = center_table_size(centers)
     if size > max_bytes:
         return centers, size
-    return Centers.from_rows(centers.select("center_id", "c").collect()), size
+    kind = SparseCenters if is_sparse(centers, "c") else Centers
+    return kind.from_rows(centers.select("center_id", "c").collect()), size
 
 
 def _one_pass(points: DataFrame, centers: Centers, measure: str) -> DataFrame:
@@ -57,6 +62,30 @@ def _one_pass(points: DataFrame, centers: Centers, measure: str) -> DataFrame:
     return found.select("*", "nearest.d2", "nearest.center_id").drop("nearest")
 
 
+def _sparse_pass(points: DataFrame, centers, measure: str, max_bytes: int) -> DataFrame:
+    if isinstance(centers, DataFrame):
+        centers, size = fetched(centers, max_bytes)
+        if size > max_bytes:
+            raise ValueError(f"a table of sparse centres has {size} bytes, more than the {max_bytes} that travel with a task")
+    centers = SparseCenters.of(centers)
+    parts = max(1, math.ceil(centers.nbytes / max_bytes))
+    per_part = math.ceil(len(centers) / parts)
+    found = points
+    for i, first in enumerate(range(0, len(centers), per_part)):
+        # parts in ascending order of ids, so that a tie stays with the earlier one
+        near = nearest_sparse(F.col("x"), centers.part(first, first + per_part), measure)
+        found = found.select("*", near.alias("near"))
+        if i == 0:
+            found = found.select("*", "near.d2", "near.center_id").drop("near")
+        else:
+            closer = F.col("near.d2") < F.col("d2")
+            found = found.withColumns({
+                "center_id": F.when(closer, F.col("near.center_id")).otherwise(F.col("center_id")),
+                "d2": F.least("d2", "near.d2"),
+            }).drop("near")
+    return found
+
+
 def _in_blocks(points, centers, measure, tables, max_bytes, size) -> DataFrame:
     # Sorted by id, so that of equal distances the first found is that of the lowest id.
     name = f"nearest-{uuid4().hex}"
@@ -122,6 +151,8 @@ def predict(
     points: DataFrame, centers: Centers, output: str = "prediction", measure: str = "euclidean", x: str = "x"
 ) -> DataFrame:
     """Appends the id of the nearest centre."""
+    if is_sparse(points, x):
+        return points.select("*", nearest_sparse(F.col(x), centers, measure)["center_id"].alias(output))
     if centers.nbytes <= CENTER_BYTES:
         pair = distance.nearest(F.col(x), centers, measure)
         return points.select("*", pair["center_id"].alias(output))

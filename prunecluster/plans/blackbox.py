@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas
 from ..functions.centers import Centers
+from ..functions.sparse import is_sparse, ml_vector
 from ..operators.cost import weight_of
 
 BlackBox = Callable[[DataFrame, int, int], Centers]
@@ -35,7 +36,8 @@ def spark_kmeans(
     """Spark's own distributed KMeans. It may return fewer than k centres if points coincide."""
 
     def cluster(points: DataFrame, k: int, seed: int) -> Centers:
-        vectors = points.select(array_to_vector("x").alias("features"), weight_of(points).alias("w"))
+        features = ml_vector("x") if is_sparse(points) else array_to_vector("x")
+        vectors = points.select(features.alias("features"), weight_of(points).alias("w"))
         if k == 1:
             mean = vectors.select(Summarizer.mean(F.col("features"), F.col("w")).alias("mean")).first().mean
             return Centers(mean.toArray().reshape(1, -1))

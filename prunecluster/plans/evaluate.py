@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from itertools import groupby
 from typing import Callable, Iterable
@@ -58,14 +60,15 @@ def run_algorithm(
     raise ValueError(f"unknown algorithm {algorithm!r}")
 
 
-def _metrics(points, algorithm, k, epsilon, rounds, seed, delta, m, dataset, steps, options) -> list[tuple]:
+def _metrics_of_round(points, algorithm, k, epsilon, round_no, seed, delta, m, dataset, steps, options) -> tuple:
     own = {} if steps is None else {"steps": steps}
+    result = run_algorithm(points, algorithm, k, epsilon, delta=delta, m=m, seed=seed + round_no, **own, **options)
+    return metrics_row(result, round_no, delta, m or 1, epsilon, dataset=dataset, steps=steps)
+
+
+def _metrics(points, algorithm, k, epsilon, rounds, seed, delta, m, dataset, steps, options) -> list[tuple]:
     return [
-        metrics_row(
-            run_algorithm(points, algorithm, k, epsilon, delta=delta, m=m, seed=seed + i, **own, **options),
-            i, delta, m or 1, epsilon, dataset=dataset, steps=steps,
-        )
-        for i in range(rounds)
+        _metrics_of_round(points, algorithm, k, epsilon, i, seed, delta, m, dataset, steps, options) for i in range(rounds)
     ]
 
 
@@ -127,25 +130,71 @@ def sweep_plan(datasets: DataFrame) -> DataFrame:
     return by_epsilon.where(~skipped).unionByName(by_steps)
 
 
+class SweepResults:
+    """Metrics of the runs of a sweep in a folder of Parquet files, one for each run, named by its setting and round.
+
+    A run that is there is not done again, and one that was written twice stands there once. Settings
+    are told apart by dataset, algorithm, k, epsilon, steps, delta, m, the round and its seed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [d.getPath().getName() for d in files.listStatus(folder)] if files.exists(folder) else []
+        done = [n for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        self.done = {n.removeprefix("run=") for n in done}
+
+    @staticmethod
+    def name(*setting) -> str:
+        return hashlib.sha256(json.dumps(setting).encode()).hexdigest()[:32]
+
+    def add(self, name: str, row: tuple) -> None:
+        self.spark.createDataFrame([row], METRICS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/run={name}")
+        self.done.add(name)
+
+    def rows(self) -> DataFrame:
+        if not self.done:
+            return self.spark.createDataFrame([], METRICS_SCHEMA)
+        return self.spark.read.schema(METRICS_SCHEMA).parquet(*[f"{self.path}/run={name}" for name in sorted(self.done)])
+
+
 def run_sweep(
     spark: SparkSession, load: Callable[[str], DataFrame], datasets: DataFrame, *, rounds: int = ROUNDS, seed: int = 1,
-    delta: float = formulas.DELTA, m: int | None = None, plan: DataFrame | None = None, **options,
+    delta: float = formulas.DELTA, m: int | None = None, plan: DataFrame | None = None, results: str | None = None,
+    by_algorithm: dict[str, dict] | None = None, **options,
 ) -> DataFrame:
     """Runs every setting of the sweep plan, or of ``plan``, and returns all metrics.
 
     The plan is a list for a person to wait for, one clustering per row. Each dataset is loaded and kept
     once for all its settings; a setting without epsilon (k-means||) has 0 there, one without steps none.
+    ``options`` go to all algorithms, those of ``by_algorithm`` to the one named. With a folder ``results`` every run
+    is written there as it ends, and runs that are there already are left out: a sweep that stopped goes on. The
+    metrics returned are then those of the whole folder.
     """
+    kept = SweepResults(spark, results) if results else None
     settings = (sweep_plan(datasets) if plan is None else plan).orderBy("dataset", "k", "algorithm", "epsilon", "steps").collect()
     rows: list[tuple] = []
     for dataset, own in groupby(settings, key=lambda s: s.dataset):
+        missing = [
+            (s, i, name) for s in own for i in range(rounds)
+            for name in [SweepResults.name(dataset, s.algorithm, s.k, s.epsilon, s.steps, delta, m, i, seed)]
+            if kept is None or name not in kept.done
+        ]
+        if not missing:
+            continue
         points = load(dataset).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            for s in own:
-                rows += _metrics(points, s.algorithm, s.k, s.epsilon or 0.0, rounds, seed, delta, m, dataset, s.steps, options)
+            for s, i, name in missing:
+                given = {**options, **(by_algorithm or {}).get(s.algorithm, {})}
+                row = _metrics_of_round(points, s.algorithm, s.k, s.epsilon or 0.0, i, seed, delta, m, dataset, s.steps, given)
+                if kept is not None:
+                    kept.add(name, row)
+                else:
+                    rows.append(row)
         finally:
             points.unpersist()
-    return spark.createDataFrame(rows, METRICS_SCHEMA)
+    return kept.rows() if kept is not None else spark.createDataFrame(rows, METRICS_SCHEMA)
 
 
 def fit_and_evaluate(estimators: dict[str, Estimator], vectors: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas
 from ..functions.centers import Centers
 from ..functions.distance import check_measure
+from ..functions.sparse import SparseCenters, is_sparse
 from ..operators.cost import center_weights, machine_rows, risk
 from ..operators.nearest import with_nearest
 from ..operators.rounds import estimate, prune
@@ -61,7 +62,7 @@ def sampled_kmeans(
     final_risk: bool = True,
     run_name: str | None = None,
 ) -> ClusteringResult:
-    """Clusters ``points`` (x ARRAY<DOUBLE>, optional point_id and weight w) into k centres.
+    """Clusters ``points`` (x ARRAY<DOUBLE> or sparse, optional point_id and weight w) into k centres.
 
     With a unique point_id the draws do not depend on how the table is partitioned. ``exact_sizes`` draws
     round(alpha * survivors) rows each instead of a share alpha by chance; this costs passes over the ids. ``m`` spreads
@@ -190,5 +191,6 @@ def last_centers(survivors: DataFrame, remaining: int, k: int, few: int, inner:
     """Centres of the last survivors: the rows themselves if there are few, else k of them."""
     if remaining <= few:
         key = ["point_id"] if "point_id" in survivors.columns else ["x"]
-        return Centers([r.x for r in survivors.orderBy(*key).select("x").collect()])
+        rows = survivors.orderBy(*key).select("x").collect()
+        return SparseCenters.from_rows(rows, None, "x").dense() if is_sparse(survivors) else Centers([r.x for r in rows])
     return inner(survivors, k, seed)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.sparse import sparse_point
 from ..operators import prep
 from .gaussians import gaussian_points, mixture_k
 from .lines import read_csv_lines
@@ -94,12 +95,16 @@ def read_preset(spark: SparkSession, name: str, path: str, **options) -> DataFra
     return read_csv_points(spark, path, preparation=preset(name), **options)
 
 
-def read_libsvm_points(spark: SparkSession, path: str, dims: int | None = None) -> DataFrame:
-    """(label, x) from a libsvm file. Give ``dims`` for large files: finding it reads them once."""
+def read_libsvm_points(spark: SparkSession, path: str, dims: int | None = None, sparse: bool = False) -> DataFrame:
+    """(label, x) from a libsvm file, x an array of all coordinates or a sparse point.
+
+    Give ``dims`` for large files: finding it reads them once.
+    """
     reader = spark.read.format("libsvm")
     if dims is not None:
         reader = reader.option("numFeatures", str(dims))
-    return reader.load(path).select("label", vector_to_array("features").alias("x"))
+    x = sparse_point(F.col("features")) if sparse else vector_to_array("features")
+    return reader.load(path).select("label", x.alias("x"))
 
 
 def to_points(df: DataFrame, columns: list[str], id_columns: list[str], weight: str | None = None) -> DataFrame:

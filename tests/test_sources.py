@@ -211,3 +211,28 @@ def test_run_tables_live_in_the_shared_folder(spark):
         tables.drop("t")
         assert not Path(tables.root, "t").exists() and Path(tables.root).exists()
     assert not Path(tables.root).exists()
+
+
+def test_a_stopped_sweep_goes_on(spark, make_points, lattice_matrix, monkeypatch, tmp_path):
+    for name, values in (("SWEEP_K", [3]), ("SWEEP_EPSILON", [0.2]), ("SWEEP_STEPS", [1, 2])):
+        monkeypatch.setattr(evaluate, name, values)
+    names = spark.createDataFrame([("a",), ("b",)], "dataset string")
+    ran, real = [], evaluate.run_algorithm
+
+    def run(points, algorithm, *given, **options):
+        if len(ran) == 3:
+            raise RuntimeError("stopped")
+        ran.append((algorithm, options.get("steps")))
+        return real(points, algorithm, *given, **options)
+
+    monkeypatch.setattr(evaluate, "run_algorithm", run)
+    options = dict(rounds=1, results=str(tmp_path / "sweep"))
+    with pytest.raises(RuntimeError, match="stopped"):
+        evaluate.run_sweep(spark, lambda name: make_points(lattice_matrix[:150]), names, **options)
+    monkeypatch.setattr(evaluate, "run_algorithm", lambda *given, **o: ran.append(given[1]) or real(*given, **o))
+    rows = evaluate.run_sweep(spark, lambda name: make_points(lattice_matrix[:150]), names, **options).collect()
+    assert len(ran) == 8 and len(rows) == 8
+    assert len({(r.dataset, r.algorithm, r.ep, r.steps) for r in rows}) == 8
+    # all are there: nothing is loaded or run
+    again = evaluate.run_sweep(spark, lambda name: 1 / 0, names, **options)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, rows))
