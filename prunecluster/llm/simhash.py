@@ -36,7 +36,9 @@ HASHES = 1 << 16
 NEAR_WORDS, FOUR, FIVE = 5, 4, 5
 #: Bands of minima and minima of a band: of pairs at exactly 0.8 all but (1 - 0.8^4)^20 share a band, 3 in 100,000 not.
 BANDS, MINIMA = 20, 4
-#: Members of a bucket that one task sets beside those which its first links don't reach.
+#: Members of a bucket up to which its pairs are looked at as they are; of larger ones, shingles that stand alone are counted.
+FEW = 32
+#: Hashes whose minima are taken at once.
 BLOCK = 4096
 
 
@@ -311,72 +313,82 @@ def _sketches(documents: DataFrame, shingle: int, tables: int) -> DataFrame:
     return map_rows(keyed, make, "doc_id long, row_key long, node long, size long, prints array<long>, bands array<long>")
 
 
-def _near(documents: DataFrame, pairs: DataFrame, nodes: DataFrame, run: RunTables, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have 0.8 in common. Only texts of such nodes are moved."""
+def _sets(documents: DataFrame, wanted: DataFrame, nodes: DataFrame, run: RunTables) -> DataFrame:
+    """(node, own), the shingle sets of the nodes wanted. Only texts of such nodes are moved."""
 
     def sets(batches):
         for batch in batches:
             for node, text in zip(batch.column("node").to_pylist(), batch.column("body").to_pylist()):
-                yield node, shingle_set(text).astype("<u8").tobytes()
+                yield node, shingle_set(text).view(np.int64)
 
-    def compare(batches):
-        for batch in batches:
-            for a, b, first, second in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "first", "second"))):
-                if are_near(np.frombuffer(first, "<u8"), np.frombuffer(second, "<u8")):
-                    yield a, b
-
-    pairs = run.write(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     rows = nodes.join(wanted, "node").select("node", F.col("row.doc_id").alias("id"), F.col("row.row_key").alias("rk"))
     text = id_and_text(documents).withColumn("row_key", row_key())
     bodies = (
         text.join(rows.hint("shuffle_hash"), (F.col("row_key") == F.col("rk")) & F.col("doc_id").eqNullSafe(F.col("id")))
         .select("node", F.coalesce("text", F.lit("")).cast("binary").alias("body")).dropDuplicates(["node"])
     )
-    held = run.write(map_rows(bodies, sets, "node long, own binary", weigh=lambda row: len(row[1])), f"{name}-sets")
+    return run.write(map_rows(bodies, sets, "node long, own array<long>", weigh=lambda row: 8 * len(row[1])), "sets")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, run: RunTables, name: str) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have 0.8 in common."""
+
+    def compare(batches):
+        for batch in batches:
+            first, second = batch.column("first"), batch.column("second")
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+                if are_near(first[i].values.to_numpy(), second[i].values.to_numpy()):
+                    yield a, b
+
     both = (
-        pairs.join(held.withColumnsRenamed({"node": "a", "own": "first"}), "a")
-        .join(held.withColumnsRenamed({"node": "b", "own": "second"}), "b")
+        pairs.join(sets.withColumnsRenamed({"node": "a", "own": "first"}), "a")
+        .join(sets.withColumnsRenamed({"node": "b", "own": "second"}), "b")
     )
-    found = run.write(map_rows(both, compare, "a long, b long"), f"{name}-near")
-    run.drop(f"{name}-sets")
-    return found
+    return run.write(map_rows(both, compare, "a long, b long"), f"{name}-near")
+
+
+def _alone(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, alone): how many of its shingles no other node of a crowded bucket has."""
+    crowded = shared.filter(F.col("members") > FEW).select("node").distinct()
+    held = sets.join(crowded, "node", "left_semi").select("node", F.explode("own").alias("shingle"))
+    single = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    return single.groupBy("node").agg(F.count("*").alias("alone"))
 
 
 def _missed(shared: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components, save those with the bucket's first node.
+    """Pairs (a, b) of a bucket in different components that may be near and have not been looked at.
 
-    One of such a pair at least is outside of the component of the first node. These rows are laid beside all
-    others of the bucket, a block of them at a time.
+    One of them, a, lies outside of the component of the bucket's first node. Of its |a| shingles those that stand
+    alone are not in b, so the two have at most |a| - alone in common and |b| + alone in either: b has to
+    have 1.25 |a| - 2.25 alone shingles or fewer, and 0.8 |a| or more. Rows meet by bucket and by size, so
+    that a row finds those of such sizes only; the same bound holds the other way round.
     """
     of_node = joined.withColumnRenamed("component", "own")
     of_first = joined.select(F.col("node").alias("first"), F.col("component").alias("its"))
     rows = (
-        shared.join(of_node, "node", "left").join(of_first, "first", "left")
+        shared.filter(F.col("node") != F.col("first")).join(of_node, "node", "left").join(of_first, "first", "left")
         .withColumn("own", F.coalesce("own", "node")).withColumn("its", F.coalesce("its", "first"))
-        .filter("node <> first").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+        .withColumn("most", F.floor((FIVE * F.col("size") - (FOUR + FIVE) * F.col("alone")) / FOUR).cast("int"))
         .withColumn("outside", F.col("own") != F.col("its"))
+        .filter(F.col("most") >= F.ceil(FOUR * F.col("size") / FIVE))
     )
-    outside = rows.filter("outside")
-    every = outside.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("own").alias("own_b"),
+    low = F.ceil(FOUR * F.col("size") / FIVE).cast("int")
+    one = rows.filter("outside").select(
+        "key", F.explode(F.sequence(low, F.col("most"))).alias("of_size"), F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("own").alias("own_a"),
     )
-    one = rows.join(outside.select("key").distinct(), "key", "left_semi").select(
-        "key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
-        F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("own").alias("own_a"), "outside",
-    )
-    apart = (F.col("own_a") != F.col("own_b")) & (~F.col("outside") | (F.col("a") < F.col("b"))) & _sizes_allow("size_a", "size_b")
-    same = (one.key == every.key) & (one.block == every.block)
-    return one.join(every, same & apart).select("a", "b").distinct()
+    every = rows.select("key", F.col("size").alias("of_size"), F.col("node").alias("b"), F.col("most").alias("most_b"), F.col("own").alias("own_b"), "outside")
+    apart = (F.col("own_a") != F.col("own_b")) & (F.col("size_a") <= F.col("most_b"))
+    return one.join(every, ["key", "of_size"]).filter(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _near_components(documents: DataFrame, most: int, shingle: int, tables: int) -> DataFrame:
     """(doc_id, row_key, component_id) of each row; links are pairs of texts with 0.8 of their shingles in common.
 
-    Looked at are, first, links between fingerprints and each bucket of a band against its first node; then
-    those pairs of a bucket that this has not joined. So a large group of near copies costs a pair per row
-    and band, and only what its first node doesn't reach is compared with all of it.
+    Looked at are, first, links between fingerprints and each bucket of a band against its first node, in a crowded
+    one the node with the fewest shingles that stand alone, to which the rest of a group of copies is nearest; then
+    those pairs of a bucket that this has not joined and that can be near by the shingles that stand alone. A
+    large group of near copies costs a pair for each row and band, and so does a passage that
+    many otherwise different texts share.
     """
     run = RunTables(documents.sparkSession)
     rows = run.write(_sketches(documents, shingle, tables), "sketches")
@@ -388,21 +400,26 @@ def _near_components(documents: DataFrame, most: int, shingle: int, tables: int)
         "nodes",
     )
     buckets = nodes.select(F.explode("bands").alias("key"), "node", "size")
-    firsts = buckets.groupBy("key").agg(F.min(F.struct("node", "size")).alias("of"), F.count("*").alias("members")).filter("members > 1")
-    shared = run.write(
-        buckets.join(firsts.select("key", "members", F.col("of.node").alias("first"), F.col("of.size").alias("size_first")), "key"), "shared"
-    )
-    pairs = shared.filter(F.col("node") != F.col("first")).filter(_sizes_allow("size", "size_first"))
-    pairs = pairs.select(F.col("first").alias("a"), F.col("node").alias("b"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = run.write(buckets.join(sizes, "key"), "shared")
     prints = nodes.select(F.col("node").alias("print"), F.col("prints").alias("more"))
+    close = None
     for table in range(1, tables + 1):
-        close = _table_links(prints, table, run, most, HOT_KEY)
+        found = _table_links(prints, table, run, most, HOT_KEY)
         run.drop(f"keyed-{table}")
-        pairs = pairs.union(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    links = _near(documents, pairs.distinct(), nodes, run, "first")
+        close = found if close is None else close.union(found)
+    wanted = shared.select("node").union(close.select(F.col("a").alias("node"))).union(close.select("b")).distinct()
+    sets = _sets(documents, wanted, nodes, run)
+    known = shared.join(run.write(_alone(shared, sets), "alone"), "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    firsts = known.groupBy("key").agg(F.min(F.struct("alone", "node", "size")).alias("of"))
+    shared = run.write(known.join(firsts.select("key", F.col("of.node").alias("first"), F.col("of.size").alias("size_first")), "key"), "led")
+    pairs = shared.filter(F.col("node") != F.col("first")).filter(_sizes_allow("size", "size_first")).select("first", "node").union(close.select("a", "b"))
+    pairs = pairs.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
+    links = _near(pairs, sets, run, "first")
     joined = run.write(components(links, run), "joined")
-    links = links.union(_near(documents, _missed(shared, joined), nodes, run, "missed"))
+    links = links.union(_near(_missed(shared, joined), sets, run, "missed"))
     joined = components(links, run, "all").withColumnRenamed("component", "of_links")
+    run.drop("sets")
     of_node = nodes.select("node", "least").join(joined, "node", "left").withColumn("of_links", F.coalesce("of_links", "node"))
     least = of_node.groupBy("of_links").agg(F.min("least").alias("component_id"))
     of_node = run.write(of_node.join(least, "of_links").select("node", "component_id"), "of_node")

@@ -160,9 +160,9 @@ def edited(rng, words, group, size, copies, most):
         yield " ".join(own)
 
 
-@pytest.mark.parametrize("block", [1, 3, 4096])
-def test_near_copies_against_all_shares_of_shingles(make_docs, monkeypatch, block):
-    monkeypatch.setattr(s, "BLOCK", block)
+@pytest.mark.parametrize("few", [0, 3, 32])
+def test_near_copies_against_all_shares_of_shingles(make_docs, monkeypatch, few):
+    monkeypatch.setattr(s, "FEW", few)
     rng = np.random.default_rng(11)
     words = [f"w{i}" for i in range(500)]
     texts = [t for g in range(25) for t in edited(rng, words, g, 200, 4, 9)]
@@ -185,3 +185,41 @@ def test_share_of_shingles_counts_sets():
     assert [len(x) for x in sets] == [5, 5, 4, 1, 0]
     assert s.are_near(sets[0], sets[1]) and s.are_near(sets[0], sets[2]) and not s.are_near(sets[3], sets[4])
     assert s.band_keys(sets[0]) == s.band_keys(sets[1]) and len(set(s.band_keys(sets[0]))) == s.BANDS
+
+
+def components_of(texts, least=0.8):
+    near, label, changed = [], list(range(len(texts))), True
+    for i in range(len(texts)):
+        near += [(i, j) for j in range(i) if slow_share(texts[i], texts[j]) >= least]
+    while changed:
+        changed = False
+        for i, j in near:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    return label, near
+
+
+def test_a_large_group_of_copies_costs_few_pairs(spark, make_docs, monkeypatch):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(900)]
+    texts = list(edited(rng, words, 0, 150, 220, 5))
+    label, near = components_of(texts)
+    looked = []
+    real = s._near
+    monkeypatch.setattr(s, "_near", lambda pairs, *rest: looked.append(pairs.count()) or real(pairs, *rest))
+    kept = s.drop_near_copies(make_docs(list(enumerate(texts))))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    # far fewer than the pairs that are near, not to speak of all
+    assert sum(looked) < 5 * len(texts) < len(near) / 4
+
+
+def test_a_passage_in_many_texts_makes_no_pairs(make_docs, monkeypatch):
+    rng = np.random.default_rng(13)
+    passage = " ".join(f"p{i}" for i in range(110))
+    texts = [passage + " " + " ".join(f"own{n}-{i}" for i in range(int(rng.integers(35, 50)))) for n in range(300)]
+    looked = []
+    real = s._near
+    monkeypatch.setattr(s, "_near", lambda pairs, *rest: looked.append(pairs.count()) or real(pairs, *rest))
+    assert s.drop_near_copies(make_docs(list(enumerate(texts)))).count() == 300
+    assert sum(looked) < 20 * 300 and looked[1] == 0
