@@ -93,12 +93,16 @@ ORACLES = {
                    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
             FROM documents),
         w AS (
-            SELECT doc_id, i, line, lead(line) OVER d AS second, lead(line, 2) OVER d AS third
+            SELECT doc_id, i, line, lead(line) OVER d AS second, lead(line, 2) OVER d AS third,
+                   len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words
             FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-        r AS (
-            SELECT doc_id, i FROM w WHERE third IS NOT NULL
-            QUALIFY row_number() OVER (PARTITION BY line, second, third ORDER BY doc_id, i) > 1),
-        g AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM r)
+        v AS (SELECT *, words + len(regexp_extract_all(second, '[^\\x20\\x09-\\x0D]+')) AS of_two FROM w),
+        c AS (
+            SELECT doc_id, i, 3 AS n, line, second, third FROM v WHERE third IS NOT NULL
+            UNION ALL SELECT doc_id, i, 1, line, NULL, NULL FROM v WHERE words >= 50
+            UNION ALL SELECT doc_id, i, 2, line, second, NULL FROM v WHERE words < 50 AND of_two >= 50),
+        r AS (SELECT doc_id, i, n FROM c QUALIFY row_number() OVER (PARTITION BY n, line, second, third ORDER BY doc_id, i) > 1),
+        g AS (SELECT DISTINCT doc_id, i + unnest(range(n)) AS i FROM r)
         SELECT l.doc_id,
                CASE WHEN bool_and(l.text IS NULL) THEN NULL
                     ELSE coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') END AS text,

@@ -9,7 +9,7 @@ from prunecluster.llm import chat, line_dedup as d
 from prunecluster.storage import RunTables
 
 
-def slow_lines(rows, run):
+def slow_lines(rows, run, least_words=50):
     seen, out = set(), {}
     for i, text in sorted(rows):
         lines = (text or "").split("\n")
@@ -19,6 +19,14 @@ def slow_lines(rows, run):
             if window in seen:
                 gone |= set(range(s, s + run))
             seen.add(window)
+        for s in range(len(lines)):
+            for n in range(1, run):
+                if s + n <= len(lines) and len(" ".join(lines[s : s + n]).split()) >= least_words:
+                    window = tuple(lines[s : s + n])
+                    if window in seen:
+                        gone |= set(range(s, s + n))
+                    seen.add(window)
+                    break
         kept = [line for n, line in enumerate(lines) if n not in gone]
         out[i] = (None if text is None else "\n".join(kept), len(lines), len(gone))
     return out
@@ -41,6 +49,22 @@ def test_lines_against_sets(make_docs, run):
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in found} == slow_lines(rows, run)
 
 
+@pytest.mark.parametrize("run, least_words", [(3, 5), (3, 2), (4, 9), (1, 3)])
+def test_passages_of_few_lines_and_many_words(make_docs, run, least_words):
+    rng = random.Random(run * least_words)
+    lines = [" ".join(f"w{rng.randint(0, 3)}" for _ in range(rng.randint(0, 6))) for _ in range(12)]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 5)))) for i in range(80)]
+    found = d.line_dedup(make_docs(rows), run, least_words).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in found} == slow_lines(rows, run, least_words)
+
+
+def test_a_copy_in_one_line_goes(make_docs):
+    passage = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, f"own\n{passage}\nmore"), (2, f"other\n{passage}"), (3, passage), (4, passage[:-4])]
+    found = {r.doc_id: r.text for r in d.line_dedup(make_docs(rows)).collect()}
+    assert found == {1: rows[0][1], 2: "other", 3: "", 4: passage[:-4]}
+
+
 def test_lines_of_null_repeated_and_no_rows(make_docs):
     text = "a\nb\nc"
     rows = d.line_dedup(make_docs([(None, text), (5, text), (5, text), (6, text)])).collect()
