@@ -91,6 +91,12 @@ def task_number() -> int:
     return TaskContext.get().partitionId()
 
 
+def ends_in_letter(stem: bytes) -> bool:
+    """Whether the stem, in lower case, ends in a letter; that of a capital may end in a combining mark, as U+0130's does."""
+    last = stem.decode()[-1:].lower()
+    return len(last) == 1 and last.isalpha()
+
+
 class WordIds:
     """Ids of a text, each as four little-endian bytes, from the ids of its white-space-free runs.
 
@@ -151,7 +157,7 @@ class WordIds:
         parts = {}
         for word in words:
             stem = word.rstrip(MARKS)
-            if stem != word and not stem.decode()[-1:].isalpha():
+            if stem != word and not ends_in_letter(stem):
                 stem = word
             mark = word[len(stem) :]
             if stem.isascii() and b"<|" not in stem:
@@ -171,14 +177,17 @@ class WordIds:
 
     def _ids(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [text.split() for text in texts]  # bytes split at ASCII white space alone
-        words = set().union(*split)
-        unknown = words.difference(self.known)
+        # each word is looked up once; those that lack, where any do, are learned together
+        found = [list(map(self.known.get, own)) for own in split]
+        open_ones = [i for i, ids in enumerate(found) if None in ids]
+        unknown = {word for i in open_ones for word, ids in zip(split[i], found[i]) if ids is None}
         if unknown:
             self._make_room(2 * len(unknown))
-            unknown = words.difference(self.known)
             self._learn(unknown)
-        for own in split:
-            yield b"".join(map(self.known.__getitem__, own))
+            learned = self.known
+            for i in open_ones:
+                found[i] = [learned[word] if ids is None else ids for word, ids in zip(split[i], found[i])]
+        yield from map(b"".join, found)
         for word in unknown:
             if len(word) > KEPT_LENGTH:
                 self.known.pop(word, None)
