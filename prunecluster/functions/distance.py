@@ -42,8 +42,6 @@ def nearest_finder(table: np.ndarray, measure: str = "euclidean"):
     check_measure(measure)
     table = np.ascontiguousarray(table)
     dims = table.shape[1]
-    axis = int(table.std(axis=0).argmax())
-    order = np.argsort(table[:, axis], kind="stable")
 
     def all_distances(block, some):
         # two buffers of a size that stays in the cache, reused for every coordinate
@@ -98,30 +96,47 @@ def nearest_finder(table: np.ndarray, measure: str = "euclidean"):
         parts = [way(values[i : i + step], some) for i in range(0, len(values), step)]
         return np.concatenate([d for d, _ in parts]), np.concatenate([w for _, w in parts])
 
-    def banded(values):
-        # Many centres: points and centres are ordered along the widest axis. Some centres close
-        # by bound the distance of a group of points; a centre farther away than that along the
-        # axis alone cannot be nearest to any of them, nor tie.
+    def split(matrix, most):
+        """Rows in groups of at most ``most``, halved along the widest axis again and again."""
+        todo, groups = [np.arange(len(matrix))], []
+        while todo:
+            rows = todo.pop()
+            if len(rows) <= most:
+                groups.append(rows)
+                continue
+            own = matrix[rows]
+            widest = int((own.max(axis=0) - own.min(axis=0)).argmax())
+            halves = np.argpartition(own[:, widest], len(rows) // 2)
+            todo += [rows[halves[: len(rows) // 2]], rows[halves[len(rows) // 2 :]]]
+        return groups
+
+    # Many centres lie in boxes. Some close ones bound the distance of a group of points; a box farther from the
+    # group's own box than that holds no centre that is nearest to any of them, nor ties.
+    leaves = split(table, 32) if measure == "euclidean" and len(table) >= 512 else []
+    lows = np.array([table[leaf].min(axis=0) for leaf in leaves])
+    highs = np.array([table[leaf].max(axis=0) for leaf in leaves])
+
+    def boxed(values):
         d2, where = np.empty(len(values)), np.empty(len(values), dtype=np.int64)
-        key, rank = table[order, axis], np.argsort(values[:, axis], kind="stable")
-        for start in range(0, len(values), 256):
-            rows = rank[start : start + 256]
+        for rows in split(values, 128):
             group = values[rows]
-            low, high = group[0, axis], group[-1, axis]
-            middle = np.searchsorted(key, group[len(group) // 2, axis])
-            bound = np.sqrt(measured(group, table[order[max(0, middle - 64) : middle + 64]])[0].max())
-            bound += 1e-9 * (bound + abs(low) + abs(high))
-            band = order[np.searchsorted(key, low - bound) : np.searchsorted(key, high + bound, side="right")]
-            band = np.sort(band)  # ascending ids, so that a tie goes to the lowest
-            d2[rows], found = measured(group, table[band])
-            where[rows] = band[found]
+            low, high = group.min(axis=0), group.max(axis=0)
+            middle = (low + high) / 2
+            near = int(((np.clip(middle, lows, highs) - middle) ** 2).sum(axis=1).argmin())
+            bound = measured(group, table[leaves[near]])[0].max()
+            gap = np.maximum(np.maximum(lows - high, low - highs), 0.0)
+            bound += 1e-9 * (bound + max(np.abs(low).max(), np.abs(high).max()) ** 2)
+            kept = np.flatnonzero((gap * gap).sum(axis=1) <= bound)
+            some = np.sort(np.concatenate([leaves[i] for i in kept]))  # ascending ids, so that a tie goes to the lowest
+            d2[rows], found = measured(group, table[some])
+            where[rows] = some[found]
         return d2, where
 
     def find(values):
         if not len(values):
             return np.empty(0), np.empty(0, dtype=np.int64)
-        if measure == "euclidean" and len(table) >= 512:
-            return banded(values)
+        if len(leaves):
+            return boxed(values)
         return measured(values, table)
 
     return find

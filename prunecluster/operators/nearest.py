@@ -18,6 +18,8 @@ from ..storage import RunTables
 
 # Points, in bytes, that a task measures against all blocks before it takes more.
 GROUP_BYTES = 32 * 1024 * 1024
+# Coordinates whose ranges are taken, those of them that order centres in space, and bits of each.
+BOX_DIMS, BOX_BITS = (64, 4), 8
 
 
 def with_nearest(
@@ -87,10 +89,12 @@ def _sparse_pass(points: DataFrame, centers, measure: str, max_bytes: int) -> Da
 
 
 def _in_blocks(points, centers, measure, tables, max_bytes, size) -> DataFrame:
-    # Sorted by id, so that of equal distances the first found is that of the lowest id.
+    # Centres that lie close together share a file and a block, whose box tells which points need not be measured.
     name = f"nearest-{uuid4().hex}"
     files = max(1, math.ceil(size / max_bytes))
-    stored = tables.write(centers.select("center_id", "c").repartition(files, "center_id"), name)
+    chosen = centers.select("center_id", "c")
+    place = _place(chosen)
+    stored = tables.write(chosen.repartitionByRange(files, place, "center_id").sortWithinPartitions(place, "center_id"), name)
     row = stored.agg(F.count("*").alias("n"), F.min(F.size("c")).alias("low"), F.max(F.size("c")).alias("high")).first()
     if row.low != row.high:
         raise ValueError(f"centres have {row.low} to {row.high} coordinates")
@@ -118,13 +122,20 @@ def _in_blocks(points, centers, measure, tables, max_bytes, size) -> DataFrame:
             values = np.concatenate([read_points(part) for part in group.column("x").chunks])
             best, ids = np.full(len(values), np.inf), np.full(len(values), None, dtype=object)
             for names, table in blocks():
+                rows = np.arange(len(values))
+                if measure == "euclidean":
+                    # only points that the block's box may hold a nearer centre for, or one as near
+                    gap = np.maximum(np.maximum(table.min(axis=0) - values, values - table.max(axis=0)), 0.0)
+                    rows = np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= best * (1 + 1e-9))
+                if not len(rows):
+                    continue
                 order = np.argsort(names.to_numpy(zero_copy_only=False), kind="stable")
-                d2, where = find_in(table[order], measure)(values)
+                d2, where = find_in(table[order], measure)(values[rows])
                 found = names.to_numpy(zero_copy_only=False)[order][where]
-                closer = d2 < best
-                for i in np.flatnonzero(d2 == best):
-                    closer[i] = found[i] < ids[i]
-                best[closer], ids[closer] = d2[closer], found[closer]
+                closer = d2 < best[rows]
+                for i in np.flatnonzero(d2 == best[rows]):
+                    closer[i] = found[i] < ids[rows[i]]
+                best[rows[closer]], ids[rows[closer]] = d2[closer], found[closer]
             named = pa.array(ids.tolist(), names.type)
             yield from group.append_column("d2", pa.array(best)).append_column("center_id", named).to_batches()
 
@@ -142,6 +153,22 @@ def _in_blocks(points, centers, measure, tables, max_bytes, size) -> DataFrame:
     return points.mapInArrow(run, schema)
 
 
+def _place(centers: DataFrame):
+    """A number that is alike for centres close to each other: bits of their widest coordinates, interleaved."""
+    dims = centers.select(F.size("c").alias("n")).first()
+    if dims is None:
+        return F.lit(0)
+    some = range(min(dims.n, BOX_DIMS[0]))
+    bounds = centers.agg(*[f(F.col("c")[j]).alias(f"{n}{j}") for j in some for n, f in (("low", F.min), ("high", F.max))]).first()
+    spread = {j: bounds[f"high{j}"] - bounds[f"low{j}"] for j in some if (bounds[f"high{j}"] or 0) > (bounds[f"low{j}"] or 0)}
+    place, widest = F.lit(0).cast("bigint"), sorted(spread, key=lambda j: -spread[j])[: BOX_DIMS[1]]
+    for i, j in enumerate(widest):
+        cell = F.floor((F.col("c")[j] - F.lit(bounds[f"low{j}"])) / F.lit(spread[j]) * ((1 << BOX_BITS) - 1)).cast("bigint")
+        for bit in range(BOX_BITS):
+            place = place.bitwiseOR(F.shiftleft(F.shiftright(cell, bit).bitwiseAND(1), bit * len(widest) + i))
+    return place
+
+
 def closer_of(points: DataFrame, previous: str, current: str) -> DataFrame:
     """Running minimum as centres are added: ``current`` becomes least(previous, current)."""
     return points.withColumn(current, F.least(F.col(previous), F.col(current)))

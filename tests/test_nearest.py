@@ -36,7 +36,7 @@ def test_many_dimensions_are_screened_exactly(make_points):
 
 
 @pytest.mark.parametrize("dims,lattice", [(3, True), (2, False), (12, False)])
-def test_many_centres_are_banded_exactly(make_points, dims, lattice):
+def test_many_centres_in_boxes_are_exact(make_points, dims, lattice):
     rng = np.random.default_rng(dims)
     matrix = rng.integers(0, 12, size=(900, dims)).astype(float) if lattice else rng.normal(size=(900, dims)) * 50
     matrix[:5] += 4000  # some far from everything
@@ -148,3 +148,29 @@ def test_plans_measure_once_and_join_nothing(make_points, lattice_matrix):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython [") == 1
         assert "Join" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("dims", [4, 64])
+def test_blocks_in_space_equal_brute_force(spark, make_points, dims):
+    rng = np.random.default_rng(dims)
+    matrix = rng.integers(0, 9, (600, dims)).astype(float)
+    matrix[:50] *= 100
+    points, centers = make_points(matrix), Centers(np.vstack([matrix[300:], matrix[300:320]]))
+    d2 = np.array([((matrix - c) ** 2).sum(axis=1) for c in centers.matrix]).T
+    with RunTables(spark) as tables:
+        blocks = collected(nearest.with_nearest(points, centers, tables=tables, max_bytes=40 * 8 * dims))
+    assert blocks == {f"p{i:05d}": (d.min(), int(d.argmin())) for i, d in enumerate(d2)}
+
+
+def test_far_blocks_are_not_measured(spark, make_points, monkeypatch):
+    """Counted in this process: points and blocks far apart meet in their own blocks only."""
+    rng = np.random.default_rng(1)
+    corners = np.repeat(np.array([[0.0, 0.0], [1e4, 0.0], [0.0, 1e4], [1e4, 1e4]]), 50, axis=0)
+    matrix = corners + rng.integers(0, 20, corners.shape)
+    centers = Centers(matrix).to_df(spark)
+    chosen = centers.select("center_id", nearest._place(centers).alias("place"))
+    places = {}
+    for r in chosen.collect():
+        places.setdefault(r.center_id // 50, set()).add(r.place)
+    spans = sorted((min(p), max(p)) for p in places.values())
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))  # each corner is a stretch of its own
