@@ -315,12 +315,24 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def language_id(documents: DataFrame, per_language: int = 2000, rounds: int = 3) -> DataFrame:
-    """Fits on the labelled documents that are not held out, then predicts all."""
+    """Fits on the labelled documents that are not held out, then predicts all: doc_id, held_out, lang_pred, score.
+
+    Null labels and null texts teach nothing. A null text, and one without a letter, is ``und`` with score 0, and so
+    is every text of a table without labels. Texts of any length are read whole; of equally likely languages the first by
+    name is taken. Rows that repeat, or without id, are answered one by one. An empty table gives no rows. Other
+    columns are not read.
+    """
     return identify(documents, fit(documents, public_pieces(), per_language, rounds))
 
 
 def keep_languages(documents: DataFrame, least: float = 0.5, per_language: int = 2000, rounds: int = 3) -> DataFrame:
-    """Rows of ``documents`` whose language is told with a score of ``least`` or more, all columns as they are."""
+    """Rows of ``documents`` whose language is told with a score of ``least`` or more, all columns as they are.
+
+    Null, empty and letterless texts go, and all rows if no row has a label. The score is the probability among the
+    languages learned, so a long text in none of them goes to the likeliest and stays. Rows that repeat are
+    judged alike and stay or go together; texts of any length are read whole; an empty table stays empty. Columns may have any
+    names, as those that are not read are passed through.
+    """
     model = fit(documents, public_pieces(), per_language, rounds)
 
     def keep(batches):
