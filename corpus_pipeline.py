@@ -22,7 +22,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``, each written as Parquet and read by the next."""
+    """All stages in turn over ``documents``, each written as Parquet and read by the next.
+
+    Returns the packed pieces of the last stage. Rows without a language (null, empty and letterless texts) go first, then all
+    but one of equal texts, of near copies and of rows that repeat; what has no doc_id takes part like any other. An empty
+    table gives no rows. Extra columns are carried up to the packing.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
