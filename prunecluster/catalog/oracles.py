@@ -428,6 +428,7 @@ FROM seg, ranks, total""",
   CAST((SELECT sum(d2) FROM served) AS BIGINT) AS risk, CAST((SELECT sum(d2) FROM ended) AS BIGINT) AS risk_final""",
     ),
     "run_summary": summary_sql(),
+    "shared_summary": summary_sql(),
     "sweep_summary": sweep_sql(),
     "sweep_restart": restart_sql(),
     "numeric_projection": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",

@@ -203,6 +203,15 @@ def run_summary(spark, folder):
     return _summary(metrics).na.fill(0, ["steps"])
 
 
+def shared_summary(spark, folder):
+    """The same two runs, weighed and costed in shared scans."""
+    metrics = evaluate.repeat_shared(
+        lattice(spark, folder), K, EPSILON, rounds=2, seed=SEED, delta=DELTA, dataset="lineitem",
+        blackbox=fixed_box, reducer=fixed_box, uniform="md5", max_iter=1,
+    )
+    return _summary(metrics).na.fill(0, ["steps"])
+
+
 def order_points(spark, folder) -> DataFrame:
     """Orders as points with integer coordinates."""
     orders = prep.spread(table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
@@ -955,6 +964,7 @@ QUERIES = {
     "gaussian_points": gaussian_points,
     "run_results": run_results,
     "run_summary": run_summary,
+    "shared_summary": shared_summary,
     "sweep_summary": sweep_summary,
     "sweep_restart": sweep_restart,
     "numeric_projection": numeric_projection,

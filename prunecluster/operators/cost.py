@@ -113,6 +113,28 @@ def center_weights(
     return centers.with_weights(weights), float(sum(r.cost for r in rows))
 
 
+def weights_of_sets(
+    points: DataFrame, sets: dict[str, Centers], measure: str = "euclidean", tables: RunTables | None = None,
+    max_bytes: int = CENTER_BYTES,
+) -> dict[str, tuple[Centers, float]]:
+    """``center_weights`` of several sets in one scan: each point gives a row per set to the sums of its task."""
+    names = list(sets)
+    scored = points.select("x", weight_of(points).alias("weight"))
+    for i, name in enumerate(names):
+        scored = with_nearest(scored, sets[name], measure, tables, max_bytes).withColumnsRenamed({"d2": f"d{i}", "center_id": f"c{i}"})
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("c"), F.col(f"d{i}").alias("d")) for i in range(len(names))])
+    rows = (
+        scored.select("weight", F.explode(each).alias("e")).groupBy("e.i", "e.c")
+        .agg(F.sum("weight").alias("weight"), F.sum(F.col("e.d") * F.col("weight")).alias("cost")).collect()
+    )
+    found = {}
+    for i, name in enumerate(names):
+        own = {r.c: r for r in rows if r.i == i}
+        weights = [own[c].weight if c in own else 0.0 for c in sets[name].ids]
+        found[name] = sets[name].with_weights(weights), float(sum(r.cost for r in own.values()))
+    return found
+
+
 def machine_of(points: DataFrame, machines: int, method: str = "xxhash64") -> Column:
     """The machine that a point is dealt to: by a hash of its key, without key by the partition that it lies in."""
     if POINT_ID not in points.columns:

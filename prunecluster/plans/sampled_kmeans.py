@@ -9,6 +9,7 @@ candidate centres and the cost of the final ones.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 from pyspark import StorageLevel
@@ -19,7 +20,7 @@ from ..functions import formulas
 from ..functions.centers import Centers
 from ..functions.distance import check_measure
 from ..functions.sparse import SparseCenters, is_sparse
-from ..operators.cost import center_weights, machine_rows, risk
+from ..operators.cost import center_weights, costs, machine_rows, risk, weights_of_sets
 from ..operators.nearest import with_nearest
 from ..operators.rounds import estimate, prune
 from ..operators.sampling import exact_samples, paired_sample
@@ -61,6 +62,7 @@ def sampled_kmeans(
     measure: str = "euclidean",
     final_risk: bool = True,
     run_name: str | None = None,
+    finish: bool = True,
 ) -> ClusteringResult:
     """Clusters ``points`` (x ARRAY<DOUBLE> or sparse, optional point_id and weight w) into k centres.
 
@@ -69,6 +71,7 @@ def sampled_kmeans(
     the points over that many partitions first, and is the number of machines that the counters assume; leave it out
     for files that are already split. With a ``run_name`` every round leaves a note in the shared folder, and a
     run of that name that was stopped goes on behind its last whole round; its draws need a point_id for that.
+    Without ``finish`` the candidates are returned as they are, for ``finish_runs`` to weigh and reduce.
     ``max_iter`` bounds the rounds, and a round that prunes nothing ends them: whatever is left is
     clustered by the distributed black box, so no row is lost.
     """
@@ -169,11 +172,12 @@ def sampled_kmeans(
                 last = last_centers(survivors, remaining, k, few, inner, seed)
                 candidates = last if candidates is None else candidates.appended(last)
 
-            with watch.scanning():
-                candidates, cost = center_weights(points, candidates, measure, tables)
-            final = reduce_centers(spark, candidates, k, seed, reducer or distributed)
-            risk_final = None
-            if final_risk:
+            cost, final, risk_final = float("nan"), None, None
+            if finish:
+                with watch.scanning():
+                    candidates, cost = center_weights(points, candidates, measure, tables)
+                final = reduce_centers(spark, candidates, k, seed, reducer or distributed)
+            if finish and final_risk:
                 with watch.scanning():
                     risk_final = risk(points, final, measure, tables)
     finally:
@@ -187,6 +191,30 @@ def sampled_kmeans(
     )
 
 
+def finish_runs(
+    points: DataFrame, runs: dict[int, ClusteringResult], k: int, *, reducer: BlackBox | None = None, measure: str = "euclidean",
+) -> dict[int, ClusteringResult]:
+    """Weights, reduces and costs several runs over the same points (by seed, run without ``finish``) in two scans in all."""
+    watch = Stopwatch()
+    columns = [c for c in ("x", "w") if c in points.columns]
+    points = points.select(*columns)
+    with RunTables(points.sparkSession) as tables:
+        with watch.scanning():
+            weighed = weights_of_sets(points, {str(s): r.candidates for s, r in runs.items()}, measure, tables)
+        box = reducer or spark_kmeans(measure=measure)
+        finals = {s: reduce_centers(points.sparkSession, weighed[str(s)][0], k, s, box) for s in runs}
+        with watch.scanning():
+            risks = costs(points, {str(s): c for s, c in finals.items()}, measure, tables)
+    share = len(runs)
+    return {
+        s: replace(
+            r, centers=finals[s], candidates=weighed[str(s)][0], risk=weighed[str(s)][1], risk_final=risks[str(s)],
+            scan_seconds=r.scan_seconds + watch.scan / share, total_seconds=r.total_seconds + watch.total() / share,
+        )
+        for s, r in runs.items()
+    }
+
+
 def last_centers(survivors: DataFrame, remaining: int, k: int, few: int, inner: BlackBox, seed: int) -> Centers:
     """Centres of the last survivors: the rows themselves if there are few, else k of them."""
     if remaining <= few:

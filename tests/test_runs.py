@@ -254,3 +254,21 @@ def test_carried_weights(make_points):
     assert np.array_equal(run.candidates.weights, again.candidates.weights) and run.risk == again.risk
     with pytest.raises(ValueError, match="point_id"):
         kmeans_parallel(points.drop("point_id"), 2, carry=True)
+
+
+def test_runs_that_share_scans_equal_runs_by_themselves(items, monkeypatch):
+    from prunecluster.plans import evaluate, sampled_kmeans as module
+
+    options = dict(rounds=3, seed=7, blackbox=fixed_box, reducer=fixed_box, uniform="md5", max_iter=2)
+    alone = evaluate.repeat_runs(items, "sampled_kmeans", 5, 0.05, **options).collect()
+    scans = []
+    for name in ("center_weights", "risk", "weights_of_sets", "costs"):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *given, real=real, name=name, **o: scans.append(name) or real(*given, **o))
+    shared = evaluate.repeat_shared(items, 5, 0.05, **options).collect()
+    assert scans == ["weights_of_sets", "costs"]
+
+    def known(rows):
+        return [tuple(v for n, v in r.asDict().items() if "time" not in n) for r in rows]
+
+    assert known(shared) == known(alone)
