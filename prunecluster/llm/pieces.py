@@ -143,18 +143,21 @@ class Lattice:
 
     def words(self, words: list[str], scored: bool = True) -> tuple[bytes, int]:
         """Ids, four bytes each, and score (0 if not asked for) of consecutive words."""
-        unknown = set(words).difference(self.known)
-        if unknown:
+        found, unknown = list(map(self.known.get, words)), ()
+        if None in found:
+            unknown = {word for word, ids in zip(words, found) if ids is None}
             self._make_room(2 * len(unknown))
-            unknown = set(words).difference(self.known)
+            if scored:  # what was forgotten just now has lost its score
+                unknown = set(words).difference(self.known)
             self._learn(unknown)
-        ids = b"".join(map(self.known.__getitem__, words))
+            known = self.known
+            found = [known[word] if ids is None else ids for word, ids in zip(words, found)]
         total = sum(map(self.total.__getitem__, words)) if scored else 0
         for word in unknown:
             if len(word) > KEPT_LENGTH:
                 self.known.pop(word, None)
                 self.total.pop(word, None)
-        return ids, total
+        return b"".join(found), total
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text in one go."""
