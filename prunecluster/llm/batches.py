@@ -67,15 +67,25 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def without(documents: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that are not in ``dropped`` (doc_id, row_key), all columns as they are."""
+def without(documents: DataFrame, dropped: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """The rows of ``documents`` that are not in ``dropped`` (doc_id, row_key), all columns as they are.
+
+    Of rows whose id and key are in ``repeated`` one stays; only such rows are moved by their key.
+    """
     names, n = [], 0
     while len(names) < 2:  # names that no column has
         names += [f"dropped_{n}"] if f"dropped_{n}" not in documents.columns else []
         n += 1
-    gone = dropped.select(F.col("doc_id").alias(names[0]), F.col("row_key").alias(names[1])).distinct()
     same = (row_key() == F.col(names[1])) & F.col("doc_id").cast("long").eqNullSafe(F.col(names[0]))
-    return documents.join(gone, same, "left_anti")
+
+    def keys(df):
+        return df.select(F.col("doc_id").alias(names[0]), F.col("row_key").alias(names[1])).distinct()
+
+    left = documents.join(keys(dropped), same, "left_anti")
+    if repeated is None or repeated.isEmpty():
+        return left
+    again = left.join(keys(repeated), same).dropDuplicates(names).drop(*names)
+    return left.join(keys(repeated), same, "left_anti").unionByName(again)
 
 
 def doc_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:

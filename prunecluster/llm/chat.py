@@ -11,6 +11,7 @@ conversation nor its rendering need fit in one task.
 
 from __future__ import annotations
 
+import re
 from array import array
 
 import numpy as np
@@ -56,6 +57,15 @@ def step(role: str | None) -> np.ndarray:
 STEPS = {role: step(role) for role in (*ROLES, None)}
 
 
+def escaped(text: str) -> str:
+    """A text in which nothing reads as a mark: "<|" gets a backslash between, and one more where there are some."""
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text) if "<" in text else text
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def of_role(role: str | None) -> str | None:
     role = (role or "").strip().lower()
     return role if role in ROLES else None
@@ -167,7 +177,7 @@ def repair_chats(conversations: DataFrame) -> DataFrame:
     are the whole. ``action`` is keep, merge or relabel (relabel+merge for both); ``inserted`` counts empty
     turns put in before the turn or, for the last one, behind it; ``cost`` is that of the whole conversation,
     the least that any legal sequence has. A role that is null or unknown takes a label for less
-    than a known one. A null text is empty. A null turn comes first, and a null conv_id is the id of
+    than a known one. A null text is empty; marks that stand in a text are escaped, so that they make no turns. A null turn comes first, and a null conv_id is the id of
     one conversation. Rows that repeat are turns of their own. An empty table gives no rows.
     Other columns are not read.
     """
@@ -189,8 +199,9 @@ def repair_chats(conversations: DataFrame) -> DataFrame:
                 put = table[before, state]
                 merged = put is None
                 # Text stands between an opening and a closing; a merge opens no turn of its own.
-                shown = "\n" + (text or "") if merged else (
-                    ("" if before == START else TURN_CLOSE) + empty(put) + TURN_OPEN.format(role=ROLES[state]) + (text or "")
+                text = escaped(text or "")
+                shown = "\n" + text if merged else (
+                    ("" if before == START else TURN_CLOSE) + empty(put) + TURN_OPEN.format(role=ROLES[state]) + text
                 )
                 inserted = len(put or ())
                 if last and i == len(rows) - 1:

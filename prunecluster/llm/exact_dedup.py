@@ -124,7 +124,7 @@ def exact_dedup(documents: DataFrame, points=POINTS) -> DataFrame:
     other; a group of such rows only has a null keep_id and keeps them. An empty table gives no rows.
     Other columns are not read, whatever their names.
     """
-    return _verdicts(documents, points).drop("row_key")
+    return _verdicts(documents, points).drop("row_key", "stays")
 
 
 def _verdicts(documents: DataFrame, points) -> DataFrame:
@@ -155,9 +155,19 @@ def _verdicts(documents: DataFrame, points) -> DataFrame:
         .otherwise(F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))).alias("kept"),
         "text_sha256",
         "row_key",
+        (F.col("group_size").isNull() | F.struct("doc_id", "row_key").eqNullSafe(F.col("stays"))).alias("stays"),
     )
 
 
 def drop_copies(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that stay, with all their columns."""
-    return without(documents, _verdicts(documents, POINTS).filter(~F.col("kept")))
+    """The rows of ``documents`` that stay, one for each text, with all their columns.
+
+    Texts are equal as for ``exact_dedup``, and the row with the largest doc_id stays, of several with that id one,
+    also if they repeat the whole row; a row without id stays only where no equal text has one. Null and
+    empty texts are one text, texts of any length are compared whole, and an empty table stays empty. Columns may
+    have any names.
+    """
+    run = RunTables(documents.sparkSession)
+    verdicts = run.write(_verdicts(documents, POINTS).select("doc_id", "row_key", "stays"), "verdicts")
+    repeated = verdicts.filter("stays").groupBy("doc_id", "row_key").count().filter("count > 1")
+    return without(documents, verdicts.filter(~F.col("stays")), run.write(repeated, "repeated"))

@@ -38,6 +38,8 @@ NEAR_WORDS, FOUR, FIVE = 5, 4, 5
 BANDS, MINIMA = 20, 4
 #: Members of a bucket up to which its pairs are looked at as they are; of larger ones, shingles that stand alone are counted.
 FEW = 32
+#: Bins of sizes for each factor of e, in crowded buckets.
+BINS = 100
 #: Hashes whose minima are taken at once.
 BLOCK = 4096
 
@@ -360,8 +362,8 @@ def _missed(shared: DataFrame, joined: DataFrame) -> DataFrame:
 
     One of them, a, lies outside of the component of the bucket's first node. Of its |a| shingles those that stand
     alone are not in b, so the two have at most |a| - alone in common and |b| + alone in either: b has to
-    have 1.25 |a| - 2.25 alone shingles or fewer, and 0.8 |a| or more. Rows meet by bucket and by size, so
-    that a row finds those of such sizes only; the same bound holds the other way round.
+    have 1.25 |a| - 2.25 alone shingles or fewer, and 0.8 |a| or more. In a crowded bucket rows meet by bins of
+    sizes, so that a row finds those of such sizes only; the same bound holds the other way round.
     """
     of_node = joined.withColumnRenamed("component", "own")
     of_first = joined.select(F.col("node").alias("first"), F.col("component").alias("its"))
@@ -372,17 +374,31 @@ def _missed(shared: DataFrame, joined: DataFrame) -> DataFrame:
         .withColumn("outside", F.col("own") != F.col("its"))
         .filter(F.col("most") >= F.ceil(FOUR * F.col("size") / FIVE))
     )
-    low = F.ceil(FOUR * F.col("size") / FIVE).cast("int")
-    one = rows.filter("outside").select(
-        "key", F.explode(F.sequence(low, F.col("most"))).alias("of_size"), F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("own").alias("own_a"),
-    )
-    every = rows.select("key", F.col("size").alias("of_size"), F.col("node").alias("b"), F.col("most").alias("most_b"), F.col("own").alias("own_b"), "outside")
-    apart = (F.col("own_a") != F.col("own_b")) & (F.col("size_a") <= F.col("most_b"))
-    return one.join(every, ["key", "of_size"]).filter(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    low = F.ceil(FOUR * F.col("size") / FIVE)
+    first, last = F.col("size_b") >= F.col("low_a"), F.col("size_b") <= F.col("most_a")
+    apart = (F.col("own_a") != F.col("own_b")) & first & last & (F.col("size_a") <= F.col("most_b"))
+
+    def side(df, end):
+        return df.select(
+            "key", "bin", F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("most").alias(f"most_{end}"),
+            low.alias(f"low_{end}"), F.col("own").alias(f"own_{end}"),
+        )
+
+    def bin_of(size):
+        return F.floor(F.ln(size) * BINS).cast("int")
+
+    # Few members meet as they are; many by the bins that their sizes allow.
+    few = rows.filter(F.col("members") <= FEW).withColumn("bin", F.lit(0))
+    many = rows.filter(F.col("members") > FEW)
+    bins = F.explode(F.sequence(bin_of(low), bin_of(F.col("most"))))
+    one = side(few.filter("outside"), "a").union(side(many.filter("outside").withColumn("bin", bins), "a"))
+    every = side(few, "b").union(side(many.withColumn("bin", bin_of(F.col("size"))), "b"))
+    same = (one.key == every.key) & (one.bin == every.bin)
+    return one.join(every, same & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _near_components(documents: DataFrame, most: int, shingle: int, tables: int) -> DataFrame:
-    """(doc_id, row_key, component_id) of each row; links are pairs of texts with 0.8 of their shingles in common.
+    """(doc_id, row_key, stays) of each row; links are pairs of texts with 0.8 of their shingles in common.
 
     Looked at are, first, links between fingerprints and each bucket of a band against its first node, in a crowded
     one the node with the fewest shingles that stand alone, to which the rest of a group of copies is nearest; then
@@ -394,9 +410,10 @@ def _near_components(documents: DataFrame, most: int, shingle: int, tables: int)
     rows = run.write(_sketches(documents, shingle, tables), "sketches")
     nodes = run.write(
         rows.groupBy("node").agg(
-            F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_key")).alias("row"),
+            # a row without id comes last
+            F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("row"),
             F.min(F.struct("size", "prints", "bands")).alias("of"),
-        ).select("node", "least", "row", "of.*"),
+        ).select("node", "row", "of.*"),
         "nodes",
     )
     buckets = nodes.select(F.explode("bands").alias("key"), "node", "size")
@@ -420,18 +437,24 @@ def _near_components(documents: DataFrame, most: int, shingle: int, tables: int)
     links = links.union(_near(_missed(shared, joined), sets, run, "missed"))
     joined = components(links, run, "all").withColumnRenamed("component", "of_links")
     run.drop("sets")
-    of_node = nodes.select("node", "least").join(joined, "node", "left").withColumn("of_links", F.coalesce("of_links", "node"))
-    least = of_node.groupBy("of_links").agg(F.min("least").alias("component_id"))
-    of_node = run.write(of_node.join(least, "of_links").select("node", "component_id"), "of_node")
-    return rows.join(of_node, "node").select("doc_id", "row_key", "component_id")
+    of_node = nodes.select("node", "row").join(joined, "node", "left").withColumn("of_links", F.coalesce("of_links", "node"))
+    least = of_node.groupBy("of_links").agg(F.min("row").alias("first"))
+    of_node = run.write(of_node.join(least, "of_links").select("node", "first"), "of_node")
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")
+    return rows.join(of_node, "node").select("doc_id", "row_key", own.eqNullSafe(F.col("first")).alias("stays"))
 
 
 def drop_near_copies(documents: DataFrame, most: int = 2, shingle: int = 3, tables: int = 8) -> DataFrame:
-    """The rows of ``documents`` that stay, those with the least id of each component, with all their columns.
+    """One row of each component of ``documents``, that with the least id, with all its columns.
 
     Two texts link when their sets of five-word shingles (lower-cased A-Z, any white space between words)
     have a Jaccard similarity of 0.8 or more, which is counted for each pair that fingerprints or bands name.
-    Of all pairs at 0.8 three in 100,000 are not named, at 0.85 fewer than one in a million.
+    Of all pairs at 0.8 three in 100,000 are not named, at 0.85 fewer than one in a million. A text of fewer words is
+    one shingle; null, empty and blank texts have none and are copies of each other. Of rows that share the least
+    id, or repeat as a whole, one stays; a row without id stays only in a component without any. Texts of
+    any length are read whole; an empty table stays empty. Columns may have any names.
     """
-    found = _near_components(documents, most, shingle, tables)
-    return without(documents, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    run = RunTables(documents.sparkSession)
+    found = run.write(_near_components(documents, most, shingle, tables), "found-rows")
+    repeated = found.filter("stays").groupBy("doc_id", "row_key").count().filter("count > 1")
+    return without(documents, found.filter(~F.col("stays")), run.write(repeated, "repeated"))

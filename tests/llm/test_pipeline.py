@@ -48,3 +48,22 @@ def test_run_packs_what_stays(spark, small):
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_stages_on_repeated_rows_and_an_empty_table(spark, whole, small):
+    few = whole.orderBy("doc_id").limit(40)
+    other = few.select(spark_null("doc_id", "long"), "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, few.limit(0), small).count() == 0
+        once = sorted(map(repr, stage(spark, few, small).collect()))
+        # a table that is loaded twice, and once more without ids
+        if name != "language ID":
+            assert sorted(map(repr, stage(spark, few.union(few).union(other).repartition(5), small).collect())) == once
+            assert stage(spark, other.union(other), small).count() == len(once)
+    assert corpus_pipeline.STAGES[-1][1](spark, few.limit(0), small).count() == 0
+
+
+def spark_null(name, kind):
+    from pyspark.sql import functions as F
+
+    return F.lit(None).cast(kind).alias(name)
