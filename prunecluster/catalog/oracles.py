@@ -243,18 +243,22 @@ def single_run(seed: int) -> str:
     """Metrics of a run of one round: samples drawn with ``seed``, centres taken by hash."""
     parts = query(
         POINTS, COUNTED, SETTING, *ROUND_1,
-        *LAST_1,
+        # a table that is small enough from the start has no round
+        "used AS (SELECT * FROM c_1 WHERE (SELECT n > subset FROM setting))",
+        """ended_1 AS (SELECT point_id, x0, x1, x2, x3 FROM left_1 WHERE (SELECT n > subset FROM setting)
+  UNION ALL SELECT point_id, x0, x1, x2, x3 FROM pts WHERE (SELECT n <= subset FROM setting))""",
+        *[part.replace("left_1", "ended_1") for part in LAST_1],
         """candidates AS (
-  SELECT center_id::BIGINT AS center_id, x0, x1, x2, x3 FROM c_1 UNION ALL
-  SELECT place - 1 + (SELECT count(*) FROM c_1), x0, x1, x2, x3 FROM last)""",
+  SELECT center_id::BIGINT AS center_id, x0, x1, x2, x3 FROM used UNION ALL
+  SELECT place - 1 + (SELECT count(*) FROM used), x0, x1, x2, x3 FROM last)""",
         *CANDIDATES[1:],
         """positive AS (SELECT center_id::VARCHAR AS point_id, w, x0, x1, x2, x3 FROM (
   SELECT row_number() OVER (ORDER BY center_id) - 1 AS center_id, weight AS w, x0, x1, x2, x3 FROM weighted WHERE weight > 0))""",
         lowest("final", "positive", "c", K),
         scored("ended", "pts", "final"),
         select="""SELECT (SELECT subset FROM setting)::DOUBLE AS coord_mem, (SELECT count(*) FROM candidates)::DOUBLE AS num_centers,
-  1::DOUBLE AS iterations, (SELECT sum(d2) FROM ended) AS risk_final,
-  ((SELECT remaining FROM rate1) * (SELECT count(*) FROM c_1))::DOUBLE AS comps""",
+  (SELECT (n > subset)::INTEGER::DOUBLE FROM setting) AS iterations, (SELECT sum(d2) FROM ended) AS risk_final,
+  ((SELECT remaining FROM rate1) * (SELECT count(*) FROM used))::DOUBLE AS comps""",
     )
     return parts.replace(f"md5('{SEED}:p", f"md5('{seed}:p")
 
@@ -310,17 +314,20 @@ def pruned_sql(points: str, dataset: str, epsilon: str) -> str:
   FROM pts p CROSS JOIN candidates c GROUP BY p.point_id"""
     return query(
         points, f"size AS (SELECT count(*)::DOUBLE AS n FROM {dataset})", *prune_round(1, "pts", "NULL::DOUBLE", K, f"{epsilon}::DOUBLE"),
-        f"stop AS (SELECT (4 / {epsilon}::DOUBLE) * 5 * pow(n, {epsilon}::DOUBLE) * ln(n) AS most, (SELECT count(*) FROM pruned1) AS rows FROM size)",
-        f"ranked AS (SELECT *, row_number() OVER (ORDER BY {u('c')}, point_id) - 1 AS place FROM pruned1)",
-        """candidates AS (SELECT point_id AS center_id, x0, x1, x2, x3 FROM s1 UNION ALL
-  SELECT CASE WHEN rows > most THEN 'rest ' || place ELSE point_id END, x0, x1, x2, x3 FROM ranked, stop WHERE rows <= most OR place < 5)""",
+        f"stop AS (SELECT (4 / {epsilon}::DOUBLE) * 5 * pow(n, {epsilon}::DOUBLE) * ln(n) AS most, n AS rows FROM size)",
+        # a table that is small enough from the start has no round
+        "ended1 AS (SELECT point_id, x0, x1, x2, x3 FROM pruned1, stop WHERE rows > most UNION ALL SELECT point_id, x0, x1, x2, x3 FROM pts, stop WHERE rows <= most)",
+        "drawn1 AS (SELECT point_id, x0, x1, x2, x3 FROM s1, stop WHERE rows > most)",
+        f"ranked AS (SELECT *, row_number() OVER (ORDER BY {u('c')}, point_id) - 1 AS place, count(*) OVER () AS n_left FROM ended1)",
+        """candidates AS (SELECT point_id AS center_id, x0, x1, x2, x3 FROM drawn1 UNION ALL
+  SELECT CASE WHEN n_left > most THEN 'rest ' || place ELSE point_id END, x0, x1, x2, x3 FROM ranked, stop WHERE n_left <= most OR place < 5)""",
         f"served AS ({near})",
         """positive AS (SELECT c.center_id AS point_id, 1::DOUBLE AS w, any_value(c.x0) AS x0, any_value(c.x1) AS x1, any_value(c.x2) AS x2, any_value(c.x3) AS x3
   FROM candidates c JOIN served s ON s.center_id = c.center_id GROUP BY c.center_id)""",
         lowest("final", "positive", "c", K), scored("ended", "pts", "final"),
         select=f"""SELECT '{dataset}' AS dataset, 0::INTEGER AS steps, 'sample_prune' AS algorithm, 5::INTEGER AS k, {epsilon}::DOUBLE AS epsilon,
   (SELECT count(*) FROM candidates)::DOUBLE AS num_centers_avg, round((SELECT sum(d2) FROM ended), 4) AS final_risk_avg,
-  (SELECT n FROM size) * (SELECT count(*) FROM s1) AS comps_tot_avg""",
+  (SELECT n FROM size) * (SELECT count(*) FROM drawn1) AS comps_tot_avg""",
     )
 
 
