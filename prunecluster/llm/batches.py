@@ -6,6 +6,7 @@ import os
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -145,17 +146,22 @@ class WordIds:
     def _encode_new(self, words: list[bytes]) -> None:
         # Words of letters alone are encoded as one text and told apart by the tokens that end a word: each has
         # one at least, so if there are as many as words, each has one. Otherwise all go one by one.
-        alone = {w: text.isalpha() for w in words for text in [w.decode()]} if self.ends is not None else {}
-        plain = [w for w in words if alone.get(w)]
+        plain, others = [], words
+        if self.ends is not None:
+            others = []
+            for word in words:
+                letters = word.isalpha() or (not word.isascii() and word.decode().isalpha())
+                (plain if letters else others).append(word)
         if plain:
             ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(plain) and stops[-1] == len(ids):
-                data, last = ids.tobytes(), 0
-                for word, stop in zip(plain, (4 * stops).tolist()):
-                    self.known[word] = data[last:stop]
-                    last = stop
-                words = [w for w in words if not alone[w]]
+                ends = (4 * stops).tolist()
+                data = ids.tobytes()
+                self.known.update(zip(plain, [data[i:j] for i, j in zip([0, *ends], ends)]))
+            else:
+                others = words
+        words = others
         codes = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         self.known.update((word, array("I", code.ids).tobytes()) for word, code in zip(words, codes))
 
@@ -164,19 +170,24 @@ class WordIds:
         if not self.splits_marks:
             self._encode_new(list(words))
             return
-        parts = {}
+        known, fresh, made = self.known, set(), []
         for word in words:
-            stem = word.rstrip(MARKS)
-            if stem != word and not ends_in_letter(stem):
-                stem = word
-            mark = word[len(stem) :]
-            if stem.isascii() and b"<|" not in stem:
+            stem, mark = word, b""
+            if word[-1] in MARKS:
+                stem = word.rstrip(MARKS)
+                if ends_in_letter(stem):
+                    mark = word[len(stem) :]
+                    fresh.add(mark)
+                else:
+                    stem = word
+            if stem.isascii() and not stem.islower() and b"<|" not in stem:
                 stem = stem.lower()
-            parts[word] = stem, mark
-        new = {p for pair in parts.values() for p in pair if p}.difference(self.known)
-        self._encode_new(list(new))
-        for word, (stem, mark) in parts.items():
-            self.known[word] = self.known[stem] + self.known[mark] if mark else self.known[stem]
+            fresh.add(stem)
+            if mark or stem != word:
+                made.append((word, stem, mark))
+        self._encode_new([part for part in fresh if part not in known])
+        for word, stem, mark in made:
+            known[word] = known[stem] + known[mark] if mark else known[stem]
 
     def _make_room(self, coming: int) -> None:
         """Forgets long words, which seldom come again; all of them if that isn't enough."""
@@ -187,17 +198,21 @@ class WordIds:
 
     def _ids(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [text.split() for text in texts]  # bytes split at ASCII white space alone
-        # each word is looked up once; those that lack, where any do, are learned together
-        found = [list(map(self.known.get, own)) for own in split]
-        open_ones = [i for i, ids in enumerate(found) if None in ids]
-        unknown = {word for i in open_ones for word, ids in zip(split[i], found[i]) if ids is None}
-        if unknown:
+        words = list(chain.from_iterable(split))
+        # each word is looked up once; those that lack are learned together
+        found, unknown = list(map(self.known.get, words)), ()
+        if None in found:
+            gaps = [i for i, ids in enumerate(found) if ids is None]
+            unknown = {words[i] for i in gaps}
             self._make_room(2 * len(unknown))
             self._learn(unknown)
-            learned = self.known
-            for i in open_ones:
-                found[i] = [learned[word] if ids is None else ids for word, ids in zip(split[i], found[i])]
-        yield from map(b"".join, found)
+            known = self.known
+            for i in gaps:
+                found[i] = known[words[i]]
+        start = 0
+        for own in split:
+            yield b"".join(found[start : start + len(own)])
+            start += len(own)
         for word in unknown:
             if len(word) > KEPT_LENGTH:
                 self.known.pop(word, None)
