@@ -137,3 +137,17 @@ def test_broken_points_are_refused(row, message):
     assert read(pa.array([good, {"size": 4, "indices": [], "values": []}, good], kind))[0].tolist() == [0, 2, 2, 4]
     with pytest.raises(ValueError, match=message):
         read(pa.array([good, bad], kind))
+
+
+def test_points_meet_their_levels_once(spark):
+    rows = [(1, "b", "x", 2.0), (2, "a", None, None), (3, None, "y", 1.0), (3, "b", "x", 2.0), (None, "c", "x", 0.5)]
+    df = spark.createDataFrame(rows, "id int, first string, place_0 string, number double")
+    points = prep.one_hot_points(df, [F.col("id"), F.col("number") + 1], ["first", "place_0"], ["number"])
+    # a pass over the points reads a written table, it joins and moves nothing
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    found = sorted((r.point_id, tuple(r.x.indices), tuple(r.x["values"])) for r in points.collect())
+    assert found == [
+        ("1.5", (0, 3, 4), (0.5, 1.0, 1.0)), ("1:3.0", (0, 2, 4), (2.0, 1.0, 1.0)), ("2", (0, 1), (0.0, 1.0)),
+        ("3:2.0", (0, 5), (1.0, 1.0)), ("3:3.0", (0, 2, 4), (2.0, 1.0, 1.0)),
+    ]
