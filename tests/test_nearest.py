@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from brute_force import all_d2
 from prunecluster.functions.centers import Centers
-from prunecluster.functions.distance import squared_distance
+from prunecluster.functions.distance import nearest_finder, squared_distance
 from prunecluster.operators import cost, nearest
 from prunecluster.storage import RunTables
 
@@ -174,3 +174,36 @@ def test_far_blocks_are_not_measured(spark, make_points, monkeypatch):
         places.setdefault(r.center_id // 50, set()).add(r.place)
     spans = sorted((min(p), max(p)) for p in places.values())
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))  # each corner is a stretch of its own
+
+
+def test_work_hardly_grows_with_the_number_of_centres():
+    import time
+
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(10_000, 4))
+    centers = rng.normal(size=(60_000, 4))
+    seconds = {}
+    for k in (15_000, 60_000):
+        find = nearest_finder(centers[:k])
+        find(points[:10])
+        seconds[k] = min(_timed(time.process_time, lambda: find(points)) for _ in range(3))
+    assert seconds[60_000] < 2.8 * seconds[15_000]
+    d2, where = find(points[:300])
+    every = all_d2(points[:300], centers)
+    assert (where == every.argmin(axis=1)).all() and np.allclose(d2, every.min(axis=1), rtol=1e-12)
+
+
+def _timed(clock, work):
+    start = clock()
+    work()
+    return clock() - start
+
+
+@pytest.mark.parametrize("dims", [1, 4, 9, 40])
+def test_boxes_give_the_first_of_equal_centres(dims):
+    rng = np.random.default_rng(12)
+    for k in (512, 700, 5000):
+        centers, points = rng.integers(0, 12, (k, dims)).astype(float), rng.integers(0, 14, (600, dims)).astype(float)
+        d2, where = nearest_finder(centers)(points)
+        every = all_d2(points, centers)
+        assert (where == every.argmin(axis=1)).all() and (d2 == every.min(axis=1)).all()
