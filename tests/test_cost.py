@@ -88,3 +88,14 @@ def test_hot_centre_is_summed_before_the_exchange(make_points, lattice_matrix):
     plan = cost.weight_table(make_points(lattice_matrix), Centers(lattice_matrix[:4]))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in text
+
+
+def test_sets_in_blocks_share_a_pass(make_points, lattice_matrix):
+    points = make_points(lattice_matrix).select("x")
+    sets = {"d0": Centers(lattice_matrix[:3]), "d1": Centers(lattice_matrix[:9]), "d2": Centers(lattice_matrix[:30])}
+    found = nearest.with_distances(points, sets, max_bytes=100)
+    # one Python process for each task, whatever the number of sets
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for r in found.collect():
+        for name, centers in sets.items():
+            assert r[name] == all_d2([r.x], centers.matrix).min()
