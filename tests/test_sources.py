@@ -236,3 +236,9 @@ def test_a_stopped_sweep_goes_on(spark, make_points, lattice_matrix, monkeypatch
     # all are there: nothing is loaded or run
     again = evaluate.run_sweep(spark, lambda name: 1 / 0, names, **options)
     assert sorted(map(repr, again.collect())) == sorted(map(repr, rows))
+
+
+def test_spread_deals_out_by_the_splits(spark):
+    assert prep.spread(spark.range(0, 1000, numPartitions=9), per_split=16).rdd.getNumPartitions() == 144
+    found = prep.spread(spark.range(100).coalesce(1), per_split=2)
+    assert found.rdd.getNumPartitions() == 8 and sorted(r.id for r in found.collect()) == list(range(100))
