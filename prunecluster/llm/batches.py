@@ -28,6 +28,18 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(texts: list[bytes | None], together: int) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive texts that have about ``together`` bytes."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or b"")
+        if size >= together:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def to_batches(rows: Iterable[tuple], schema: pa.Schema, weigh=None) -> Iterator[pa.RecordBatch]:
     """Rows as record batches. ``weigh`` gives the bytes of a row where they vary widely."""
     kept, size = [], 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prunecluster.llm.batches import as_bytes, id_and_text, map_rows
+from prunecluster.llm.batches import as_bytes, id_and_text, map_rows, slices
 from prunecluster.storage import RunTables
 
 UNKNOWN = "und"
@@ -280,18 +280,6 @@ def fit(documents: DataFrame, vocabulary: list[str], per_language: int = 2000, r
     return Model(languages, vocabulary, weights)
 
 
-def _slices(texts: list[bytes | None]):
-    """Bounds of consecutive texts that have about TEXT_AT_ONCE bytes together."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or b"")
-        if size >= TEXT_AT_ONCE:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
@@ -304,7 +292,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            for start, end in _slices(texts):
+            for start, end in slices(texts, TEXT_AT_ONCE):
                 for i, (language, score) in enumerate(model.predict(texts[start:end]), start):
                     yield ids[i], held[i], language, score
 
@@ -339,7 +327,7 @@ def keep_languages(documents: DataFrame, least: float = 0.5, per_language: int =
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             good = []
-            for start, end in _slices(texts):
+            for start, end in slices(texts, TEXT_AT_ONCE):
                 good.extend(l != UNKNOWN and s >= least for l, s in model.predict(texts[start:end]))
             yield batch.filter(pa.array(good, pa.bool_()))
 

@@ -21,17 +21,20 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prunecluster.llm.batches import as_bytes, id_and_text, map_rows
+from prunecluster.llm.batches import as_bytes, id_and_text, map_rows, slices
 from prunecluster.storage import RunTables
 
 SPACE = "▁"
 #: Characters of a chunk; words and ids that are remembered; lowest score of all.
 CHUNK, KEPT_WORDS, KEPT_LENGTH, SHORT_WORD, NEVER = 1 << 15, 500_000, 64, 9, -(1 << 62)
+#: Bytes of texts encoded together; fewest words that are solved together, and most.
+TEXT_AT_ONCE, FEW_WORDS, WORDS_AT_ONCE = 1 << 19, 48, 4096
 MARKS = ".,;:!?"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 STARTS = re.compile(f"(?<=[^{SPACE}]){SPACE}")
@@ -46,6 +49,93 @@ def public_model(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class Steps:
+    """Best segmentations of many words at once: ``Lattice.solve`` for all words together, position by position.
+
+    Beginnings of pieces are numbered; a step leads from one to the next by a character.
+    """
+
+    def __init__(self, lattice: "Lattice"):
+        starts = sorted(lattice.begins)  # each behind its own beginning
+        number = {start: i + 1 for i, start in enumerate(starts)} | {"": 0}
+        chars = sorted({start[-1] for start in starts})
+        self.width = len(chars) + 1
+        self.code = np.zeros(0x110000, np.int32)  # 0: a character of no piece
+        self.code[[ord(c) for c in chars]] = np.arange(1, self.width)
+        before = np.array([number[start[:-1]] for start in starts], np.int64)
+        keys = before * self.width + self.code[[ord(start[-1]) for start in starts]]
+        order = np.argsort(keys)
+        self.keys, self.after = keys[order], order + 1
+        self.score = np.array([NEVER] + [lattice.begins[start] for start in starts], np.int64)
+        self.number = np.array([-1] + [lattice.number.get(start, -1) for start in starts], np.int64)
+        self.stray, self.longest, self.bytes = lattice.stray, lattice.longest, lattice.bytes
+
+    def solve(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids, four bytes each, and score of each word."""
+        n, lengths = len(words), np.array([len(w) for w in words])
+        order = np.argsort(-lengths, kind="stable")  # the words that reach a position come first
+        lengths = lengths[order]
+        width, points = int(lengths[0]), np.frombuffer("".join([words[i] for i in order]).encode("utf-32-le"), "<u4")
+        reach = np.searchsorted(-lengths, -np.arange(width), side="left")  # words of more than ``at`` characters
+        first = np.cumsum(lengths) - lengths
+        codes = [self.code[points[first[:count] + at]] for at, count in enumerate(reach)]
+        best = np.full((width + 1, n), NEVER, np.int64)
+        size_of, piece = np.zeros((width + 1, n), np.int32), np.full((width + 1, n), -1, np.int64)
+        best[0] = 0
+        for at, count in enumerate(reach):
+            here, alive, state = best[at], np.arange(count), np.zeros(count, np.int64)
+            for size in range(1, min(self.longest, width - at) + 1):
+                end = at + size
+                held = np.searchsorted(alive, reach[end - 1])
+                alive, state = alive[:held], state[:held]
+                key = state * self.width + codes[end - 1][alive]
+                step = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                known = self.keys[step] == key
+                state = np.where(known, self.after[step], 0)
+                own = self.score[state]
+                if size == 1:
+                    own = np.where(own > NEVER, own, self.stray)
+                rows = np.flatnonzero(own > NEVER)
+                value = own[rows] + here[alive[rows]]
+                rows, value = (kept[value > best[end, alive[rows]]] for kept in (rows, value))
+                best[end, alive[rows]], size_of[end, alive[rows]], piece[end, alive[rows]] = value, size, self.number[state[rows]]
+                alive, state = alive[known], state[known]
+                if not len(alive):
+                    break
+        # The ends of the pieces on the way back.
+        ends, rows, at = np.zeros((n, width + 1), bool), np.arange(n), lengths.copy()
+        while len(rows):
+            ends[rows, at] = True
+            at = at - size_of[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
+        row, end = np.nonzero(ends)
+        ids = piece[end, row]
+        strays = np.flatnonzero(ids < 0)
+        if len(strays):
+            ids, row = self._with_bytes(ids, row, strays, points[first[row[strays]] + end[strays] - 1])
+        stops = 4 * np.cumsum(np.bincount(row, minlength=n))
+        data, ends_at = ids.astype("<u4").tobytes(), stops.tolist()
+        found: list[bytes] = [b""] * n
+        total = [0] * n
+        scores = best[lengths, np.arange(n)].tolist()
+        for place, start, stop, score in zip(order.tolist(), [0, *ends_at], ends_at, scores):
+            found[place], total[place] = data[start:stop], score
+        return found, total
+
+    def _with_bytes(self, ids, row, strays, points) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that are no piece in place of the ids ``strays`` become those of their bytes."""
+        different, which = np.unique(points, return_inverse=True)
+        coded = [chr(c).encode() for c in different.tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[strays] = np.array([len(c) for c in coded])[which]
+        first = (np.cumsum(times) - times)[strays]
+        ids, row = np.repeat(ids, times), np.repeat(row, times)
+        for place in range(4):
+            byte = np.array([self.bytes[c[place]] if place < len(c) else -1 for c in coded])[which]
+            ids[first[byte >= 0] + place] = byte[byte >= 0]
+        return ids, row
+
+
 class Lattice:
     """Best segmentations over the pieces of a model file."""
 
@@ -76,6 +166,7 @@ class Lattice:
         }
         self.known: dict[str, bytes] = {}
         self.total: dict[str, int] = {}
+        self.steps = Steps(self)
 
     def solve(self, text: str, starts: dict[int, int], inside: int) -> tuple[list[int], list[int]]:
         """Best scores of all positions from scored ``starts``, and where the last piece began (-1: a start).
@@ -115,22 +206,34 @@ class Lattice:
         return ids, end
 
     def _learn(self, words: set[str]) -> None:
+        fresh, made = set(), []
         for word in words:
             stem = word.rstrip(MARKS)
             if stem and stem != word and word[len(stem) - 1 : len(stem) + 1] not in self.joined:
-                for part in (stem, word[len(stem) :]):
-                    if part not in self.known:
-                        self._solve_word(part)
-                mark = word[len(stem) :]
-                self.known[word] = self.known[stem] + self.known[mark]
-                self.total[word] = self.total[stem] + self.total[mark]
-            elif word not in self.known:
-                self._solve_word(word)
-
-    def _solve_word(self, word: str) -> None:
-        best, back = self.solve(word, {0: 0}, len(word))
-        self.known[word] = array("I", self.follow(word, back, len(word))[0]).tobytes()
-        self.total[word] = best[-1]
+                fresh.add(stem)
+                fresh.add(word[len(stem) :])
+                made.append((word, stem, word[len(stem) :]))
+            else:
+                fresh.add(word)
+        self._solve_words([word for word in fresh if word not in self.known])
+        for word, stem, mark in made:
+            self.known[word] = self.known[stem] + self.known[mark]
+            self.total[word] = self.total[stem] + self.total[mark]
+
+    def _solve_words(self, words: list[str]) -> None:
+        alone = words
+        if len(words) >= FEW_WORDS:
+            alone = [word for word in words if len(word) > KEPT_LENGTH]
+            others = sorted((word for word in words if len(word) <= KEPT_LENGTH), key=len)
+            for start in range(0, len(others), WORDS_AT_ONCE):
+                together = others[start : start + WORDS_AT_ONCE]
+                ids, scores = self.steps.solve(together)
+                self.known.update(zip(together, ids))
+                self.total.update(zip(together, scores))
+        for word in alone:
+            best, back = self.solve(word, {0: 0}, len(word))
+            self.known[word] = array("I", self.follow(word, back, len(word))[0]).tobytes()
+            self.total[word] = best[-1]
 
     def _make_room(self, coming: int) -> None:
         """Forgets long words, which seldom come again; all of them if that isn't enough."""
@@ -141,33 +244,51 @@ class Lattice:
             self.known = {w: self.known[w] for w in short}
             self.total = {w: self.total[w] for w in short}
 
-    def words(self, words: list[str], scored: bool = True) -> tuple[bytes, int]:
-        """Ids, four bytes each, and score (0 if not asked for) of consecutive words."""
+    def _ids(self, words: list[str], scored: bool) -> tuple[list[bytes], int]:
+        """Ids of each word, and the score of all (0 if not asked for)."""
         found, unknown = list(map(self.known.get, words)), ()
         if None in found:
-            unknown = {word for word, ids in zip(words, found) if ids is None}
+            gaps = [i for i, ids in enumerate(found) if ids is None]
+            unknown = {words[i] for i in gaps}
             self._make_room(2 * len(unknown))
             if scored:  # what was forgotten just now has lost its score
                 unknown = set(words).difference(self.known)
             self._learn(unknown)
             known = self.known
-            found = [known[word] if ids is None else ids for word, ids in zip(words, found)]
+            for i in gaps:
+                found[i] = known[words[i]]
         total = sum(map(self.total.__getitem__, words)) if scored else 0
         for word in unknown:
             if len(word) > KEPT_LENGTH:
                 self.known.pop(word, None)
                 self.total.pop(word, None)
+        return found, total
+
+    def words(self, words: list[str], scored: bool = True) -> tuple[bytes, int]:
+        """Ids, four bytes each, and score (0 if not asked for) of consecutive words."""
+        found, total = self._ids(words, scored)
         return b"".join(found), total
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text in one go."""
+    def _words_of(self, text: str) -> list[str]:
         if not text:
-            return b""
+            return []
         escaped = SPACE + text.replace(" ", SPACE)
         # Where every space stands alone, splitting at it is the same and faster.
         lonely = 2 * SPACE not in escaped and escaped[-1] != SPACE
-        words = list(map(SPACE.__add__, escaped[1:].split(SPACE))) if lonely else WORDS.findall(escaped)
-        return self.words(words, scored=False)[0]
+        return list(map(SPACE.__add__, escaped[1:].split(SPACE))) if lonely else WORDS.findall(escaped)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text in one go."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts; words that are new are solved together."""
+        split = [self._words_of(text) for text in texts]
+        found, start, out = self._ids(list(chain.from_iterable(split)), scored=False)[0], 0, []
+        for words in split:
+            out.append(b"".join(found[start : start + len(words)]))
+            start += len(words)
+        return out
 
     def decode(self, ids: np.ndarray, first: bool = True) -> bytes:
         text = b"".join(map(self.text.__getitem__, ids.tolist()))
@@ -360,8 +481,11 @@ def encode(documents: DataFrame, model_file: str, size: int = CHUNK) -> DataFram
     def make(batches):
         lattice = lattice_of(model_file)
         for batch in batches:
-            for doc_id, key, data in zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), as_bytes(batch.column("text"))):
-                yield doc_id, key, 1, zlib.crc32(data), 0, 1, lattice.encode(data.decode())
+            ids, keys, texts = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), as_bytes(batch.column("text"))
+            for start, end in slices(texts, TEXT_AT_ONCE):
+                encoded = lattice.encode_all([data.decode() for data in texts[start:end]])
+                for doc_id, key, data, found in zip(ids[start:end], keys[start:end], texts[start:end], encoded):
+                    yield doc_id, key, 1, zlib.crc32(data), 0, 1, found
 
     short = map_rows(keyed.filter(~is_long), make, ENCODED, weigh=lambda row: len(row[6]))
     return short.union(_long(keyed.filter(is_long), model_file, size, run))

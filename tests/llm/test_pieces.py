@@ -74,6 +74,20 @@ def test_any_text(text, size):
     assert own.lattice.decode(np.frombuffer(ids, "<u4")).decode() == text
 
 
+def test_new_words_are_solved_together(lattice, monkeypatch):
+    rng = np.random.default_rng(3)
+    letters = list("theandoriné½日\n.,!%A0")
+    words = {"".join(rng.choice(letters, n)) for n in rng.integers(1, 40, 400)} | {"x" * 70}
+    texts = [" ".join(sorted(words)[i::3]) for i in range(3)]
+    fresh, one_by_one = p.Lattice(p.public_model()), []
+    own = p.Lattice.solve
+    monkeypatch.setattr(p.Lattice, "solve", lambda *given: one_by_one.append(given[1]) or own(*given))
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in fresh.encode_all(texts)] == [slow(lattice, t) for t in texts]
+    assert one_by_one == [p.SPACE + "x" * 70]
+    for word, total in fresh.total.items():
+        assert total == own(lattice, word, {0: 0}, len(word))[0][-1]
+
+
 def test_matrices_combine_in_any_grouping(lattice):
     rng = np.random.default_rng(0)
     a, b, c = (np.where(rng.random((5, 5)) < 0.3, p.NEVER, rng.integers(-99, 0, (5, 5))) for _ in range(3))
