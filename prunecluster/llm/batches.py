@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,16 +28,35 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(texts: list[bytes | None], together: int) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive texts that have about ``together`` bytes."""
+def text_slices(column: pa.Array, together: int) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(first, texts) of consecutive texts that have about ``together`` bytes; no more than these are copied at once."""
+    data = column.cast(pa.binary())
     start, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or b"")
+    for i, n in enumerate(pc.fill_null(pc.binary_length(data), 0).to_pylist()):
+        size += n
         if size >= together:
-            yield start, i + 1
+            yield start, data.slice(start, i + 1 - start).to_pylist()
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(data):
+        yield start, data.slice(start).to_pylist()
+
+
+#: What this Python worker keeps for all tasks of a stage: one helper at most, by its kind and name.
+_kept: dict[tuple, object] = {}
+
+
+def kept(kind: str, name: str, make):
+    """``make()``, once for all tasks of a Python worker until a stage comes that doesn't keep this kind."""
+    if (kind, name) not in _kept:
+        _kept.clear()
+        _kept[kind, name] = make()
+    return _kept[kind, name]
+
+
+def let_go(keeps: str | None) -> None:
+    """Lets what an earlier stage kept go, unless it is of the kind that this one keeps: workers outlive stages."""
+    if any(kind != keeps for kind, _ in _kept):
+        _kept.clear()
 
 
 def to_batches(rows: Iterable[tuple], schema: pa.Schema, weigh=None) -> Iterator[pa.RecordBatch]:
@@ -59,12 +78,16 @@ def to_batches(rows: Iterable[tuple], schema: pa.Schema, weigh=None) -> Iterator
         yield batch()
 
 
-def map_rows(df: DataFrame, make, ddl: str, weigh=None) -> DataFrame:
-    """``make`` takes the record batches of a partition and yields tuples of the columns in ``ddl``."""
+def map_rows(df: DataFrame, make, ddl: str, weigh=None, keeps: str | None = None) -> DataFrame:
+    """``make`` takes the record batches of a partition and yields tuples of the columns in ``ddl``.
+
+    ``keeps`` is the kind of helper that it asks ``kept`` for.
+    """
 
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches):
+        let_go(keeps)
         return to_batches(make(batches), schema, weigh)
 
     return df.mapInArrow(run, ddl)
@@ -104,8 +127,10 @@ def without(documents: DataFrame, dropped: DataFrame, repeated: DataFrame | None
 def doc_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, UTF-8 text) of each row, null texts as empty ones."""
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
-            yield doc_id, text or b""
+        ids = batch.column("doc_id").to_pylist()
+        for start, texts in text_slices(batch.column("text"), TEXT_AT_ONCE):
+            for doc_id, text in zip(ids[start:], texts):
+                yield doc_id, text or b""
 
 
 def task_number() -> int:
@@ -244,10 +269,9 @@ class WordIds:
         yield from zip([i for i, _ in held], self._ids([t for _, t in held]))
 
 
-@lru_cache(maxsize=1)
 def word_ids(tokenizer_file: str) -> WordIds:
-    """One for all tasks of a Python worker."""
-    return WordIds(tokenizer_file)
+    """One for all tasks of a stage in a Python worker; the stage keeps "ids"."""
+    return kept("ids", tokenizer_file, lambda: WordIds(tokenizer_file))
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:

@@ -10,13 +10,14 @@ together, position by position; each different word is scored once while it is r
 from __future__ import annotations
 
 import re
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prunecluster.llm.batches import as_bytes, id_and_text, map_rows, slices
+from prunecluster.llm.batches import as_bytes, id_and_text, kept, let_go, map_rows, text_slices
 from prunecluster.storage import RunTables
 
 UNKNOWN = "und"
@@ -28,7 +29,7 @@ STRAY = 1e-9
 #: Count that every piece has in every language before any text is seen.
 PRIOR = 0.05
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-KEPT_WORDS, WORDS_AT_ONCE, TEXT_AT_ONCE, RESCALED = 400_000, 20_000, 2 << 20, 16
+KEPT_WORDS, WORDS_AT_ONCE, TEXT_AT_ONCE, RESCALED = 200_000, 20_000, 2 << 20, 16
 
 
 def public_pieces(name: str = "piece_bpe_32k.model") -> list[str]:
@@ -208,16 +209,15 @@ class Model:
     """Piece probabilities (pieces x languages): bounded by the vocabulary and the labels."""
 
     def __init__(self, languages: list[str], vocabulary: list[str], weights: np.ndarray):
-        self.languages, self.vocabulary, self.weights = languages, vocabulary, weights
+        self.languages, self.vocabulary, self.weights, self.name = languages, vocabulary, weights, uuid4().hex
 
     def predict(self, texts: list[bytes | None]):
         """(language, score) of each text; the score is the language's share of all probabilities."""
         if not self.languages:
             yield from ((UNKNOWN, 0.0) for _ in texts)
             return
-        if not hasattr(self, "scorer"):
-            self.scorer = Scorer(Pieces(self.vocabulary), self.weights)
-        for total in self.scorer.totals([t or b"" for t in texts]):
+        scorer = kept("language", self.name, lambda: Scorer(Pieces(self.vocabulary), self.weights))
+        for total in scorer.totals([t or b"" for t in texts]):
             if total is None:
                 yield UNKNOWN, 0.0
             else:
@@ -290,15 +290,14 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
     def make(batches):
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
             ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
-            for start, end in slices(texts, TEXT_AT_ONCE):
-                for i, (language, score) in enumerate(model.predict(texts[start:end]), start):
+            for start, texts in text_slices(batch.column("text"), TEXT_AT_ONCE):
+                for i, (language, score) in enumerate(model.predict(texts), start):
                     yield ids[i], held[i], language, score
 
     return map_rows(
         id_and_text(documents).withColumn("held_out", held_out()), make,
-        "doc_id long, held_out boolean, lang_pred string, score double",
+        "doc_id long, held_out boolean, lang_pred string, score double", keeps="language",
     )
 
 
@@ -324,11 +323,10 @@ def keep_languages(documents: DataFrame, least: float = 0.5, per_language: int =
     model = fit(documents, public_pieces(), per_language, rounds)
 
     def keep(batches):
+        let_go("language")
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            good = []
-            for start, end in slices(texts, TEXT_AT_ONCE):
-                good.extend(l != UNKNOWN and s >= least for l, s in model.predict(texts[start:end]))
-            yield batch.filter(pa.array(good, pa.bool_()))
+            for start, texts in text_slices(batch.column("text"), TEXT_AT_ONCE):
+                good = [l != UNKNOWN and s >= least for l, s in model.predict(texts)]
+                yield batch.slice(start, len(texts)).filter(pa.array(good, pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)

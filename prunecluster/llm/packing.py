@@ -81,7 +81,7 @@ def _pieces(documents: DataFrame, tokenizer_file: str, end_id: int, capacity: in
                 yield part, doc_id, piece, at // 4, length, seen[length], zlib.crc32(data)
                 seen[length] += 1
 
-    return map_rows(id_and_text(documents), make, PIECES)
+    return map_rows(id_and_text(documents), make, PIECES, keeps="ids")
 
 
 def pack_documents(documents: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

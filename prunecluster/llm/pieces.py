@@ -20,14 +20,15 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from functools import lru_cache
+from functools import partial
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prunecluster.llm.batches import as_bytes, id_and_text, map_rows, slices
+from prunecluster.llm.batches import as_bytes, id_and_text, kept, text_slices
+from prunecluster.llm.batches import map_rows as map_rows_of
 from prunecluster.storage import RunTables
 
 SPACE = "▁"
@@ -43,6 +44,9 @@ ENCODED = "doc_id long, row_key long, copies long, source_crc long, chunk long,
 CRC_POLYNOMIAL = 0xEDB88320
 
 
+map_rows = partial(map_rows_of, keeps="lattice")
+
+
 def public_model(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
@@ -295,10 +299,9 @@ class Lattice:
         return text[1:] if first and text[:1] == b" " else text
 
 
-@lru_cache(maxsize=1)
 def lattice_of(model_file: str) -> Lattice:
-    """One for all tasks of a Python worker."""
-    return Lattice(model_file)
+    """One for all tasks of a Python worker; every stage here keeps a "lattice"."""
+    return kept("lattice", model_file, lambda: Lattice(model_file))
 
 
 class Chunk:
@@ -481,10 +484,10 @@ def encode(documents: DataFrame, model_file: str, size: int = CHUNK) -> DataFram
     def make(batches):
         lattice = lattice_of(model_file)
         for batch in batches:
-            ids, keys, texts = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), as_bytes(batch.column("text"))
-            for start, end in slices(texts, TEXT_AT_ONCE):
-                encoded = lattice.encode_all([data.decode() for data in texts[start:end]])
-                for doc_id, key, data, found in zip(ids[start:end], keys[start:end], texts[start:end], encoded):
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist()
+            for start, texts in text_slices(batch.column("text"), TEXT_AT_ONCE):
+                encoded = lattice.encode_all([data.decode() for data in texts])
+                for doc_id, key, data, found in zip(ids[start:], keys[start:], texts, encoded):
                     yield doc_id, key, 1, zlib.crc32(data), 0, 1, found
 
     short = map_rows(keyed.filter(~is_long), make, ENCODED, weigh=lambda row: len(row[6]))

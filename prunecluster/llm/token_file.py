@@ -169,7 +169,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_file: str, end_id:
             sink.close()
             yield task_number(), f"{folder}/{name}", len(writer.docs), writer.n_ids
 
-    return run.write(map_rows(ordered, make, MANIFEST), "manifest")
+    return run.write(map_rows(ordered, make, MANIFEST, keeps="ids"), "manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

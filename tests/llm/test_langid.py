@@ -99,3 +99,24 @@ def test_held_out_accuracy(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = g.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null").collect()
     assert rows and sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
+
+
+def test_a_worker_keeps_what_one_stage_needs():
+    import pyarrow as pa
+
+    from prunecluster.llm import batches as b
+
+    model = g.Model(["x", "y"], VOCABULARY, np.full((len(VOCABULARY), 2), 1 / len(VOCABULARY)))
+    b.word_ids(b.public_tokenizer())
+    list(model.predict([b"ab ba"]))
+    assert [kind for kind, _ in b._kept] == ["language"]
+    scorer = b._kept["language", model.name]
+    b.let_go("language")
+    list(model.predict([b"ab"]))
+    assert b._kept == {("language", model.name): scorer}
+    b.let_go(None)
+    assert not b._kept
+    column = pa.array(["x" * n if n else None for n in [3, 0, 9, 1, 1, 30]])
+    found = list(b.text_slices(column, 10))
+    assert found == [(0, [b"xxx", None, b"x" * 9]), (3, [b"x", b"x", b"x" * 30])]
+    assert list(b.text_slices(column.slice(4), 10)) == [(0, [b"x", b"x" * 30])] and not list(b.text_slices(column[:0], 10))
