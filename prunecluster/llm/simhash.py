@@ -288,10 +288,17 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def in_common(first: np.ndarray, second: np.ndarray) -> int:
+    return len(np.intersect1d(first, second, assume_unique=True))
+
+
 def are_near(first: np.ndarray, second: np.ndarray) -> bool:
     """Whether two sets have 0.8 of what is in either in common."""
-    common = len(np.intersect1d(first, second, assume_unique=True))
-    return FIVE * common >= FOUR * (len(first) + len(second) - common)
+    return _enough(in_common(first, second), len(first), len(second))
+
+
+def _enough(common: int, first: int, second: int) -> bool:
+    return FIVE * common >= FOUR * (first + second - common)
 
 
 def _sizes_allow(a: str, b: str):
@@ -333,20 +340,21 @@ def _sets(documents: DataFrame, wanted: DataFrame, nodes: DataFrame, run: RunTab
 
 
 def _near(pairs: DataFrame, sets: DataFrame, run: RunTables, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have 0.8 in common."""
+    """(a, b, common, near) of pairs of nodes: the shingles in common, and whether these are 0.8 of what is in either."""
 
     def compare(batches):
         for batch in batches:
             first, second = batch.column("first"), batch.column("second")
             for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
-                if are_near(first[i].values.to_numpy(), second[i].values.to_numpy()):
-                    yield a, b
+                one, other = first[i].values.to_numpy(), second[i].values.to_numpy()
+                common = in_common(one, other)
+                yield a, b, common, _enough(common, len(one), len(other))
 
     both = (
         pairs.join(sets.withColumnsRenamed({"node": "a", "own": "first"}), "a")
         .join(sets.withColumnsRenamed({"node": "b", "own": "second"}), "b")
     )
-    return run.write(map_rows(both, compare, "a long, b long"), f"{name}-near")
+    return run.write(map_rows(both, compare, "a long, b long, common long, near boolean"), f"{name}-near")
 
 
 def _alone(shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -357,13 +365,18 @@ def _alone(shared: DataFrame, sets: DataFrame) -> DataFrame:
     return single.groupBy("node").agg(F.count("*").alias("alone"))
 
 
-def _missed(shared: DataFrame, joined: DataFrame) -> DataFrame:
+def _missed(shared: DataFrame, joined: DataFrame, met: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket in different components that may be near and have not been looked at.
 
     One of them, a, lies outside of the component of the bucket's first node. Of its |a| shingles those that stand
     alone are not in b, so the two have at most |a| - alone in common and |b| + alone in either: b has to
     have 1.25 |a| - 2.25 alone shingles or fewer, and 0.8 |a| or more. In a crowded bucket rows meet by bins of
     sizes, so that a row finds those of such sizes only; the same bound holds the other way round.
+
+    There ``met`` also tells how many shingles of the first node, f, each row lacks, and how many of its own are not in f
+    and yet in others. Two rows have in common at most what f has, less the greater lack, and the lesser number of
+    such others. As a is not near f, a row b with e shingles that f lacks, s of them in others, is near a only if
+    9 s > 4 e - 4 of those it lacks: copies of f with changes of their own meet nobody.
     """
     of_node = joined.withColumnRenamed("component", "own")
     of_first = joined.select(F.col("node").alias("first"), F.col("component").alias("its"))
@@ -377,24 +390,39 @@ def _missed(shared: DataFrame, joined: DataFrame) -> DataFrame:
     low = F.ceil(FOUR * F.col("size") / FIVE)
     first, last = F.col("size_b") >= F.col("low_a"), F.col("size_b") <= F.col("most_a")
     apart = (F.col("own_a") != F.col("own_b")) & first & last & (F.col("size_a") <= F.col("most_b"))
+    in_common = F.col("size_first_a") - F.greatest("lacks_a", "lacks_b") + F.least("others_a", "others_b")
+    reach = (FOUR + FIVE) * in_common >= FOUR * (F.col("size_a") + F.col("size_b"))
 
-    def side(df, end):
+    def side(df, end, *more):
         return df.select(
             "key", "bin", F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("most").alias(f"most_{end}"),
-            low.alias(f"low_{end}"), F.col("own").alias(f"own_{end}"),
+            low.alias(f"low_{end}"), F.col("own").alias(f"own_{end}"), *(F.col(c).alias(f"{c}_{end}") for c in more),
         )
 
     def bin_of(size):
         return F.floor(F.ln(size) * BINS).cast("int")
 
+    def pairs(one, every, found):
+        same = (one.key == every.key) & (one.bin == every.bin)
+        return one.join(every, same & found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
     # Few members meet as they are; many by the bins that their sizes allow.
     few = rows.filter(F.col("members") <= FEW).withColumn("bin", F.lit(0))
-    many = rows.filter(F.col("members") > FEW)
+    ends = (F.least("first", "node") == F.col("a")) & (F.greatest("first", "node") == F.col("b"))
+    many = (
+        rows.filter(F.col("members") > FEW).join(met.select("a", "b", "common"), ends)
+        .withColumn("lacks", F.col("size_first") - F.col("common"))
+        .withColumn("others", F.col("size") - F.col("common") - F.col("alone"))
+    )
+    found = (FOUR + FIVE) * F.col("others") > FOUR * (F.col("size") - F.col("size_first"))
     bins = F.explode(F.sequence(bin_of(low), bin_of(F.col("most"))))
-    one = side(few.filter("outside"), "a").union(side(many.filter("outside").withColumn("bin", bins), "a"))
-    every = side(few, "b").union(side(many.withColumn("bin", bin_of(F.col("size"))), "b"))
-    same = (one.key == every.key) & (one.bin == every.bin)
-    return one.join(every, same & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    some = pairs(side(few.filter("outside"), "a"), side(few, "b"), apart)
+    more = pairs(
+        side(many.filter("outside").withColumn("bin", bins), "a", "size_first", "lacks", "others"),
+        side(many.filter(found).withColumn("bin", bin_of(F.col("size"))), "b", "lacks", "others"),
+        apart & reach,
+    )
+    return some.union(more).distinct()
 
 
 def _near_components(documents: DataFrame, most: int, shingle: int, tables: int) -> DataFrame:
@@ -430,11 +458,14 @@ def _near_components(documents: DataFrame, most: int, shingle: int, tables: int)
     known = shared.join(run.write(_alone(shared, sets), "alone"), "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     firsts = known.groupBy("key").agg(F.min(F.struct("alone", "node", "size")).alias("of"))
     shared = run.write(known.join(firsts.select("key", F.col("of.node").alias("first"), F.col("of.size").alias("size_first")), "key"), "led")
-    pairs = shared.filter(F.col("node") != F.col("first")).filter(_sizes_allow("size", "size_first")).select("first", "node").union(close.select("a", "b"))
+    # In a crowded bucket all meet the first one, as what they have in common with it tells which others can be near.
+    meet = (F.col("members") > FEW) | _sizes_allow("size", "size_first")
+    pairs = shared.filter(F.col("node") != F.col("first")).filter(meet).select("first", "node").union(close.select("a", "b"))
     pairs = pairs.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
-    links = _near(pairs, sets, run, "first")
+    met = _near(pairs, sets, run, "first")
+    links = met.filter("near").select("a", "b")
     joined = run.write(components(links, run), "joined")
-    links = links.union(_near(_missed(shared, joined), sets, run, "missed"))
+    links = links.union(_near(_missed(shared, joined, met), sets, run, "missed").filter("near").select("a", "b"))
     joined = components(links, run, "all").withColumnRenamed("component", "of_links")
     run.drop("sets")
     of_node = nodes.select("node", "row").join(joined, "node", "left").withColumn("of_links", F.coalesce("of_links", "node"))

@@ -223,3 +223,28 @@ def test_a_passage_in_many_texts_makes_no_pairs(make_docs, monkeypatch):
     monkeypatch.setattr(s, "_near", lambda pairs, *rest: looked.append(pairs.count()) or real(pairs, *rest))
     assert s.drop_near_copies(make_docs(list(enumerate(texts)))).count() == 300
     assert sum(looked) < 20 * 300 and looked[1] == 0
+
+
+def test_copies_far_from_the_text_but_not_from_each_other_make_few_pairs(make_docs, monkeypatch):
+    monkeypatch.setattr(s, "FEW", 8)
+    rng = np.random.default_rng(14)
+    text = [f"g{w}" for w in range(150)]
+    texts = [" ".join(text)]
+    for copy in range(240):  # three to four changes: at the edge of what is near the text
+        own = list(text)
+        for place in rng.choice(150, rng.integers(3, 5), replace=False):
+            own[place] = f"changed{copy}-{place}"
+        texts.append(" ".join(own))
+    # chains beside it: some are near a copy that is near the text, or one that is not, and not near the text
+    for copy in rng.choice(range(1, 241), 12, replace=False):
+        own = texts[copy].split()
+        own[int(rng.integers(150))] = f"again{copy}"
+        texts.append(" ".join(own))
+    label, near = components_of(texts)
+    looked = []
+    real = s._near
+    monkeypatch.setattr(s, "_near", lambda pairs, *rest: looked.append(pairs.count()) or real(pairs, *rest))
+    kept = s.drop_near_copies(make_docs(list(enumerate(texts))))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    outside = sum(1 for x in label if x != label[0])
+    assert outside > 40 and looked[1] < 4 * len(texts)
