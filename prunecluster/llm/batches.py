@@ -19,8 +19,8 @@ from pyspark.sql.types import StructType
 OUT_ROWS, OUT_BYTES = 4096, 8 << 20
 #: Pieces of text kept with their ids; the dictionary starts again when it is full.
 KEPT_WORDS, KEPT_LENGTH, SHORT_WORD, TEXT_AT_ONCE = 800_000, 64, 9, 1 << 19
-#: Marks that often end a word.
-MARKS = b".,;:!?"
+#: Marks that may end a word: of ASCII those that are part neither of a contraction nor of a special token's name.
+MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -164,7 +164,7 @@ class WordIds:
         ]:
             raise ValueError(f"{tokenizer_file}: its tokens depend on white space")
         # Whether a mark behind a letter is encoded by itself, and case of no account.
-        samples = ["ab.", "é,,", "It's;", "x9y!?", "Σά:", "AbC"]
+        samples = ["ab.", "é,,", "It's;", "x9y!?", "Σά:", "AbC", *(f"Ab{chr(m)}{chr(m)}" for m in MARKS), f"é{MARKS.decode()}"]
         self.splits_marks = all(
             self._direct(s) == self._direct(s.rstrip(MARKS.decode()).lower()) + self._direct(s[len(s.rstrip(MARKS.decode())) :])
             for s in samples
@@ -190,7 +190,8 @@ class WordIds:
                 letters = word.isalpha() or (not word.isascii() and word.decode().isalpha())
                 (plain if letters else others).append(word)
         if plain:
-            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+            # of a batch, as that leaves out where each token stands in the text
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(plain) and stops[-1] == len(ids):
                 ends = (4 * stops).tolist()
@@ -234,7 +235,8 @@ class WordIds:
                 self.known = {}
 
     def _ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [text.split() for text in texts]  # bytes split at ASCII white space alone
+        # bytes split at ASCII white space alone; where case is of no account, words of ASCII texts are known in lower case only
+        split = [(text.lower() if self.splits_marks and text.isascii() and b"<|" not in text else text).split() for text in texts]
         words = list(chain.from_iterable(split))
         # each word is looked up once; those that lack are learned together
         found, unknown = list(map(self.known.get, words)), ()

@@ -179,3 +179,22 @@ def test_bits_of_vocabularies():
     assert [token_file.id_bits(n) for n in (1, 2, 3, 49_408, 65_536, 65_537)] == [1, 1, 2, 16, 16, 17]
     with pytest.raises(ValueError):
         token_file.TokenWriter(None, 3).add(1, np.array([8], "<u4"))
+
+
+def test_words_are_solved_once_whatever_marks_end_them():
+    words, solved = WordIds(public_tokenizer()), []
+    real = words._encode_new
+    words._encode_new = lambda new: solved.extend(new) or real(new)
+    texts = [b"Gredle### gredle,*** GREDLE gredle", "Gredle&&& grédle%% Grédle. gredle".encode()]
+    for text, (_, ids) in zip(texts, words.encode_all(enumerate(texts))):
+        assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    assert sorted(solved) == sorted([b"gredle", b"###", b",***", b"&&&", b"%%", b".", "grédle".encode(), "Grédle".encode()])
+
+
+def test_words_with_marks_have_the_ids_of_the_tokenizer():
+    words = WordIds(public_tokenizer())
+    marks = [chr(i) for i in range(33, 127) if not chr(i).isalnum()]
+    stems = ["ab", "Ab", "AB's", "it'S", "x9", "9", "éA", "İ", "Å", "Σ", "a<|endoftext|>", "<|EndOfText|>", "<|", "a|", "中"]
+    ends = marks + [a + b for a in marks for b in "'!<|>#s_"] + ["'s###", "###'s", "|>...", "...'ll", "̸="]
+    for text in [s + e for s in stems for e in ends]:
+        assert np.frombuffer(words.encode(text.encode()), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
