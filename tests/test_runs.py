@@ -272,3 +272,18 @@ def test_runs_that_share_scans_equal_runs_by_themselves(items, monkeypatch):
         return [tuple(v for n, v in r.asDict().items() if "time" not in n) for r in rows]
 
     assert known(shared) == known(alone)
+
+
+def test_prune_watches_no_more_for_more_machines(spark, make_points, lattice_matrix, monkeypatch):
+    points, centers = make_points(lattice_matrix), lattice_matrix[:3]
+    d2, watched = all_d2(lattice_matrix, centers).min(axis=1), []
+    write = RunTables.write
+    monkeypatch.setattr(RunTables, "write", lambda self, df, name: watched.append(df) or write(self, df, name))
+    v = float(np.sort(d2)[100])
+    with RunTables(spark) as tables:
+        found = rounds.prune(with_nearest(points, Centers(centers)), v, tables, "s", ["point_id", "x"], machines=50)
+        assert found.survivors.columns == ["point_id", "x"]
+        assert found.largest == max(cost.machine_rows(found.survivors, 50))
+        none = rounds.prune(with_nearest(points, Centers(centers)), 1e9, tables, "t", ["point_id", "x"], machines=50)
+        assert (none.remaining, none.largest) == (0, 0)
+    assert "machine 49" not in watched[0]._jdf.queryExecution().analyzed().toString()

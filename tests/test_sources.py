@@ -242,3 +242,13 @@ def test_spread_deals_out_by_the_splits(spark):
     assert prep.spread(spark.range(0, 1000, numPartitions=9), per_split=16).rdd.getNumPartitions() == 144
     found = prep.spread(spark.range(100).coalesce(1), per_split=2)
     assert found.rdd.getNumPartitions() == 8 and sorted(r.id for r in found.collect()) == list(range(100))
+
+
+def test_rounded_is_round_without_decimals(spark):
+    values = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.3, -0.0, 0.0, 4503599627370497.5, 9007199254740993.0, 1e300,
+              -1e300, float("inf"), float("-inf"), float("nan"), None, 1.005 * 100, 104949.5, 2097152.5, -7.4999999999999991]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select(F.round("v").alias("want"), prep.rounded(F.col("v")).alias("got")).collect()
+    assert [str(r.got) for r in rows] == [str(r.want) for r in rows]
+    plan = df.select(prep.rounded(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan
