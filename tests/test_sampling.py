@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -80,3 +81,13 @@ def test_rand_fallback_without_ids(spark):
     drawn = sampling.paired_sample(points, 0.3, 9)
     assert 200 < drawn.where("p1").count() < 400
     assert drawn.collect() == drawn.collect()
+
+
+def test_the_order_of_a_draw_is_computed_once_for_a_row(make_points):
+    points = make_points([[float(i)] for i in range(50)])
+    scored = points.withColumn("d2", F.lit(2.0))
+    for drawn in (sampling.random_rows(points, 5, 1, method="md5"), sampling.weighted_draw(scored, 5, 1, "d", "md5")):
+        plan = drawn._jdf.queryExecution().executedPlan().toString()
+        order = re.search(r"TakeOrderedAndProject\(limit=5, orderBy=\[([^\]]*)", plan).group(1)
+        assert "md5" not in order and "md5" in plan
+        assert drawn.count() == 5 and set(drawn.columns) <= {"point_id", "x", "d2"}
