@@ -287,3 +287,16 @@ def test_prune_watches_no_more_for_more_machines(spark, make_points, lattice_mat
         none = rounds.prune(with_nearest(points, Centers(centers)), 1e9, tables, "t", ["point_id", "x"], machines=50)
         assert (none.remaining, none.largest) == (0, 0)
     assert "machine 49" not in watched[0]._jdf.queryExecution().analyzed().toString()
+
+
+def test_the_first_carried_step_writes_one_table(spark, items):
+    from prunecluster.operators.carried import SORTED_BUCKETS, CarriedDistances
+
+    before = spark.conf.get(SORTED_BUCKETS)
+    with CarriedDistances(items, buckets=4) as carried:
+        carried.add(Centers(np.zeros((1, 4))))
+        assert len(carried.tables) == 1 and carried.known.count() == items.count()
+        carried.add(Centers(np.ones((2, 4))))
+        carried.add(Centers(np.full((1, 4), 5.0)))
+        assert len(carried.tables) == 2 and carried.known.count() == items.count()
+    assert spark.conf.get(SORTED_BUCKETS) == before
