@@ -28,6 +28,9 @@ from .operators.nearest import predict
 from .plans.blackbox import INNER_MAX_ITER, spark_kmeans
 from .plans.sampled_kmeans import check_parameters, sampled_kmeans
 
+# The mark of a dense vector in its stored form.
+DENSE_VECTOR = 1
+
 
 class _Common(HasFeaturesCol, HasPredictionCol, HasDistanceMeasure):
     """Parameters that estimator and model share."""
@@ -38,7 +41,9 @@ class _Common(HasFeaturesCol, HasPredictionCol, HasDistanceMeasure):
             raise ValueError(f"column {name!r} is missing")
         kind = schema[name].dataType
         if isinstance(kind, VectorUDT):
-            return vector_to_array(F.col(f"`{name}`"))
+            # the numbers of a dense vector are an array already
+            stored = F.unwrap_udt(F.col(f"`{name}`"))
+            return F.when(stored["type"] == DENSE_VECTOR, stored["values"]).otherwise(vector_to_array(F.col(f"`{name}`")))
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
             return F.col(f"`{name}`").cast("array<double>")
         if kind.simpleString() == SPARSE:

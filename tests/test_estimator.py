@@ -105,3 +105,15 @@ def test_setters():
     e = e.setFeaturesCol("f").setPredictionCol("p").setWeightCol("w").setIdCol("i").setDistanceMeasure("cosine")
     assert (e.getK(), e.getM(), e.getEpsilon(), e.getTol(), e.getDelta(), e.getSeed()) == (4, 2, 0.2, 0.2, 0.3, 5)
     assert PrunedKMeans().getM() is None
+
+
+def test_dense_vectors_are_read_as_they_are_stored(spark):
+    rows = [(0, Vectors.dense([1.0, 0.0, 3.0])), (1, Vectors.sparse(3, [2], [5.0])), (2, Vectors.dense([]))]
+    df = spark.createDataFrame(rows, ["id", "features"])
+    found = df.select("id", PrunedKMeans(k=2)._coordinates(df.schema).alias("x"))
+    assert {r.id: r.x for r in found.collect()} == {0: [1.0, 0.0, 3.0], 1: [0.0, 0.0, 5.0], 2: []}
+    # no function reads a dense vector
+    assert "CASE WHEN" in found._jdf.queryExecution().optimizedPlan().toString()
+    nothing = df.select(F.when(F.col("id") > 5, F.col("features")).alias("features"))
+    with pytest.raises(Exception, match="vector_to_array|null"):
+        nothing.select(PrunedKMeans(k=2)._coordinates(nothing.schema)).collect()
