@@ -7,6 +7,7 @@ import pytest
 import check_queries
 from prunecluster.catalog import oracles, queries
 from prunecluster.plans import evaluate
+from prunecluster.plans.sample_prune import sample_prune
 from prunecluster.plans.sampled_kmeans import sampled_kmeans
 
 
@@ -27,6 +28,30 @@ def line_items(tmp_path):
     return make
 
 
+# no round at all, one and not two came before the stop size; more than the stop size is left after two
+@pytest.mark.parametrize("n", [60, 150, 900, 40_000])
+def test_two_rounds_at_any_size(spark, line_items, n):
+    folder = line_items(n)
+    found = queries.ene_two_rounds(spark, folder).toPandas()
+    assert check_queries.difference(found, check_queries.tables(folder).execute(oracles.ORACLES["ene_two_rounds"]).df()) is None
+    assert sorted(found["round"]) == [1, 2]
+    last = found[found["round"] == 2].iloc[0]
+    assert last.centers_in_all == last.sample_rows + last.survivors
+    if n == 40_000:
+        assert last.survivors > 20 * n**0.2 * np.log(n)
+
+
+def test_all_survivors_of_bounded_rounds_join_the_sample(make_points):
+    points = make_points(np.random.default_rng(5).normal(size=(2000, 2)))
+    kept = dict(reducer=queries.fixed_box, final_risk=False)
+    none = sample_prune(points, 2, 0.5, max_iter=0, **kept)
+    assert (none.rounds, none.candidate_count, none.risk) == ([], 2000, 0.0)
+    one = sample_prune(points, 1, 0.9, min_iter=1, **kept)
+    assert len(one.rounds) == 1 and not one.capped
+    with pytest.raises(ValueError, match="min_iter"):
+        sample_prune(points, 2, max_iter=1, min_iter=2)
+
+
 def twin(folder, *runs):
     return check_queries.tables(folder).execute("\nUNION ALL\n".join(f"SELECT * FROM ({r})" for r in runs)).df()
 
